@@ -10,6 +10,7 @@ order, which decodes them.
 from __future__ import annotations
 
 import base64
+import gc
 import hashlib
 import heapq
 import os
@@ -56,8 +57,9 @@ tokens as (
     union all
     select word, 0, token from known
 )
-select word, string_agg(t.token::varchar, ',' order by place) as ids, string_agg(v.hex, '' order by place) as bytes
-from tokens t join vocabulary v on v.token = t.token group by word order by word
+select word, string_agg(ids, ',') as ids, string_agg(hex, '') as bytes
+from (select t.word, v.ids, v.hex from tokens t join vocabulary v on v.token = t.token order by t.word, t.place)
+group by word order by word
 """
 
 
@@ -67,6 +69,7 @@ class Encoder:
     def __init__(self, path: str, pattern: str) -> None:
         import duckdb
 
+        gc.set_threshold(200_000)  # the memo holds many small tuples, none in a cycle
         with open(path, "rb") as lines:
             self.ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
         self.tokens = {rank: token for token, rank in self.ranks.items()}
@@ -84,10 +87,11 @@ class Encoder:
         pair = np.array(left, np.int64) * 65536 + np.array(right, np.int64)
         self._table("merges", pa.table({"pair": pair, "token": np.array(merged, np.int64)}))
         ids = list(self.tokens)
-        self._table("vocabulary", pa.table({"token": np.array(ids, np.int64), "hex": [self.tokens[i].hex() for i in ids]}))
-        self.inner = Generations(lambda keys: self._chunks(keys, b" "), 150_000, batched=True)
+        vocabulary = {"token": np.array(ids, np.int64), "ids": list(map(str, ids)), "hex": [self.tokens[i].hex() for i in ids]}
+        self._table("vocabulary", pa.table(vocabulary))
+        self.inner = Generations(lambda keys: self._chunks(keys, b" "), 200_000, batched=True)
         self.first = Generations(lambda keys: self._chunks(keys, b""), 20_000, batched=True)
-        self.words = Generations(self._words, 100_000, batched=True)
+        self.words = Generations(self._words, 200_000, batched=True)
 
     def _table(self, name: str, table: pa.Table) -> None:
         self.db.register("incoming", table)
@@ -134,7 +138,11 @@ class Encoder:
         self.db.register("known", pa.table({"word": np.array([i for i, _ in known], np.int64), "token": np.array([t for _, t in known], np.int64)}))
         found = self.db.execute(_ENCODE).fetchall()
         self.db.unregister("pairs"), self.db.unregister("known")
-        return [(ids, bytes.fromhex(text)) for _, ids, text in found]
+        out = []
+        for i, ids, digits in found:
+            text = bytes.fromhex(digits)
+            out.append((ids, words[i] if text == words[i] else text))  # one copy of equal bytes
+        return out
 
     def _words(self, words: list[bytes]) -> list[tuple[str, bytes]]:
         out: dict[bytes, tuple[str, bytes]] = {}
