@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, exact, packing, pii, quality, simhash, urls
+from . import bpe, chat, exact, packing, pii, quality, simhash, suffix, urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,6 +28,10 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(_table(spark, sf_dir, "documents").select("doc_id", "text")).select(*columns)
 
 
+def op4_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.remove_repeats(_table(spark, sf_dir, "documents")).drop("removed")
+
+
 def op5_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(_table(spark, sf_dir, "pages"))
 
@@ -63,6 +67,7 @@ QUERIES = {
     "op1_bpe": op1_bpe,
     "op2_chat": op2_chat,
     "op3_quality": op3_quality,
+    "op4_repeats": op4_repeats,
     "op5_urls": op5_urls,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_pii": op7_pii,
