@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, exact, packing, pii, quality, simhash, suffix, urls
+from . import bpe, chaining, chat, exact, packing, pii, quality, simhash, suffix, urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -63,6 +63,10 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op10_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chaining.passages(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_bpe": op1_bpe,
     "op2_chat": op2_chat,
@@ -73,6 +77,7 @@ QUERIES = {
     "op7_pii": op7_pii,
     "op8_packing": op8_packing,
     "op9_simhash": op9_simhash,
+    "op10_passages": op10_passages,
 }
 
 _CHAT_SQL = """
