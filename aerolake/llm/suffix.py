@@ -8,9 +8,12 @@ of the Burrows-Wheeler transform with their longest common prefixes, and streams
 between run ends the matching statistic of a position is that of the position before, less one.
 Positions whose statistic reaches LENGTH begin a repeated window.
 
-An anchor with more segments than GROUP is dealt over several indexes. Each of them then also
-gives every different window of its own once, by hash, and windows that two indexes gave are
-repeated too.
+The segments of an anchor with more of them than GROUP are cut into pieces of windows at like
+places relative to the anchor. Equal windows lie in pieces that agree on all bytes which the
+windows of such a piece share, so these bytes name a smaller bin; equal pieces are indexed once.
+Should a bin still have more than WIDE_GROUP pieces, it is dealt over several indexes; each of
+them also gives every different window of its own once, by hash, and windows that two indexes gave
+are repeated too.
 """
 
 from __future__ import annotations
@@ -27,9 +30,12 @@ from . import common
 
 LENGTH = 400
 K = 32
-#: Segments of one anchor in one index, and windows after which a task closes an index.
-GROUP = 400
-CHUNK = 60_000
+#: Segments of one anchor, or pieces of one bin, in one index; windows after which a task closes an index.
+GROUP = 300
+WIDE_GROUP = 2500
+CHUNK = 30_000
+#: Places relative to the anchor that the windows of a piece can have.
+WIDTH = 16
 #: Longest run of windows in a segment: longer ones, in periodic text, are cut.
 LONGEST = 2048
 _BLOCK = 1 << 19
@@ -124,7 +130,7 @@ def _run_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if not len(start):
                     continue
                 view = memoryview(block.tobytes())
-                digests = [hashlib.blake2b(view[s : s + m + LENGTH - 1], digest_size=16).digest() for s, m in zip(start.tolist(), n.tolist())]
+                digests = [_digest(view[s : s + m + LENGTH - 1]) for s, m in zip(start.tolist(), n.tolist())]
                 columns = {
                     "did": did[row + text],
                     "th": th[row + text],
@@ -138,29 +144,47 @@ def _run_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             row = end
 
 
+_SEGMENT = "anchor long, digest binary, base int, bin long, rel binary, dealt boolean, piece binary"
+
+
+def _digest(*parts: bytes) -> bytes:
+    return hashlib.blake2b(b"".join(parts), digest_size=16).digest()
+
+
+def _cut(anchor: int, segment: bytes) -> Iterator[tuple[int, int, bytes]]:
+    """(first window, bin, bytes) of the pieces of a segment."""
+    hashes = gram_hashes(np.frombuffer(segment, np.uint8))
+    grams = np.flatnonzero(hashes.view(np.int64) == anchor)
+    windows = np.arange(len(segment) - LENGTH + 1)
+    gram = grams[np.searchsorted(grams, windows)]  # each window's first gram of the anchor
+    place = (gram - windows) // WIDTH
+    starts = np.flatnonzero(np.append(True, (gram[1:] != gram[:-1]) | (place[1:] != place[:-1])))
+    for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(windows)]):
+        near = int(place[a]) * WIDTH
+        shared = segment[gram[a] - near : gram[a] - near - WIDTH + 1 + LENGTH]
+        yield a, int.from_bytes(_digest(anchor.to_bytes(8, "little", signed=True), near.to_bytes(4, "little"), shared)[:8], "little", signed=True), segment[a : b + LENGTH - 1]
+
+
 def _slice_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The bytes of the segments listed with each text."""
+    """The bytes of the segments listed with each text, those of large anchors in pieces."""
+    types = (pa.int64(), pa.binary(), pa.int32(), pa.int64(), pa.binary(), pa.bool_(), pa.binary())
+    names = [f.split()[0] for f in _SEGMENT.split(", ")]
     for batch in batches:
         out: list[tuple] = []
         size = 0
         for view, wanted in zip(common.rows(batch.column("text")), batch.column("wanted").to_pylist()):
             for w in wanted:
-                piece = bytes(view[w["start"] : w["start"] + w["n"] + LENGTH - 1])
-                out.append((w["anchor"], w["salt"], w["salts"], w["digest"], piece))
-                size += len(piece)
-            if size > 1 << 23:
-                yield _segment_batch(out)
+                segment = bytes(view[w["start"] : w["start"] + w["n"] + LENGTH - 1])
+                if w["dealt"]:
+                    out += [(w["anchor"], w["digest"], base, bin_, _digest(piece), True, piece) for base, bin_, piece in _cut(w["anchor"], segment)]
+                else:
+                    out.append((w["anchor"], w["digest"], 0, w["anchor"], w["digest"], False, segment))
+                size += len(segment)
+            if size > 1 << 21:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names)
                 out, size = [], 0
         if out:
-            yield _segment_batch(out)
-
-
-_SEGMENT = "anchor long, salt int, salts int, digest binary, segment binary"
-
-
-def _segment_batch(rows: list[tuple]) -> pa.RecordBatch:
-    types = (pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], ["anchor", "salt", "salts", "digest", "segment"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names)
 
 
 def _common_prefix(a: str, b: str) -> int:
@@ -203,26 +227,24 @@ def matching_statistics(pieces: list[str]) -> tuple[np.ndarray, np.ndarray, list
     return best, order, suffixes
 
 
-_MARK = "anchor long, digest binary, first int, last int, window binary, known boolean"
+_MARK = "bin long, rel binary, first int, last int, window binary, known boolean"
 
 
-def _mark_batch(anchor, digest, first, last, window, known) -> pa.RecordBatch:
+def _mark_batch(*columns) -> pa.RecordBatch:
     types = (pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.binary(), pa.bool_())
-    columns = (anchor, digest, first, last, window, known)
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], [f.split()[0] for f in _MARK.split(", ")])
 
 
 def _index(held: list[tuple]) -> Iterator[pa.RecordBatch]:
-    """Repeated windows of the segments held; of dealt anchors also each different window once."""
+    """Repeated windows of the pieces held, as (bin, rel, salts, text); of dealt bins also each different window once."""
     pieces = [h[3] for h in held]
     best, order, suffixes = matching_statistics(pieces)
     marked = best >= LENGTH
     size = np.array([len(p) - LENGTH + 1 for p in pieces])
     head = np.cumsum(size) - size
     edge = np.diff(np.concatenate([[0], marked.view(np.int8), [0]]))
-    edge_starts, edge_stops = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
     runs = []  # marked runs, cut at the pieces' borders
-    for a, b in zip(edge_starts.tolist(), edge_stops.tolist()):
+    for a, b in zip(np.flatnonzero(edge == 1).tolist(), np.flatnonzero(edge == -1).tolist()):
         p = int(np.searchsorted(head, a, "right")) - 1
         while a < b:
             c = min(b, int(head[p] + size[p]))
@@ -231,8 +253,8 @@ def _index(held: list[tuple]) -> Iterator[pa.RecordBatch]:
     if runs:
         p, first, last = zip(*runs)
         none = [None] * len(runs)
-        yield _mark_batch([held[i][0] for i in p], [held[i][2] for i in p], first, last, none, none)
-    dealt = np.repeat([h[1] > 1 for h in held], size)
+        yield _mark_batch([held[i][0] for i in p], [held[i][1] for i in p], first, last, none, none)
+    dealt = np.repeat([h[2] > 1 for h in held], size)
     if dealt.any():
         owner = np.repeat(np.arange(len(held)), size)
         rows, previous = [], None
@@ -242,7 +264,7 @@ def _index(held: list[tuple]) -> Iterator[pa.RecordBatch]:
                 previous = window
                 p = int(owner[i])
                 place = i - int(head[p])
-                rows.append((held[p][0], held[p][2], place, place, hashlib.blake2b(window.encode("latin-1"), digest_size=16).digest(), bool(marked[i])))
+                rows.append((held[p][0], held[p][1], place, place, _digest(window.encode("latin-1")), bool(marked[i])))
         yield _mark_batch(*zip(*rows))
 
 
@@ -250,17 +272,17 @@ def _index_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     held: list[tuple] = []
     windows, group = 0, None
     for batch in batches:
-        columns = [batch.column(c).to_pylist() for c in ("anchor", "salt", "salts", "digest", "segment")]
-        for anchor, salt, salts, digest, segment in zip(*columns):
-            if (anchor, salt) != group:
+        columns = [batch.column(c).to_pylist() for c in ("bin", "salt", "salts", "rel", "piece")]
+        for bin_, salt, salts, rel, piece in zip(*columns):
+            if (bin_, salt) != group:
                 if windows >= CHUNK:
                     yield from _index(held)
                     held, windows = [], 0
-                group = anchor, salt
-            elif held[-1][2] == digest:
+                group = bin_, salt
+            elif held[-1][1] == rel:
                 continue  # a row that repeats whole
-            held.append((anchor, salts, digest, segment.decode("latin-1")))
-            windows += len(segment) - LENGTH + 1
+            held.append((bin_, rel, salts, piece.decode("latin-1")))
+            windows += len(piece) - LENGTH + 1
     if held:
         yield from _index(held)
 
@@ -295,25 +317,40 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return common.texts(docs).select("doc_id", "text", did, F.xxhash64("text").alias("th"))
 
 
+def _piece_marks(pieces: DataFrame) -> DataFrame:
+    """(bin, rel, first, last): windows of the pieces (bin, rel, piece) that another piece of the bin has too."""
+    per_bin = pieces.groupBy("bin").agg(F.count(F.lit(1)).alias("c")).select("bin", F.ceil(F.col("c") / WIDE_GROUP).cast("int").alias("salts"))
+    salt: Column = F.pmod(F.xxhash64("rel"), F.col("salts")).cast("int")
+    grouped = pieces.join(per_bin, "bin").withColumn("salt", salt).repartition(common.partitions(pieces.sparkSession), "bin", "salt")
+    found = common.persist(grouped.sortWithinPartitions("bin", "salt", "rel").mapInArrow(_index_batches, _MARK), "marks")
+    windows = found.where("window is not null")
+    twice = windows.groupBy("window").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+    across = windows.where("not known").join(twice, "window").select("bin", "rel", "first", "last")
+    return found.where("window is null").select("bin", "rel", "first", "last").union(across)
+
+
 def _segment_marks(docs: DataFrame, runs: DataFrame) -> DataFrame:
     """(anchor, digest, first, last): windows of each different segment that occur elsewhere too."""
-    n = common.partitions(docs.sparkSession)
     place = F.struct("did", "th", "start", "n")
     classes = runs.groupBy("anchor", "digest").agg(F.count(F.lit(1)).alias("copies"), F.min(place).alias("at"), F.min("alone").alias("alone"))
     classes = common.persist(classes, "segments")
     whole = classes.where("copies > 1").select("anchor", "digest", F.lit(0).alias("first"), (F.col("at.n") - 1).alias("last"))
     per_anchor = classes.groupBy("anchor").agg(F.count(F.lit(1)).alias("segments"), F.min("alone").alias("alone"))
-    per_anchor = per_anchor.where("segments > 1 or not alone").select("anchor", F.ceil(F.col("segments") / GROUP).cast("int").alias("salts"))
-    salt: Column = F.pmod(F.xxhash64("digest"), F.col("salts")).cast("int")
-    wanted = classes.join(per_anchor, "anchor").select("at.did", "at.th", F.struct("anchor", salt.alias("salt"), "salts", "digest", "at.start", "at.n").alias("w"))
+    per_anchor = per_anchor.where("segments > 1 or not alone").select("anchor", (F.col("segments") > GROUP).alias("dealt"))
+    wanted = classes.join(per_anchor, "anchor").select("at.did", "at.th", F.struct("anchor", "dealt", "digest", "at.start", "at.n").alias("w"))
     by_text = wanted.groupBy("did", "th").agg(F.collect_list("w").alias("wanted"))  # at most as many as the text has windows
-    pieces = _keyed(docs).join(by_text, ["did", "th"]).select("text", "wanted").mapInArrow(_slice_batches, _SEGMENT)
-    grouped = pieces.repartition(n, "anchor", "salt").sortWithinPartitions("anchor", "salt", "digest")
-    found = common.persist(grouped.mapInArrow(_index_batches, _MARK), "marks")
-    windows = found.where("window is not null")
-    twice = windows.groupBy("window").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
-    across = windows.where("not known").join(twice, "window").select("anchor", "digest", "first", "last")
-    return whole.union(found.where("window is null").select("anchor", "digest", "first", "last")).union(across)
+    pieces = common.persist(_keyed(docs).join(by_text, ["did", "th"]).select("text", "wanted").mapInArrow(_slice_batches, _SEGMENT), "pieces")
+    plain, dealt = pieces.where("not dealt"), pieces.where("dealt")
+    # equal pieces are one; a bin of one piece held by one segment has nothing to compare
+    shared = dealt.groupBy("bin", "rel").agg(F.count(F.lit(1)).alias("copies"), F.first("piece").alias("piece"))
+    shared = common.persist(shared, "shared-pieces")
+    several = shared.groupBy("bin").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("bin")
+    once = shared.join(several, "bin").select("bin", "rel", "piece")
+    marks = _piece_marks(plain.select("bin", "rel", "piece").union(once))
+    same = shared.where("copies > 1").select("bin", "rel", F.lit(0).alias("first"), (F.length("piece") - LENGTH).alias("last"))
+    of_pieces = dealt.select("anchor", "digest", "base", "bin", "rel").join(marks.union(same), ["bin", "rel"])
+    of_pieces = of_pieces.select("anchor", "digest", (F.col("base") + F.col("first")).alias("first"), (F.col("base") + F.col("last")).alias("last"))
+    return whole.union(marks.toDF("anchor", "digest", "first", "last")).union(of_pieces)
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
