@@ -2,12 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from aerolake.llm import common, exact, packing, pii, quality, simhash
 
-_NO_ID = F.lit(-(1 << 63)).cast("long")
+def _key() -> Column:
+    """doc_id, its lack a number of its own."""
+    return F.coalesce("doc_id", F.lit(-(1 << 63)).cast("long"))
+
+
+def _free(docs: DataFrame, name: str) -> str:
+    """A column name that docs doesn't have."""
+    while name in docs.columns:
+        name += "_"
+    return name
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -18,17 +27,19 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the row with the largest doc_id stays, once."""
+    key, sha = _free(docs, "id"), _free(docs, "sha")
     found = exact.duplicates(docs).where("kept")
-    kept = found.select(F.coalesce("doc_id", _NO_ID).alias("__id"), F.col("text_sha256").alias("__sha")).distinct()
-    keyed = docs.withColumn("__id", F.coalesce("doc_id", _NO_ID)).withColumn("__sha", F.sha2(F.coalesce("text", F.lit("")), 256))
-    return keyed.join(kept, ["__id", "__sha"], "left_semi").dropDuplicates(["__id", "__sha"]).select(*docs.columns)
+    kept = found.select(_key().alias(key), F.col("text_sha256").alias(sha)).distinct()
+    keyed = docs.withColumns({key: _key(), sha: F.sha2(F.coalesce("text", F.lit("")), 256)})
+    return keyed.join(kept, [key, sha], "left_semi").dropDuplicates([key, sha]).select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates the document with the smallest doc_id stays."""
+    key = _free(docs, "id")
     found = simhash.near_duplicates(docs)
-    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.coalesce("doc_id", _NO_ID).alias("__id")).distinct()
-    return docs.withColumn("__id", F.coalesce("doc_id", _NO_ID)).join(kept, "__id", "left_semi").select(*docs.columns)
+    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(_key().alias(key)).distinct()
+    return docs.withColumn(key, _key()).join(kept, key, "left_semi").select(*docs.columns)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
