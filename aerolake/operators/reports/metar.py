@@ -98,48 +98,49 @@ def remarks(text: Column, hour: Column) -> Column:
     )
 
 
-def columns(raw: Column) -> Column:
-    """A struct of all that an observation says."""
-    text = F.trim(raw)
-    body = F.get(F.split(text, r"\sRMK\s", 2), F.lit(0))
-    rest = F.get(F.split(text, r"\sRMK\s", 2), F.lit(1))
-    g = c.groups(body, _BODY, _GROUPS)
+def _fields(text: Column, g: Column, rest: Column) -> list[Column]:
+    """All that an observation says, from the groups of its body and its remarks."""
 
     def part(n: int) -> Column:
         return c.some(F.get(g, F.lit(n - 1)))
 
     cavok = F.coalesce(part(9) == "CAVOK", F.lit(False))
-    wind = c.wind(part(7))
-    seen = c.visibility(part(12))
-    sky = c.sky(F.coalesce(part(15), F.lit("")), cavok)
     altimeter = part(17)
     value = F.substring(altimeter, 2, 4).try_cast("double")
-    return F.struct(
+    return [
         text.alias("raw"),
         F.coalesce(part(1), F.lit("METAR")).alias("type"),
         part(2).alias("stationId"),
         c.day_time(part(3), part(4), part(5)).alias("observationTime"),
         F.coalesce(part(6) == "AUTO", F.lit(False)).alias("isAutomated"),
         F.coalesce(part(6) == "COR", F.lit(False)).alias("isCorrected"),
-        wind.alias("wind"),
+        c.wind(part(7)).alias("wind"),
         c.number(F.substring(part(8), 1, 3)).alias("windVariableFromDeg"),
         c.number(F.substring(part(8), 5, 3)).alias("windVariableToDeg"),
         cavok.alias("isCavok"),
-        seen.alias("visibility"),
+        c.visibility(part(12)).alias("visibility"),
         F.transform(F.filter(c.tokens(F.coalesce(part(10), part(13), F.lit(""))), lambda t: t.rlike(r"^R(\d{2}[LCR]?)/([MP]?)(\d{4})(V[MP]?\d{4})?FT[UDN]?$")), _rvr).alias("rvr"),
         c.weather(F.coalesce(part(11), part(14), F.lit(""))).alias("weather"),
-        sky.alias("sky"),
+        c.sky(F.coalesce(part(15), F.lit("")), cavok).alias("sky"),
         _celsius(F.substring_index(part(16), "/", 1)).alias("temperatureC"),
         _celsius(F.substring_index(part(16), "/", -1)).alias("dewpointC"),
         F.when(altimeter.startswith("A"), value / 100).alias("altimeterInHg"),
         F.when(altimeter.startswith("Q"), value).alias("altimeterHpa"),
         F.coalesce(part(18).rlike(r"(^|\s)NOSIG(\s|$)"), F.lit(False)).alias("isNoSignificantChange"),
         F.when(rest.isNotNull(), remarks(rest, c.number(part(4)))).alias("remarks"),
-        c.flight_category(seen["visibilitySm"], F.coalesce(seen["isLessThan"], F.lit(False)), sky, cavok).alias("flightCategory"),
-        F.when(g.isNull(), F.lit("no station and observation time")).alias("error"),
-    )
+    ]
 
 
 def parse(reports: DataFrame, raw: str = "raw") -> DataFrame:
-    """`reports` with the columns of each observation; `error` says why one cannot be read."""
-    return reports.select(*[x for x in reports.columns if x != raw], columns(F.col(raw)).alias("__r")).select(*[x for x in reports.columns if x != raw], "__r.*")
+    """`reports` with the columns of each observation; `error` says why one cannot be read.
+
+    Each step's results are columns of the next: an expression that is looked at twice runs once.
+    """
+    kept = [x for x in reports.columns if x != raw]
+    rows = reports.select(*kept, F.trim(raw).alias("__text"))
+    rows = rows.withColumn("__halves", F.split("__text", r"\sRMK\s", 2))
+    rows = rows.withColumn("__g", c.groups(F.get("__halves", F.lit(0)), _BODY, _GROUPS))
+    rows = rows.select(*kept, "__g", *_fields(F.col("__text"), F.col("__g"), F.get("__halves", F.lit(1))))
+    category = c.flight_category(F.col("visibility.visibilitySm"), F.coalesce("visibility.isLessThan", F.lit(False)), F.col("sky"), F.col("isCavok"))
+    error = F.when(F.col("__g").isNull(), F.lit("no station and observation time"))
+    return rows.withColumn("flightCategory", category).withColumn("error", error).drop("__g")

@@ -12,7 +12,7 @@ _FIELDS = ("OV", "TM", "FL", "TP", "SK", "WX", "TA", "WV", "TB", "IC", "RM")
 
 def fields(text: Column) -> Column:
     """Map of the two-letter fields to their text; of a field that repeats the last counts."""
-    marked = F.regexp_replace(text, rf"/({'|'.join(_FIELDS)})(?=\s|$)", "\x01$1\x02")
+    marked = F.regexp_replace(text, rf"/(?:({'|'.join(_FIELDS)})(?=\s|$)|(FL)(?=\d|UNKN|DUR))", "\x01$1$2\x02")
     parts = F.filter(F.split(marked, "\x01"), lambda p: p.contains("\x02"))
     entries = F.transform(parts, lambda p: F.struct(F.substring_index(p, "\x02", 1).alias("k"), F.trim(F.substring_index(p, "\x02", -1)).alias("v")))
     last = F.filter(entries, lambda e, i: ~F.exists(F.slice(entries, i + 2, F.lit(100)), lambda later: later["k"] == e["k"]))
@@ -67,10 +67,9 @@ def _sky(text: Column) -> Column:
     return F.transform(F.filter(parts, lambda t: (t == "CLR") | t.rlike(between) | t.rlike(plain)), layer)
 
 
-def columns(raw: Column) -> Column:
-    text = c.squeezed(raw)
+def _columns(text: Column, f: Column) -> list[Column]:
+    """All that a report says, from its text and the map of its fields."""
     kind = c.found(text, r"(?:^|\s)(UUA|UA)(?=\s|/|$)")
-    f = fields(F.coalesce(text, F.lit("")))
 
     def field(name: str) -> Column:
         return c.some(f[name])
@@ -81,7 +80,7 @@ def columns(raw: Column) -> Column:
     point = c.lat_lon(F.when(where.rlike(r"^\d{4}[NS]\d{5}[EW]$"), where))
     seen = c.found(field("WX"), r"(?:^|\s)FV(\d{2})SM(?=\s|$)")
     miles = c.found(field("WX"), rf"(?:^|\s)({c.VISIBILITY})")
-    return F.struct(
+    return [
         text.alias("raw"),
         F.coalesce(kind, F.lit("UA")).alias("type"),
         c.found(text, r"^([A-Z0-9]{3,4})\s+UU?A\b").alias("station"),
@@ -102,9 +101,12 @@ def columns(raw: Column) -> Column:
         _layers(F.coalesce(field("IC"), F.lit("")), "NEG|TR|LGT|MOD|SEV", "RIME|CLR|MXD|SLD").alias("icing"),
         field("RM").alias("remarks"),
         F.when(F.size(f) <= 0, F.lit("no fields")).alias("error"),
-    )
+    ]
 
 
 def parse(reports: DataFrame, raw: str = "raw") -> DataFrame:
+    """`reports` with the columns of each report; `error` says why one cannot be read."""
     rest = [x for x in reports.columns if x != raw]
-    return reports.select(*rest, columns(F.col(raw)).alias("__r")).select(*rest, "__r.*")
+    rows = reports.select(*rest, c.squeezed(F.col(raw)).alias("__text"))
+    rows = rows.withColumn("__fields", fields(F.coalesce("__text", F.lit(""))))
+    return rows.select(*rest, *_columns(F.col("__text"), F.col("__fields")))

@@ -33,8 +33,8 @@ def _layers(text: Column, first: str) -> Column:
     return F.transform(found, layer)
 
 
-def _group(text: Column) -> Column:
-    g = c.groups(text, _GROUP, 12)
+def _group(g: Column) -> Column:
+    """A forecast group from the groups of its text."""
 
     def part(n: int) -> Column:
         return c.some(F.get(g, F.lit(n - 1)))
@@ -65,43 +65,50 @@ def _group(text: Column) -> Column:
         ).alias("windShear"),
         _layers(F.coalesce(part(12), F.lit("")), "5").alias("turbulence"),
         _layers(F.coalesce(part(12), F.lit("")), "6").alias("icing"),
-        c.flight_category(seen["visibilitySm"], F.coalesce(seen["isLessThan"], F.lit(False)), sky, cavok).alias("flightCategory"),
     )
 
 
-def columns(raw: Column) -> Column:
-    text = c.squeezed(raw)
-    g = c.groups(text, _HEAD, 10)
+def _rated(x: Column) -> Column:
+    seen = x["visibility"]
+    return x.withField("flightCategory", c.flight_category(seen["visibilitySm"], F.coalesce(seen["isLessThan"], F.lit(False)), x["sky"], x["isCavok"]))
+
+
+def parse(reports: DataFrame, raw: str = "raw") -> DataFrame:
+    """`reports` with the columns of each forecast; `error` says why one cannot be read.
+
+    Each step's results are columns of the next: an expression that is looked at twice runs once.
+    """
+    kept = [x for x in reports.columns if x != raw]
+    rows = reports.select(*kept, c.squeezed(F.col(raw)).alias("__text"))
+    rows = rows.withColumn("__g", c.groups(F.col("__text"), _HEAD, 10))
 
     def part(n: int) -> Column:
-        return c.some(F.get(g, F.lit(n - 1)))
+        return c.some(F.get("__g", F.lit(n - 1)))
 
     body = F.coalesce(part(10), F.lit(""))
-    cancelled = body.rlike(r"^CNL(\s|$)")
     # a group begins at each change word, but TEMPO right after a probability belongs to it
     cut = F.regexp_replace(body, rf"\s({_START}){c.END}", "\x01$1")
     cut = F.regexp_replace(cut, r"(^|\x01)(PROB[34]0)\x01TEMPO", "$1$2 TEMPO")
-    parts = F.filter(F.split(cut, "\x01"), lambda t: t != "")
+    rows = rows.withColumn("__cancelled", body.rlike(r"^CNL(\s|$)"))
+    texts = F.when(F.col("__cancelled") | F.col("__g").isNull(), F.array().cast("array<string>")).otherwise(F.filter(F.split(cut, "\x01"), lambda t: t != ""))
+    rows = rows.withColumn("__groups", F.transform(texts, lambda t: c.groups(t, _GROUP, 12)))
+    rows = rows.withColumn("__forecast", F.transform("__groups", _group))
     minute = F.lit("0")
-    return F.struct(
-        text.alias("raw"),
+    return rows.select(
+        *kept,
+        F.col("__text").alias("raw"),
         part(2).alias("stationId"),
         c.day_time(part(3), part(4), part(5)).alias("issuedAt"),
         F.coalesce(part(1) == "AMD", F.lit(False)).alias("isAmended"),
         F.coalesce(part(1) == "COR", F.lit(False)).alias("isCorrected"),
-        cancelled.alias("isCancelled"),
+        F.col("__cancelled").alias("isCancelled"),
         c.day_time(part(6), part(7), minute).alias("validFrom"),
         c.day_time(part(8), part(9), minute).alias("validTo"),
-        F.when(cancelled | g.isNull(), F.array()).otherwise(F.transform(parts, _group)).alias("forecast"),
-        F.when(g.isNull(), F.lit("no TAF header with issue time and validity")).alias("error"),
+        F.transform("__forecast", _rated).alias("forecast"),
+        F.when(F.col("__g").isNull(), F.lit("no TAF header with issue time and validity")).alias("error"),
     )
 
 
-def parse(reports: DataFrame, raw: str = "raw") -> DataFrame:
-    rest = [x for x in reports.columns if x != raw]
-    return reports.select(*rest, columns(F.col(raw)).alias("__r")).select(*rest, "__r.*")
-
-
 def groups(parsed: DataFrame) -> DataFrame:
     """One row per forecast group, with its position."""
     return parsed.select("stationId", F.posexplode("forecast").alias("pos", "g")).select("stationId", "pos", "g.*")

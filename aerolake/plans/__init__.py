@@ -1 +1,7 @@
-"""plans of the library."""
+"""The registered queries over the driver's tables, and their SQL."""
+
+from . import formulas, tables
+
+FLAGSHIP = "navaid_nearest"
+QUERIES = formulas.QUERIES | tables.QUERIES
+ORACLE_SQL = formulas.ORACLE_SQL | tables.ORACLE_SQL
