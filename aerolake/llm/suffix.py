@@ -35,7 +35,7 @@ GROUP = 300
 WIDE_GROUP = 2500
 CHUNK = 30_000
 #: Places relative to the anchor that the windows of a piece can have.
-WIDTH = 16
+WIDTH = 32
 #: Longest run of windows in a segment: longer ones, in periodic text, are cut.
 LONGEST = 2048
 _BLOCK = 1 << 19
@@ -294,7 +294,7 @@ def _cut_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = []
         for view, marks in zip(common.rows(batch.column("text")), batch.column("marks").to_pylist()):
             spans: list[list[int]] = []
-            for first, last in sorted((m["first"], m["last"]) for m in marks or ()):
+            for first, last in sorted((m["start"] + x["first"], m["start"] + x["last"]) for m in marks or () for x in m["spans"]):
                 if spans and first <= spans[-1][1]:
                     spans[-1][1] = max(spans[-1][1], last + LENGTH)
                 else:
@@ -330,11 +330,13 @@ def _piece_marks(pieces: DataFrame) -> DataFrame:
 
 
 def _segment_marks(docs: DataFrame, runs: DataFrame) -> DataFrame:
-    """(anchor, digest, first, last): windows of each different segment that occur elsewhere too."""
+    """(anchor, digest, spans): first and last windows of the runs in each segment that occur elsewhere too."""
+    span = F.struct(F.col("first").cast("int").alias("first"), F.col("last").cast("int").alias("last"))
     place = F.struct("did", "th", "start", "n")
     classes = runs.groupBy("anchor", "digest").agg(F.count(F.lit(1)).alias("copies"), F.min(place).alias("at"), F.min("alone").alias("alone"))
     classes = common.persist(classes, "segments")
     whole = classes.where("copies > 1").select("anchor", "digest", F.lit(0).alias("first"), (F.col("at.n") - 1).alias("last"))
+    whole = whole.select("anchor", "digest", F.array(span).alias("spans"))
     per_anchor = classes.groupBy("anchor").agg(F.count(F.lit(1)).alias("segments"), F.min("alone").alias("alone"))
     per_anchor = per_anchor.where("segments > 1 or not alone").select("anchor", (F.col("segments") > GROUP).alias("dealt"))
     wanted = classes.join(per_anchor, "anchor").select("at.did", "at.th", F.struct("anchor", "dealt", "digest", "at.start", "at.n").alias("w"))
@@ -348,9 +350,12 @@ def _segment_marks(docs: DataFrame, runs: DataFrame) -> DataFrame:
     once = shared.join(several, "bin").select("bin", "rel", "piece")
     marks = _piece_marks(plain.select("bin", "rel", "piece").union(once))
     same = shared.where("copies > 1").select("bin", "rel", F.lit(0).alias("first"), (F.length("piece") - LENGTH).alias("last"))
-    of_pieces = dealt.select("anchor", "digest", "base", "bin", "rel").join(marks.union(same), ["bin", "rel"])
-    of_pieces = of_pieces.select("anchor", "digest", (F.col("base") + F.col("first")).alias("first"), (F.col("base") + F.col("last")).alias("last"))
-    return whole.union(marks.toDF("anchor", "digest", "first", "last")).union(of_pieces)
+    # one row per piece and per segment, however many runs it has: at most as many as its windows
+    spans = marks.union(same).groupBy("bin", "rel").agg(F.collect_list(span).alias("spans"))
+    moved = F.transform("spans", lambda x: F.struct((F.col("base") + x["first"]).alias("first"), (F.col("base") + x["last"]).alias("last")))
+    of_pieces = dealt.select("anchor", "digest", "base", "bin", "rel").join(spans, ["bin", "rel"]).select("anchor", "digest", moved.alias("spans"))
+    every = whole.union(spans.toDF("anchor", "digest", "spans")).union(of_pieces)
+    return every.groupBy("anchor", "digest").agg(F.flatten(F.collect_list("spans")).alias("spans"))
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
@@ -367,7 +372,6 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     runs = common.persist(runs.join(often, "anchor"), "repeated-runs")
     marks = _segment_marks(docs, runs)
     placed = runs.join(marks, ["anchor", "digest"])
-    placed = placed.select("did", "th", F.struct((F.col("start") + F.col("first")).alias("first"), (F.col("start") + F.col("last")).alias("last")).alias("m"))
-    by_text = placed.groupBy("did", "th").agg(F.collect_set("m").alias("marks"))  # at most as many as the text has windows
+    by_text = placed.groupBy("did", "th").agg(F.collect_list(F.struct("start", "spans")).alias("marks"))  # at most as many as the text has windows
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, removed array<struct<start: long, end: long>>"
     return keyed.join(by_text, ["did", "th"], "left").select("doc_id", "text", "marks").mapInArrow(_cut_batches, schema)
