@@ -1,0 +1,176 @@
+"""Near copies by shingle overlap: MinHash bands propose pairs, exact shingle sets confirm them.
+
+A text is the set of its five-word shingles; texts of equal words are one node. A node has BANDS
+keys, each of ROWS minima, so two nodes of similarity s share a key with probability
+1 - (1 - s^ROWS)^BANDS: 0.99997 at 0.8, more above. Nodes of a key are first compared with one of
+them, another for each key; where that leaves a key's nodes in several components, every pair
+across them is compared too, in one task that holds the key's sets once. So no pair that shares a
+key is left out; rows and disk grow with the nodes, but a large group of texts that are half alike
+costs its task time with the square of its size.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from . import common, graph
+from .simhash import shingle_hashes
+
+SHINGLE = 5
+ALIKE = 0.8
+BANDS = 20
+ROWS = 4
+_FLUSH = 1 << 15
+_RANDOM = np.random.default_rng(8).integers(0, 1 << 63, (2, BANDS * ROWS), np.uint64)
+_FLIP, _TIMES = _RANDOM[0], _RANDOM[1] | np.uint64(1)
+
+
+def node(text: Column) -> Column:
+    """A number for the words of a text, A-Z lower-cased; null counts as empty."""
+    low = F.translate(F.coalesce(text, F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    return F.xxhash64(F.btrim(F.regexp_replace(low, r"[\x20\x09-\x0D]+", " ")))
+
+
+def _minima(hashes: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """The minima of every function, for each run of hashes that begins at starts."""
+    return np.column_stack([np.minimum.reduceat((hashes ^ flip) * times, starts) for flip, times in zip(_FLIP, _TIMES)])
+
+
+def _keys(minima: np.ndarray) -> np.ndarray:
+    """One key per row and band."""
+    out = np.arange(1, BANDS + 1, dtype=np.uint64)[None] * np.ones((len(minima), 1), np.uint64)
+    for row in range(ROWS):
+        out = (out ^ minima[:, row::ROWS]) * np.uint64(0x9E3779B97F4A7C15)
+        out ^= out >> np.uint64(29)
+    return out
+
+
+def _key_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        nodes = batch.column("node").to_numpy(zero_copy_only=False)
+        minima = np.full((len(nodes), BANDS * ROWS), np.uint64(0xFFFFFFFFFFFFFFFF))
+        held: list[int] = []
+        starts: list[int] = []
+        owners: list[int] = []
+
+        def flush() -> None:
+            if held:
+                np.minimum.at(minima, owners, _minima(np.array(held, np.uint64), np.array(starts)))
+                held.clear(), starts.clear(), owners.clear()
+
+        for i, view in enumerate(common.rows(batch.column("text"))):
+            for hashes in shingle_hashes(bytes(view), SHINGLE):
+                owners.append(i)
+                starts.append(len(held))
+                held += hashes
+                if len(held) >= _FLUSH:
+                    flush()
+        flush()
+        keys = _keys(minima).view(np.int64).ravel()
+        yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.repeat(nodes, BANDS))], ["key", "node"])
+
+
+def _set_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        sets = []
+        for view in common.rows(batch.column("text")):
+            hashes = [np.array(h, np.uint64) for h in shingle_hashes(bytes(view), SHINGLE)]
+            sets.append(np.unique(np.concatenate(hashes)).tobytes() if hashes else b"")
+        yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(sets, pa.binary())], ["node", "shingles"])
+
+
+def similarity(a: np.ndarray, b: np.ndarray) -> float:
+    """Jaccard similarity of two sorted sets; two empty ones are equal."""
+    if not len(a) or not len(b):
+        return float(len(a) == len(b))
+    places = np.minimum(np.searchsorted(b, a), len(b) - 1)
+    both = int((b[places] == a).sum())
+    return both / (len(a) + len(b) - both)
+
+
+def _confirm_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        one, other = (common.rows(batch.column(c)) for c in ("shingles", "others"))
+        alike = [similarity(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) >= ALIKE for x, y in zip(one, other)]
+        yield batch.select(["a", "b"]).filter(pa.array(alike, pa.bool_()))
+
+
+def _group_links(sets: list[np.ndarray], roots: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Links between the texts of one key that are alike and not yet of one component."""
+    roots = np.unique(roots, return_inverse=True)[1]
+    size = np.array([len(s) for s in sets])
+    starts = np.append(0, np.cumsum(size))
+    shingle, places = np.unique(np.concatenate(sets), return_inverse=True)
+    held = np.zeros(len(shingle), bool)
+    for i in range(len(sets) - 1):
+        mine = places[starts[i] : starts[i + 1]]
+        held[mine] = True
+        both = np.add.reduceat(held[places[starts[i + 1] :]], starts[i + 1 : -1] - starts[i + 1], dtype=np.int64)
+        held[mine] = False
+        alike = both >= ALIKE * (size[i] + size[i + 1 :] - both)
+        for j in (np.flatnonzero(alike & (roots[i + 1 :] != roots[i])) + i + 1).tolist():
+            if roots[j] != roots[i]:
+                yield i, j
+                roots[roots == roots[j]] = roots[i]
+
+
+def _group_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by key: a group that goes on in the next batch waits for it."""
+    current, nodes, roots, sets = None, [], [], []
+
+    def found() -> pa.RecordBatch:
+        ends = list(_group_links(sets, np.array(roots))) if len(sets) > 1 else []
+        return pa.RecordBatch.from_arrays([pa.array([nodes[x[k]] for x in ends], pa.int64()) for k in range(2)], ["a", "b"])
+
+    for batch in batches:
+        columns = [batch.column(c).to_pylist() for c in ("key", "node", "root", "shingles")]
+        for key, node_, root, shingles in zip(*columns):
+            if key != current:
+                yield found()
+                current, nodes, roots, sets = key, [], [], []
+            if shingles:
+                nodes.append(node_), roots.append(root), sets.append(np.frombuffer(shingles, np.uint64))
+    yield found()
+
+
+def _ordered(one: str, other: str) -> list[Column]:
+    return [F.least(one, other).alias("a"), F.greatest(one, other).alias("b")]
+
+
+def links(texts: DataFrame) -> DataFrame:
+    """Links (a, b) that connect the nodes of `texts` (node, text) at a similarity of ALIKE or more."""
+    keys = common.persist(texts.mapInArrow(_key_batches, "key long, node long").distinct(), "keys")
+    order = F.struct(F.xxhash64("key", "node"), "node")
+    heads = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min(order).alias("head")).where("n > 1").select("key", F.col("head.node").alias("head"))
+    shared = common.persist(keys.join(heads, "key"), "shared")
+    first = shared.where("node <> head").select(*_ordered("node", "head")).distinct()
+    chosen = texts.join(shared.select("node").distinct(), "node", "left_semi").mapInArrow(_set_batches, "node long, shingles binary")
+    sets = common.persist(common.persist(chosen, "shingles").dropDuplicates(["node"]), "sets")
+    both = first.join(sets.toDF("a", "shingles"), "a").join(sets.toDF("b", "others"), "b")
+    found = common.persist(both.mapInArrow(_confirm_batches, "a long, b long"), "alike")
+    placed = shared.join(graph.components(found), "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
+    placed = common.persist(placed, "placed")
+    split = placed.groupBy("key").agg(F.min("root").alias("l"), F.max("root").alias("m")).where("l <> m").select("key")
+    left = placed.join(split, "key", "left_semi").join(sets, "node")
+    grouped = left.repartition(common.partitions(texts.sparkSession), "key").sortWithinPartitions("key")
+    return found.union(common.persist(grouped.mapInArrow(_group_batches, "a long, b long"), "alike"))
+
+
+def near_copies(docs: DataFrame) -> DataFrame:
+    """(doc_id, node, component_id) of each row of `docs`: the smallest doc_id that it reaches over links.
+
+    Null text counts as empty, and empty texts are copies of each other. Repeated rows are kept; a
+    null doc_id stays and never names a component unless all its rows are null.
+    """
+    common.ready(docs.sparkSession)
+    texts = docs.select("doc_id", node(F.col("text")).alias("node"), F.coalesce("text", F.lit("")).alias("text"))
+    texts = common.persist(texts, "words")
+    roots = graph.components(links(texts.select("node", "text")))
+    named = texts.select("doc_id", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    least = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    return named.join(least, "root").select("doc_id", "node", "component_id")

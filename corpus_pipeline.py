@@ -1,11 +1,11 @@
-"""A training corpus from documents: quality rules, exact and near dedup, personal data, packing."""
+"""A training corpus from documents: quality rules, exact and near dedup, near copies, personal data, packing."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from aerolake.llm import common, exact, packing, pii, quality, simhash
+from aerolake.llm import common, exact, overlap, packing, pii, quality, simhash
 
 def _key() -> Column:
     """doc_id, its lack a number of its own."""
@@ -48,6 +48,14 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return docs.withColumn(key, _key()).join(kept, key, "left_semi").select(*docs.columns)
 
 
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of texts linked by a five-word shingle similarity of 0.8 or more the one with the smallest doc_id stays."""
+    key, node = _free(docs, "id"), _free(docs, "node")
+    found = overlap.near_copies(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    kept = found.select(_key().alias(key), F.col("node").alias(node)).distinct()
+    return docs.withColumns({key: _key(), node: overlap.node(F.col("text"))}).join(kept, [key, node], "left_semi").select(*docs.columns)
+
+
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data gives way to the label of its kind."""
     columns = docs.columns
@@ -63,6 +71,7 @@ STAGES = [
     ("quality rules", quality_rules),
     ("exact dedup", exact_dedup),
     ("near dedup", near_dedup),
+    ("near copies", near_copies),
     ("personal data", personal_data),
     ("packing", pack),
 ]
