@@ -13,7 +13,7 @@ from . import common
 
 #: Spans of the added kinds need this score; the base kinds stay whatever theirs is.
 THRESHOLD = 0.6
-#: Code points before a span in which a context word counts.
+#: Code points on either side of a span in which a context word counts.
 CONTEXT = 48
 _CONTEXT_GAIN = 0.35
 
@@ -23,7 +23,31 @@ _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
+_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?=(?:\x20?[A-Z0-9]){11})")
+#: Characters of an account number, by country.
+_IBAN_SIZES = {
+    size: names.split()
+    for size, names in {
+        15: "NO",
+        16: "BE",
+        18: "DK FI FO GL NL",
+        19: "MK SI",
+        20: "AT BA EE KZ LT LU XK",
+        21: "CH HR LI LV",
+        22: "BG BH CR DE GB GE IE ME RS VA",
+        23: "AE GI IL IQ TL",
+        24: "AD CZ ES MD PK RO SA SE SK TN VG",
+        25: "PT",
+        26: "IS TR",
+        27: "FR GR IT MC SM",
+        28: "AL AZ BY CY DO GT HU LB PL SV",
+        29: "BR EG PS QA UA",
+        30: "JO KW MU",
+        31: "MT SC",
+        32: "LC",
+    }.items()
+}
+_IBAN_SIZE = {name: size for size, names in _IBAN_SIZES.items() for name in names}
 _SSN = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
 _ANY = re.compile(r"[0-9@]")
 
@@ -77,6 +101,29 @@ def _emails(text: str) -> Iterator[tuple[int, int]]:
         at = text.find("@", done)
 
 
+def _ibans(text: str) -> Iterator[tuple[int, int]]:
+    """Account numbers: of the country's length, else as long as can be, that pass the check and end a word."""
+    done = 0
+    for head in _IBAN.finditer(text):
+        if head.start() < done:
+            continue
+        ends, at, n = {}, head.end(), 4
+        while n < 34:
+            at += text[at : at + 1] == " "
+            if not (c := text[at : at + 1]) or not ("A" <= c <= "Z" or "0" <= c <= "9"):
+                break
+            at, n = at + 1, n + 1
+            after = text[at : at + 1]
+            if n >= 15 and not (after.isascii() and after.isalnum()):
+                ends[n] = at
+        usual = _IBAN_SIZE.get(head[0][:2])
+        for n in sorted(ends, key=lambda n: (n != usual, -n)):
+            if mod97(text[head.start() : ends[n]]):
+                done = ends[n]
+                yield head.start(), done
+                break
+
+
 def _all(pattern: re.Pattern) -> Callable[[str], Iterator[tuple[int, int]]]:
     return lambda text: (m.span() for m in pattern.finditer(text))
 
@@ -96,7 +143,7 @@ KINDS = (
     Kind("ip", _all(_IP), _is_ip, 0.6, ("ip", "address", "server", "host")),
     Kind("card", _all(_CARD), _is_card, 0.65, ("card", "credit", "visa", "payment")),
     Kind("phone", _all(_PHONE), _is_phone, 0.6, ("phone", "call", "tel", "mobile", "fax")),
-    Kind("iban", _all(_IBAN), mod97, 0.65, ("iban", "account", "bank", "transfer"), base=False),
+    Kind("iban", _ibans, mod97, 0.65, ("iban", "account", "bank", "transfer"), base=False),
     Kind("ssn", _all(_SSN), _is_ssn, 0.4, ("ssn", "social", "security", "tax"), base=False),
 )
 _ORDER = {kind.name: n for n, kind in enumerate(KINDS)}
@@ -111,8 +158,8 @@ def spans(text: str) -> list[tuple[str, int, int, float, bool]]:
         for start, end in kind.propose(text):
             if not kind.valid(text[start:end]):
                 continue
-            before = re.findall(r"[a-z]+", text[max(0, start - CONTEXT) : start].lower())
-            score = min(1.0, kind.score + _CONTEXT_GAIN * any(w in kind.words for w in before))
+            around = f"{text[max(0, start - CONTEXT) : start]} {text[end : end + CONTEXT]}"
+            score = min(1.0, kind.score + _CONTEXT_GAIN * any(w in kind.words for w in re.findall(r"[a-z]+", around.lower())))
             if kind.base or score >= THRESHOLD:
                 found.append((kind.name, start, end, round(score, 2), kind.base))
     return sorted(found, key=lambda s: (s[1], _ORDER[s[0]], s[2]))
