@@ -32,6 +32,8 @@ CAPACITY = 2048
 END_ID = 1
 #: Characters that Python takes for white space and the tokenizer does not.
 _SEPARATORS = ("\x1c", "\x1d", "\x1e", "\x1f")
+#: Begins each of the vocabulary's added tokens, in any case of its letters.
+_ADDED = "<|"
 #: The vocabulary's own split of lower-cased ASCII without white space.
 _ASCII = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
 _ANY = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
@@ -57,6 +59,7 @@ class Encoder:
 
     The tokenizer drops white space and no token crosses it, so a text's ids are those of its
     white-space-separated chunks in order; chunks and words are remembered, in bounded memory.
+    A text that may hold an added token goes to the tokenizer as a whole.
     """
 
     def __init__(self, path: str) -> None:
@@ -64,7 +67,6 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
-        self.whole.encode_special_tokens = True
         self.model = self.whole.model
         self.chunks = Generations(self._chunks, 200_000, batched=True)
         self.words = Generations(self._word, 150_000)
@@ -81,7 +83,7 @@ class Encoder:
         return [b"".join([known[w] for w in words]) for words in split]
 
     def encode(self, text: str) -> bytes:
-        if any(c in text for c in _SEPARATORS):
+        if _ADDED in text or any(c in text for c in _SEPARATORS):
             return b"".join(i.to_bytes(4, "little") for i in self.whole.encode(text, add_special_tokens=False).ids)
         out, at = [], 0
         while at < len(text):
