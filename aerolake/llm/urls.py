@@ -38,7 +38,7 @@ PATTERNS = (
     Pattern("listing page", r"[?&]page=[0-9]+(&|#|$)", ("page",)),
     Pattern("tag listing", r"/tag/[^/?#]+/page/[0-9]+", ("tag", "page")),
     Pattern("print view", r"[?&]print=(1|true|yes)(&|#|$)", ("print",)),
-    Pattern("login form", r"/wp-login[.]php", ("wp", "login", "php")),
+    Pattern("login form", r"/wp-login[.]php", ("wp", "login")),
     Pattern("admin area", r"/wp-admin(/|$)", ("wp", "admin")),
     Pattern("session id", r"[?&;]phpsessid=[0-9a-z]+", ("phpsessid",)),
     Pattern("cart", r"/cart(/|[?]|$)", ("cart",)),
