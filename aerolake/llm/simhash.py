@@ -4,7 +4,15 @@ Two fingerprints that differ in at most 3 bits have a 32-bit half that differs i
 each half the anchors are the words of Hamming(31, 26) x {0, 1}: 2^27 words of covering radius 1.
 A fingerprint goes to every anchor within covering radius + threshold = 2 of its half (2 or 17 of
 them), so the anchor nearest to one fingerprint of a linked pair holds the other too. Fingerprints
-are compared per anchor only.
+are compared per anchor only. The fingerprints of a crowded anchor, where a template makes many
+texts agree on one half, are dealt on by the anchors of the other half's 16-bit quarters (one of
+which differs in at most 1 bit), and those of a crowded quarter once more by the last quarter.
+
+`near_copies` finds texts by their similarity instead: PRINTS fingerprints of the set of word
+shingles, each half with its anchors. Two texts of similarity 0.8 differ in 15 bits of 100 and share
+an anchor on a given half in about one case of five, so on some half in 0.96 of all cases (0.99 at
+0.85). Texts of an anchor that also agree on another fingerprint are proposed as a group, and the
+exact shingle sets confirm or refute the links of each group.
 """
 
 from __future__ import annotations
@@ -14,13 +22,20 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common, graph
 
 SHINGLE = 3
 THRESHOLD = 3
+#: Fingerprints of one anchor that a task compares before it deals them on.
+CROWD = 4096
+#: Rules of near_copies: words to a shingle, least similarity, fingerprints, most bits between two texts of a group.
+WORDS = 5
+ALIKE = 0.8
+PRINTS = 8
+LOOSE = 17
 _SEED = 42
 _LANES = np.uint64(0x0101010101010101)
 _FLUSH = 1 << 16
@@ -90,32 +105,40 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return common.texts(docs).mapInArrow(_fingerprint_batches, "doc_id long, fp long")
 
 
-def _syndromes() -> np.ndarray:
-    """Hamming syndrome of each byte at each of the 4 places of a half; bit 31 is outside the code."""
-    table = np.zeros((4, 256), np.uint8)
-    for place in range(4):
+def _syndromes(bits: int) -> np.ndarray:
+    """Hamming syndrome of each byte at each place of a word of `bits` bits; the last bit is outside the code."""
+    table = np.zeros((bits // 8, 256), np.uint8)
+    for place in range(bits // 8):
         for bit in range(8):
             position = 8 * place + bit + 1
-            if position <= 31:
+            if position < bits:
                 table[place, (np.arange(256) >> bit) & 1 == 1] ^= position
     return table
 
 
-_SYNDROME = _syndromes()
-#: For each syndrome s the 15 two-bit masks i, j with i ^ j = s: they lead to codewords at distance 2.
-_PAIRS = np.array([[(1 << (i - 1)) | (1 << ((i ^ s) - 1)) for i in range(1, 32) if i < (i ^ s)] if s else [0] * 15 for s in range(32)], np.uint32)
+def _pairs(bits: int) -> np.ndarray:
+    """For each syndrome s the two-bit masks i, j with i ^ j = s: they lead to codewords at distance 2."""
+    return np.array([[(1 << (i - 1)) | (1 << ((i ^ s) - 1)) for i in range(1, bits) if i < (i ^ s)] if s else [0] * (bits // 2 - 1) for s in range(bits)], np.uint32)
 
 
-def anchors(half: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Every anchor within distance 2 of each 32-bit half: (index of the half, anchor)."""
-    octets = half.astype("<u4").view(np.uint8).reshape(-1, 4)
-    s = np.bitwise_xor.reduce([_SYNDROME[p, octets[:, p]] for p in range(4)], axis=0)
-    nearest = half ^ np.where(s > 0, np.uint32(1) << (np.maximum(s, 1) - 1).astype(np.uint32), np.uint32(0))
-    near = np.column_stack([nearest, nearest ^ np.uint32(1 << 31)])
+_CODES = {bits: (_syndromes(bits), _pairs(bits)) for bits in (16, 32)}
+
+
+def anchors(part: np.ndarray, bits: int = 32) -> tuple[np.ndarray, np.ndarray]:
+    """Every anchor within distance 2 of each 32-bit half or 16-bit quarter: (index of the part, anchor)."""
+    syndrome, pairs = _CODES[bits]
+    octets = part.astype("<u4").view(np.uint8).reshape(-1, 4)
+    s = np.bitwise_xor.reduce([syndrome[p, octets[:, p]] for p in range(bits // 8)], axis=0)
+    nearest = part ^ np.where(s > 0, np.uint32(1) << (np.maximum(s, 1) - 1).astype(np.uint32), np.uint32(0))
+    near = np.column_stack([nearest, nearest ^ np.uint32(1 << (bits - 1))])
     off = np.flatnonzero(s)
-    far = half[off, None] ^ _PAIRS[s[off]]
-    every = np.arange(len(half))
-    return np.concatenate([np.repeat(every, 2), np.repeat(off, 15)]), np.concatenate([near.ravel(), far.ravel()])
+    far = part[off, None] ^ pairs[s[off]]
+    every = np.arange(len(part))
+    return np.concatenate([np.repeat(every, 2), np.repeat(off, pairs.shape[1])]), np.concatenate([near.ravel(), far.ravel()])
+
+
+def _half(prints: np.ndarray, side: int) -> np.ndarray:
+    return ((prints >> np.uint64(32 * side)) & np.uint64(0xFFFFFFFF)).astype(np.uint32)
 
 
 def _anchor_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -124,9 +147,9 @@ def _anchor_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         for at in range(0, len(prints), 4096):
             block = prints[at : at + 4096]
             for side in range(2):
-                index, anchor = anchors(((block >> np.uint64(32 * side)) & np.uint64(0xFFFFFFFF)).astype(np.uint32))
+                index, anchor = anchors(_half(block, side))
                 keys = anchor.astype(np.int64) + (side << 32)
-                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(block[index].view(np.int64))], ["anchor", "fp"])
+                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(block[index].view(np.int64))], ["key", "fp"])
 
 
 def _root_labels(n: int, a: np.ndarray, b: np.ndarray, labels: np.ndarray | None = None) -> np.ndarray:
@@ -148,8 +171,8 @@ _SMALL = 64
 _CELLS = 1 << 20
 
 
-def _compare(keys: np.ndarray, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Star links between fingerprints of one anchor, for sorted keys of whole groups."""
+def _component_labels(keys: np.ndarray, prints: np.ndarray, bits: int) -> np.ndarray:
+    """Least index that each fingerprint reaches inside its anchor over links of `bits` bits or fewer, for sorted keys of whole groups."""
     n = len(keys)
     labels = np.arange(n)
     begin = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
@@ -160,7 +183,7 @@ def _compare(keys: np.ndarray, prints: np.ndarray) -> tuple[np.ndarray, np.ndarr
         i = np.flatnonzero((keys[lag:] == keys[:-lag]) & small[lag:])
         if not len(i):
             continue
-        i = i[np.bitwise_count(prints[i] ^ prints[i + lag]) <= THRESHOLD]
+        i = i[np.bitwise_count(prints[i] ^ prints[i + lag]) <= bits]
         a.append(i)
         b.append(i + lag)
     if a:
@@ -170,38 +193,102 @@ def _compare(keys: np.ndarray, prints: np.ndarray) -> tuple[np.ndarray, np.ndarr
         own = np.arange(length)
         block = max(1, _CELLS // length)
         for at in range(0, length, block):
-            i, j = np.nonzero(np.bitwise_count(group[at : at + block, None] ^ group[None, at:]) <= THRESHOLD)
+            i, j = np.nonzero(np.bitwise_count(group[at : at + block, None] ^ group[None, at:]) <= bits)
             own = _root_labels(length, i + at, j + at, own)
         labels[start : start + length] = own + start
-    linked = np.flatnonzero(labels != np.arange(n))
-    return prints[linked].view(np.int64), prints[labels[linked]].view(np.int64)
+    return labels
 
 
-def _link_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by anchor: a group that goes on in the next batch waits for it (8 bytes a fingerprint)."""
-    keys, prints = np.zeros(0, np.int64), np.zeros(0, np.uint64)
+def _compare(keys: np.ndarray, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Star links between fingerprints of one anchor, for sorted keys of whole groups."""
+    labels = _component_labels(keys, prints, THRESHOLD)
+    linked = np.flatnonzero(labels != np.arange(len(keys)))
+    return prints[linked].view(np.int64), prints[labels[linked]].view(np.int64)
 
-    def links(upto: int) -> pa.RecordBatch:
-        a, b = _compare(keys[:upto], prints[:upto])
-        pairs = np.unique(np.column_stack([a, b]), axis=0) if len(a) else np.zeros((0, 2), np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
-    for batch in batches:
-        keys = np.concatenate([keys, batch.column("anchor").to_numpy(zero_copy_only=False)])
-        prints = np.concatenate([prints, batch.column("fp").to_numpy(zero_copy_only=False).view(np.uint64)])
-        upto = int(np.searchsorted(keys, keys[-1])) if len(keys) else 0
-        if upto:
-            yield links(upto)
-            keys, prints = keys[upto:], prints[upto:]
-    if len(keys):
-        yield links(len(keys))
+def _dealt(key: int, level: int, prints: np.ndarray) -> pa.RecordBatch:
+    """The fingerprints of a crowded anchor, each with its next keys.
+
+    Level 1 knows one half to be alike, and takes the anchors of both quarters of the other half.
+    Level 2 knows three quarters, and takes the bytes within 1 bit of each byte of the last one.
+    """
+    side, mark = (key >> 32) & 3, np.uint64(key * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)
+    keys, index = [], []
+    if level == 1:
+        other = _half(prints, 1 - side)
+        for quarter in range(2):
+            i, anchor = anchors((other >> np.uint32(16 * quarter)) & np.uint32(0xFFFF), 16)
+            keys.append(((mark ^ anchor.astype(np.uint64)) >> np.uint64(30) << np.uint64(36)) | anchor.astype(np.uint64) << np.uint64(4) | np.uint64(2 * side + quarter))
+            index.append(i)
+    else:
+        side, quarter = (key >> 1) & 1, key & 1
+        rest = (_half(prints, 1 - side) >> np.uint32(16 * (1 - quarter))) & np.uint32(0xFFFF)
+        near = np.uint32(1) << np.arange(8, dtype=np.uint32)
+        for place in range(2):
+            octet = (rest >> np.uint32(8 * place)) & np.uint32(0xFF)
+            every = np.column_stack([octet, octet[:, None] ^ near[None]])
+            keys.append(mark ^ (every.ravel().astype(np.uint64) | np.uint64(place << 8)) * np.uint64(0xBF58476D1CE4E5B9))
+            index.append(np.repeat(np.arange(len(prints)), 9))
+    keys, index = np.concatenate(keys).view(np.int64), np.concatenate(index)
+    return pa.RecordBatch.from_pydict({"a": pa.array(keys), "b": pa.array(prints[index].view(np.int64)), "level": pa.array(np.full(len(keys), level, np.int32))})
+
+
+_LINK = "a long, b long, level int"
+
+
+def _link_batches(level: int):
+    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows sorted by anchor to links (level 0) of each anchor, or to the next keys of a crowded one's rows.
+
+        A group that goes on in the next batch waits for it, up to CROWD fingerprints.
+        """
+        keys, prints = np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        crowded: int | None = None
+
+        def links(upto: int) -> pa.RecordBatch:
+            a, b = _compare(keys[:upto], prints[:upto])
+            pairs = np.unique(np.column_stack([a, b]), axis=0) if len(a) else np.zeros((0, 2), np.int64)
+            return pa.RecordBatch.from_pydict({"a": pairs[:, 0], "b": pairs[:, 1], "level": np.zeros(len(pairs), np.int32)})
+
+        for batch in batches:
+            keys = np.concatenate([keys, batch.column("key").to_numpy(zero_copy_only=False)])
+            prints = np.concatenate([prints, batch.column("fp").to_numpy(zero_copy_only=False).view(np.uint64)])
+            while len(keys) and level < 3:  # crowded groups leave first
+                begin = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+                size = np.diff(np.append(begin, len(keys)))
+                large = np.flatnonzero((size > CROWD) | (keys[begin] == crowded))
+                if not len(large):
+                    break
+                a, n = int(begin[large[0]]), int(size[large[0]])
+                crowded = int(keys[a])
+                for at in range(a, a + n, CROWD):
+                    yield _dealt(crowded, level, prints[at : min(at + CROWD, a + n)])
+                keys, prints = np.delete(keys, np.s_[a : a + n]), np.delete(prints, np.s_[a : a + n])
+                if a == len(keys):
+                    break  # its rows may go on in the next batch
+            upto = int(np.searchsorted(keys, keys[-1])) if len(keys) else 0
+            if upto:
+                yield links(upto)
+                keys, prints = keys[upto:], prints[upto:]
+        if len(keys):
+            yield links(len(keys))
+
+    return link
 
 
 def links(prints: DataFrame) -> DataFrame:
     """Star links (a, b) that connect distinct fingerprints at 3 or fewer differing bits."""
-    placed = prints.select("fp").mapInArrow(_anchor_batches, "anchor long, fp long")
-    grouped = placed.repartition(common.partitions(prints.sparkSession), "anchor").sortWithinPartitions("anchor")
-    return grouped.mapInArrow(_link_batches, "a long, b long")
+    rows = prints.select("fp").mapInArrow(_anchor_batches, "key long, fp long")
+    found = None
+    for level in (1, 2, 3):
+        grouped = rows.repartition(common.partitions(prints.sparkSession), "key").sortWithinPartitions("key")
+        now = common.persist(grouped.mapInArrow(_link_batches(level), _LINK), "anchor-links")
+        here = now.where("level = 0").select("a", "b")
+        found = here if found is None else found.union(here)
+        rows = now.where(F.col("level") == level).select(F.col("a").alias("key"), F.col("b").alias("fp"))
+        if level == 3 or rows.isEmpty():
+            break
+    return found
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -220,3 +307,185 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
     named = named.join(least, "root").select("fp", "component_id")
     return prints.join(named, "fp").select("doc_id", "fp", "component_id")
+
+
+def node(text: Column) -> Column:
+    """A number for the words of a text, A-Z lower-cased; null counts as empty."""
+    low = F.translate(F.coalesce(text, F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    return F.xxhash64(F.btrim(F.regexp_replace(low, r"[\x20\x09-\x0D]+", " ")))
+
+
+def shingle_set(text: bytes) -> np.ndarray:
+    """The sorted hashes of the different shingles of a text."""
+    hashes = [np.array(h, np.uint64) for h in shingle_hashes(text, WORDS)]
+    return np.unique(np.concatenate(hashes)) if hashes else np.zeros(0, np.uint64)
+
+
+_RANDOM = np.random.default_rng(8).integers(0, 1 << 63, (2, PRINTS), np.uint64)
+_FLIP, _TIMES = _RANDOM[0], _RANDOM[1] | np.uint64(1)
+
+
+def _set_prints(sets: list[np.ndarray]) -> np.ndarray:
+    """PRINTS fingerprints for each non-empty set, one row a set."""
+    size = np.array([len(x) for x in sets])
+    hashes, starts = np.concatenate(sets), np.cumsum(size) - size
+    weights = np.uint64(1) << np.arange(64, dtype=np.uint64)
+    out = []
+    for flip, times in zip(_FLIP, _TIMES):
+        h = (hashes ^ flip) * times
+        counts = _bit_counts(h ^ (h >> np.uint64(31)), starts)
+        out.append(((2 * counts > size[:, None]).astype(np.uint64) * weights).sum(axis=1, dtype=np.uint64))
+    return np.column_stack(out)
+
+
+def _place_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each text with every anchor of each half of its fingerprints, and the next fingerprint."""
+    for batch in batches:
+        every = [shingle_set(bytes(v)) for v in common.rows(batch.column("text"))]
+        kept = [i for i, x in enumerate(every) if len(x)]
+        nodes = batch.column("node").to_numpy(zero_copy_only=False)[kept]
+        for at in range(0, len(kept), 512):
+            prints = _set_prints([every[i] for i in kept[at : at + 512]])
+            for k in range(PRINTS):
+                after = prints[:, (k + 1) % PRINTS]
+                for side in range(2):
+                    index, anchor = anchors(_half(prints[:, k], side))
+                    columns = {"key": anchor.astype(np.int64) + ((2 * k + side) << 32), "fp": after[index].view(np.int64), "node": nodes[at : at + 512][index]}
+                    yield pa.RecordBatch.from_pydict(columns)
+
+
+def _group_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by anchor to groups of texts that a chain of near fingerprints connects.
+
+    A group is named by its members, so that one group of several anchors is one.
+    """
+    held: list[np.ndarray] = [np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64)]
+
+    def groups(upto: int) -> pa.RecordBatch:
+        keys, prints, nodes = (x[:upto] for x in held)
+        labels = _component_labels(keys, prints, LOOSE)
+        several = np.bincount(labels, minlength=upto)[labels] > 1
+        name = np.zeros(upto, np.uint64)
+        x = nodes.view(np.uint64) * np.uint64(0xBF58476D1CE4E5B9)
+        np.add.at(name, labels, (x ^ (x >> np.uint64(29))) * np.uint64(0x94D049BB133111EB))
+        return pa.RecordBatch.from_pydict({"key": name[labels[several]].view(np.int64), "node": nodes[several]})
+
+    for batch in batches:
+        new = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "fp", "node")]
+        held = [np.concatenate([h, n.view(h.dtype)]) for h, n in zip(held, new)]
+        upto = int(np.searchsorted(held[0], held[0][-1])) if len(held[0]) else 0
+        if upto:
+            yield groups(upto)
+            held = [x[upto:] for x in held]
+    if len(held[0]):
+        yield groups(len(held[0]))
+
+
+def _set_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        sets = [shingle_set(bytes(v)).tobytes() for v in common.rows(batch.column("text"))]
+        yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(sets, pa.binary())], ["node", "shingles"])
+
+
+def similarity(a: np.ndarray, b: np.ndarray) -> float:
+    """Jaccard similarity of two sorted sets; two empty ones are equal."""
+    if not len(a) or not len(b):
+        return float(len(a) == len(b))
+    places = np.minimum(np.searchsorted(b, a), len(b) - 1)
+    both = int((b[places] == a).sum())
+    return both / (len(a) + len(b) - both)
+
+
+def _confirm_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        one, other = (common.rows(batch.column(c)) for c in ("shingles", "others"))
+        alike = [similarity(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) >= ALIKE for x, y in zip(one, other)]
+        yield batch.select(["a", "b"]).filter(pa.array(alike, pa.bool_()))
+
+
+def _group_links(sets: list[np.ndarray], roots: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Links between the texts of one key that are alike and not yet of one component."""
+    roots = np.unique(roots, return_inverse=True)[1]
+    size = np.array([len(s) for s in sets])
+    starts = np.append(0, np.cumsum(size))
+    shingle, places = np.unique(np.concatenate(sets), return_inverse=True)
+    held = np.zeros(len(shingle), bool)
+    for i in range(len(sets) - 1):
+        mine = places[starts[i] : starts[i + 1]]
+        held[mine] = True
+        both = np.add.reduceat(held[places[starts[i + 1] :]], starts[i + 1 : -1] - starts[i + 1], dtype=np.int64)
+        held[mine] = False
+        alike = both >= ALIKE * (size[i] + size[i + 1 :] - both)
+        for j in (np.flatnonzero(alike & (roots[i + 1 :] != roots[i])) + i + 1).tolist():
+            if roots[j] != roots[i]:
+                yield i, j
+                roots[roots == roots[j]] = roots[i]
+
+
+def _rest_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by key: a group that goes on in the next batch waits for it."""
+    current, nodes, roots, sets = None, [], [], []
+
+    def found() -> pa.RecordBatch:
+        ends = list(_group_links(sets, np.array(roots))) if len(sets) > 1 else []
+        return pa.RecordBatch.from_arrays([pa.array([nodes[x[k]] for x in ends], pa.int64()) for k in range(2)], ["a", "b"])
+
+    for batch in batches:
+        columns = [batch.column(c).to_pylist() for c in ("key", "node", "root", "shingles")]
+        for key, node_, root, shingles in zip(*columns):
+            if key != current:
+                yield found()
+                current, nodes, roots, sets = key, [], [], []
+            if shingles:
+                nodes.append(node_), roots.append(root), sets.append(np.frombuffer(shingles, np.uint64))
+    yield found()
+
+
+def _ordered(one: str, other: str) -> list[Column]:
+    return [F.least(one, other).alias("a"), F.greatest(one, other).alias("b")]
+
+
+def copy_links(texts: DataFrame) -> DataFrame:
+    """Links (a, b) that connect the nodes of `texts` (node, text) at a similarity of ALIKE or more.
+
+    The texts of a proposed group are first compared with one of them; where that leaves the group
+    in several components, every pair across them is compared too, in one task that holds the
+    group's sets once. So no pair of a group is left out and rows grow with the texts, but a large
+    group of texts that are half alike costs its task time with the square of its size.
+    """
+    n = common.partitions(texts.sparkSession)
+    placed = texts.mapInArrow(_place_batches, "key long, fp long, node long").repartition(n, "key").sortWithinPartitions("key", "node")
+    keys = common.persist(placed.mapInArrow(_group_batches, "key long, node long").distinct(), "groups")
+    order = F.struct(F.xxhash64("key", "node"), "node")
+    heads = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min(order).alias("head")).where("n > 1").select("key", F.col("head.node").alias("head"))
+    shared = common.persist(keys.join(heads, "key"), "shared")
+    first = shared.where("node <> head").select(*_ordered("node", "head")).distinct()
+    chosen = texts.join(shared.select("node").distinct(), "node", "left_semi").mapInArrow(_set_batches, "node long, shingles binary")
+    sets = common.persist(chosen.dropDuplicates(["node"]), "sets")
+    both = first.join(sets.toDF("a", "shingles"), "a").join(sets.toDF("b", "others"), "b")
+    found = common.persist(both.mapInArrow(_confirm_batches, "a long, b long"), "alike")
+    rooted = shared.join(graph.components(found), "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
+    rooted = common.persist(rooted, "rooted")
+    split = rooted.groupBy("key").agg(F.min("root").alias("l"), F.max("root").alias("m")).where("l <> m").select("key")
+    left = rooted.join(split, "key", "left_semi").join(sets, "node")
+    grouped = left.repartition(n, "key").sortWithinPartitions("key", "node")
+    more = common.persist(grouped.mapInArrow(_rest_batches, "a long, b long"), "alike")
+    for done in (keys, shared, sets, rooted):
+        common.discard(done)
+    return found.union(more)
+
+
+def near_copies(docs: DataFrame) -> DataFrame:
+    """(doc_id, node, component_id, keep_node) of each row of `docs`: the component of texts linked at ALIKE or more.
+
+    component_id is the smallest doc_id of the component, keep_node the number of the words of its
+    text. Texts of equal words are one node, and empty texts are copies of each other. Repeated
+    rows are kept; a null doc_id stays and never names a component unless all its rows are null.
+    """
+    common.ready(docs.sparkSession)
+    texts = docs.select("doc_id", node(F.col("text")).alias("node"), F.coalesce("text", F.lit("")).alias("text"))
+    roots = graph.components(copy_links(texts.select("node", "text")))
+    named = texts.select("doc_id", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "node")
+    least = named.groupBy("root").agg(F.min(order).alias("least")).select("root", F.col("least.doc_id").alias("component_id"), F.col("least.node").alias("keep_node"))
+    return named.join(least, "root").select("doc_id", "node", "component_id", "keep_node")
