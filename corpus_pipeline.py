@@ -1,11 +1,17 @@
-"""A training corpus from documents: quality rules, exact and near dedup, near copies, personal data, packing."""
+"""A training corpus from documents: quality rules, exact dedup, near dedup, personal data, packing.
+
+Every stage takes and, but for packing, returns the columns of `docs`, of whatever other names. A null text
+counts as empty and stays null where it stays; rows without a doc_id are documents of their own and come after
+all others; an empty table gives an empty one.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from aerolake.llm import common, exact, overlap, packing, pii, quality, simhash
+from aerolake.llm import common, exact, packing, pii, quality, simhash
+
 
 def _key() -> Column:
     """doc_id, its lack a number of its own."""
@@ -22,6 +28,7 @@ def _free(docs: DataFrame, name: str) -> str:
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejected documents go; of those that stay, the lines that fail go.
 
+    Each row is judged by itself, repeated rows alike; a null or empty text is rejected.
     The filter also looks at the partition's number, which is not deterministic and always passes:
     the optimizer then doesn't move it below the measures and evaluate all of them anew.
     """
@@ -32,7 +39,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the row with the largest doc_id stays, once."""
+    """Of equal texts the row with the largest doc_id stays, once; rows that repeat are one; texts that share a doc_id differ and stay."""
     key, sha = _free(docs, "id"), _free(docs, "sha")
     found = exact.duplicates(docs).where("kept")
     kept = found.select(_key().alias(key), F.col("text_sha256").alias(sha)).distinct()
@@ -41,29 +48,26 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the smallest doc_id stays."""
-    key = _free(docs, "id")
-    found = simhash.near_duplicates(docs)
-    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(_key().alias(key)).distinct()
-    return docs.withColumn(key, _key()).join(kept, key, "left_semi").select(*docs.columns)
+    """Of texts linked by a five-word shingle similarity of 0.8 or more the one with the smallest doc_id stays.
 
-
-def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of texts linked by a five-word shingle similarity of 0.8 or more the one with the smallest doc_id stays."""
+    Texts of equal words count as one, and of several with that doc_id one stays; so do the empty ones. A text
+    that only shares the doc_id of another is judged by itself.
+    """
     key, node = _free(docs, "id"), _free(docs, "node")
-    found = overlap.near_copies(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    found = simhash.near_copies(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("node") == F.col("keep_node")))
     kept = found.select(_key().alias(key), F.col("node").alias(node)).distinct()
-    return docs.withColumns({key: _key(), node: overlap.node(F.col("text"))}).join(kept, [key, node], "left_semi").select(*docs.columns)
+    keyed = docs.withColumns({key: _key(), node: simhash.node(F.col("text"))})
+    return keyed.join(kept, [key, node], "left_semi").dropDuplicates([key, node]).select(*docs.columns)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data gives way to the label of its kind."""
+    """Personal data gives way to the label of its kind; every row stays, a null text null."""
     columns = docs.columns
     return pii.redact(docs).withColumn("n_chars", F.length("text").cast("long")).select(*columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token sequences of fixed capacity, one row per piece of a document."""
+    """Token sequences of fixed capacity, one row per piece of a document; a null or empty text is its end token."""
     return packing.pack(docs)
 
 
@@ -71,18 +75,19 @@ STAGES = [
     ("quality rules", quality_rules),
     ("exact dedup", exact_dedup),
     ("near dedup", near_dedup),
-    ("near copies", near_copies),
     ("personal data", personal_data),
     ("packing", pack),
 ]
 
-#: Packing and SimHash have no SQL form; the stages are tested against brute force.
+#: Packing and near dedup have no SQL form; the stages are tested against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each but the last written and read again."""
+    """All stages over documents, each but the last written and read again, and gone once the next is written."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES[:-1]:
-        docs = common.persist(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    for n, (name, stage) in enumerate(STAGES[:-1]):
+        given, docs = docs, common.persist(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        if n:
+            common.discard(given)
     return STAGES[-1][1](spark, docs, sf_dir)
