@@ -3,7 +3,8 @@
 A task splits its texts into words, and a query engine inside the task encodes the words it has
 not met: every adjacent pair of tokens of a word is a row, joined to the merge table; each step of
 the recursive query contracts the leftmost pair of least rank of every word and drops the words
-that have no pair left to merge. Tokens are joined back to their bytes and aggregated in position
+that have no pair left to merge. Long words are cut where no token can reach across, and of those
+parts a step contracts all pairs of least rank that it may. Tokens are joined back to their bytes and aggregated in position
 order, which decodes them.
 """
 
@@ -20,23 +21,60 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
 from . import common
 from .cache import Generations
 
-#: Words of more bytes (no white space, one kind of character) are merged pair by pair from a heap.
-LONG_WORD = 256
+#: Rows that one recursive query may keep over all its steps; what is not done then goes on in another.
+_ROWS_AT_ONCE = 2_000_000
 _WORDS_AT_ONCE = 20_000
+#: Bytes of a word up to which the cheaper query takes fewer steps than it is cheaper.
+SHORT_WORD = 64
+#: Bytes of a part without a place to cut up to which it is a query's; the steps of a longer one, which
+#: grow with its length as its rows do, are taken from a heap, with the same result.
+LONG_PART = 4096
+_BYTES_AT_ONCE = 200_000
 #: A space after white space is where a word's leading space depends on what stands before it.
 _RUN = re.compile(r"\s ")
 
-_ENCODE = """
+#: A row is a token at a word's place and the token after it; merged is twice the rank that both have
+#: together, and one more where the new token could form a pair of a lower rank than its own. Every
+#: step contracts a word's pairs of least rank, from the left and none that overlap (adjacent rows are
+#: taken alternately), up to the first whose new token could go on with its neighbour, or with its like,
+#: at a lower rank. So a step is what taking the leftmost least pair again and again gives.
+_CONTRACT = """
+with recursive steps(word, place, l, r, merged, n) as (
+    select p.word, p.place, p.l, p.r, m.merged, 0 from pairs p left join merges m on m.pair = p.l * 65536 + p.r
+    union all
+    select u.word, u.place, u.l, u.r, m.merged, u.n + 1 from (
+        select word, case when before then earlier else place end as place, case when before then best // 2 else l end as l, case when after then best // 2 else r end as r, n from (
+            select word, place, l, r, best, n, chosen, lag(chosen, 1, false) over w as before, lag(place) over w as earlier, lead(chosen, 1, false) over w as after from (
+                select *, turn and place <= coalesce(min(place) filter (turn and lower) over (partition by word), place) as chosen from (
+                    select t.*, turn and best % 2 = 1 and (coalesce(x.merged, best) < best or coalesce(y.merged, best) < best or coalesce(z.merged, best) < best) as lower from (
+                        select *, lag(l) over v as x, lead(r) over v as y, hit and (row_number() over (partition by word, apart order by place) - least(apart, 1)) % 2 = 1 as turn from (
+                            select s.*, best, coalesce(merged = best, false) as hit, count(*) filter (merged is distinct from best) over (partition by s.word order by place rows unbounded preceding) as apart
+                            from steps s join (select word, min(merged) as best from steps where n < $limit group by word having min(merged) is not null) least_ on s.word = least_.word
+                        ) r window v as (partition by word order by place)
+                    ) t left join merges x on turn and best % 2 = 1 and x.pair = t.x * 65536 + best // 2
+                        left join merges y on turn and best % 2 = 1 and y.pair = best // 2 * 65536 + t.y
+                        left join merges z on turn and best % 2 = 1 and z.pair = best // 2 * 65537
+                ) c
+            ) d window w as (partition by word order by place)
+        ) e where not chosen
+    ) u left join merges m on m.pair = u.l * 65536 + u.r
+)
+select word, place, l, r, merged is not null and n = $limit as open from steps qualify n = max(n) over (partition by word)
+"""
+
+#: The same for words of few rows, a pair a step: without windows, hence cheaper while steps are few.
+_CONTRACT_SHORT = """
 with recursive steps(word, a, b, l, r, merged, done) as (
-    select p.word, p.a, p.b, p.l, p.r, m.token, false from pairs p left join merges m on m.pair = p.l * 65536 + p.r
+    select p.word, p.place as a, p.place + 1 as b, p.l, p.r, m.merged // 2, false from pairs p left join merges m on m.pair = p.l * 65536 + p.r
     union all
-    select u.word, u.a, u.b, u.l, u.r, m.token, u.done
+    select u.word, u.a, u.b, u.l, u.r, m.merged // 2, u.done
     from (
         select s.word, s.b,
             case when s.a = best.b then best.a else s.a end as a,
@@ -49,11 +87,16 @@ with recursive steps(word, a, b, l, r, merged, done) as (
         ) best on s.word = best.word
         where not s.done and (best.code is null or s.a <> best.a)
     ) u left join merges m on m.pair = u.l * 65536 + u.r
-),
-tokens as (
-    select word, a as place, l as token from steps where done
+)
+select word, a as place, l, r, false as open from steps where done
+"""
+
+
+_DECODE = """
+with tokens as (
+    select word, place, l as token from done
     union all
-    select word, max(b), arg_max(r, b) from steps where done group by word
+    select word, 2147483647, arg_max(r, place) from done group by word
     union all
     select word, 0, token from known
 )
@@ -78,14 +121,20 @@ class Encoder:
         self.split = regex.compile(pattern).findall
         self.byte = np.array([self.ranks[bytes([b])] for b in range(256)], np.int64)
         left, right, merged = [], [], []
+        low: set[int] = set()  # tokens that form a pair of a lower rank than their own
+        self.together = np.zeros(1 << 16, bool)  # pairs of bytes that some token holds
         for token, rank in self.ranks.items():
+            raw = np.frombuffer(token, np.uint8).astype(np.int64)
+            self.together[raw[:-1] * 256 + raw[1:]] = True
             for k in range(1, len(token)):
                 a, b = self.ranks.get(token[:k]), self.ranks.get(token[k:])
                 if a is not None and b is not None:
                     left.append(a), right.append(b), merged.append(rank)
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "200MB"})
+                    low.update(part for part in (a, b) if rank <= part)
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB", "temp_directory": ""})  # never to a worker's own disk
         pair = np.array(left, np.int64) * 65536 + np.array(right, np.int64)
-        self._table("merges", pa.table({"pair": pair, "token": np.array(merged, np.int64)}))
+        merged = np.array(merged, np.int64)
+        self._table("merges", pa.table({"pair": pair, "merged": 2 * merged + np.isin(merged, sorted(low))}))
         ids = list(self.tokens)
         vocabulary = {"token": np.array(ids, np.int64), "ids": list(map(str, ids)), "hex": [self.tokens[i].hex() for i in ids]}
         self._table("vocabulary", pa.table(vocabulary))
@@ -98,8 +147,44 @@ class Encoder:
         self.db.execute(f"create table {name} as select * from incoming").fetchall()
         self.db.unregister("incoming")
 
+    def _contracted(self, pairs: pa.Table) -> Iterator[pa.Table]:
+        """The last rows of every word, by recursive queries that keep so many rows each."""
+        while pairs.num_rows:
+            self.db.register("pairs", pairs)
+            found = self.db.sql(_CONTRACT, params={"limit": max(1, _ROWS_AT_ONCE // pairs.num_rows)}).to_arrow_table()
+            self.db.unregister("pairs")
+            going = pc.is_in(found["word"], found.filter(found["open"])["word"].combine_chunks())
+            yield found.filter(pc.invert(going))
+            pairs = found.filter(going).drop_columns("open")
+
+    def _query(self, words: list[bytes], short: bool) -> list[tuple[str, bytes]]:
+        known = [(i, self.ranks[w]) for i, w in enumerate(words) if w in self.ranks]
+        rest = [i for i, w in enumerate(words) if w not in self.ranks]
+        raw = np.frombuffer(b"".join([words[i] for i in rest]), np.uint8)
+        size = np.array([len(words[i]) for i in rest], np.int64)
+        owner = np.repeat(np.array(rest, np.int64), size)
+        place = np.arange(len(raw)) - np.repeat(np.cumsum(size) - size, size)
+        token = self.byte[raw]
+        pair = np.flatnonzero(owner[1:] == owner[:-1])
+        pairs = pa.table({"word": owner[pair], "place": place[pair], "l": token[pair], "r": token[pair + 1]})
+        done = [] if short else list(self._contracted(pairs))
+        if short:
+            self.db.register("pairs", pairs)
+            done = [self.db.sql(_CONTRACT_SHORT).to_arrow_table()]
+            self.db.unregister("pairs")
+        empty = pa.table({c: np.zeros(0, np.int64) for c in ("word", "place", "l", "r")})
+        self.db.register("done", pa.concat_tables(done) if done else empty)
+        self.db.register("known", pa.table({"word": np.array([i for i, _ in known], np.int64), "token": np.array([t for _, t in known], np.int64)}))
+        found = self.db.execute(_DECODE).fetchall()
+        self.db.unregister("done"), self.db.unregister("known")
+        out = []
+        for i, ids, digits in found:
+            text = bytes.fromhex(digits)
+            out.append((ids, words[i] if text == words[i] else text))  # one copy of equal bytes
+        return out
+
     def _merge_long(self, word: bytes) -> list[int]:
-        """Leftmost least-rank merges of one long word, from a heap of its pairs."""
+        """Leftmost least-rank merges of one very long part, from a heap of its pairs."""
         parts: list[bytes | None] = [word[i : i + 1] for i in range(len(word))]
         after, before = list(range(1, len(parts) + 1)), list(range(-1, len(parts) - 1))
         heap: list[tuple[int, int, bytes, bytes]] = []
@@ -124,37 +209,34 @@ class Encoder:
                 offer(before[i])
         return [self.ranks[p] for p in parts if p is not None]
 
-    def _query(self, words: list[bytes]) -> list[tuple[str, bytes]]:
-        known = [(i, self.ranks[w]) for i, w in enumerate(words) if w in self.ranks]
-        rest = [i for i, w in enumerate(words) if w not in self.ranks]
-        raw = np.frombuffer(b"".join([words[i] for i in rest]), np.uint8)
-        size = np.array([len(words[i]) for i in rest], np.int64)
-        owner = np.repeat(np.array(rest, np.int64), size)
-        place = np.arange(len(raw)) - np.repeat(np.cumsum(size) - size, size)
-        token = self.byte[raw]
-        pair = np.flatnonzero(owner[1:] == owner[:-1])
-        pairs = {"word": owner[pair], "a": place[pair], "b": place[pair] + 1, "l": token[pair], "r": token[pair + 1]}
-        self.db.register("pairs", pa.table(pairs))
-        self.db.register("known", pa.table({"word": np.array([i for i, _ in known], np.int64), "token": np.array([t for _, t in known], np.int64)}))
-        found = self.db.execute(_ENCODE).fetchall()
-        self.db.unregister("pairs"), self.db.unregister("known")
-        out = []
-        for i, ids, digits in found:
-            text = bytes.fromhex(digits)
-            out.append((ids, words[i] if text == words[i] else text))  # one copy of equal bytes
-        return out
-
-    def _words(self, words: list[bytes]) -> list[tuple[str, bytes]]:
+    def _whole(self, words: list[bytes]) -> dict[bytes, tuple[str, bytes]]:
+        """All words by recursive queries, as many at once as have so many bytes."""
         out: dict[bytes, tuple[str, bytes]] = {}
-        short = [w for w in words if 0 < len(w) <= LONG_WORD]
-        for k in range(0, len(short), _WORDS_AT_ONCE):
-            block = short[k : k + _WORDS_AT_ONCE]
-            out.update(zip(block, self._query(block)))
         for word in words:
-            if len(word) > LONG_WORD:
+            if len(word) > LONG_PART:
                 ids = self._merge_long(word)
                 out[word] = ",".join(map(str, ids)), b"".join(map(self.tokens.__getitem__, ids))
-        return [out[w] for w in words]
+        for short in (True, False):
+            block: list[bytes] = []
+            size = 0
+            for word in [*(w for w in words if 0 < len(w) <= LONG_PART and (len(w) <= SHORT_WORD) == short), b""]:
+                if block and (not word or size + len(word) > _BYTES_AT_ONCE or len(block) == _WORDS_AT_ONCE):
+                    out.update(zip(block, self._query(block, short)))
+                    block, size = [], 0
+                block.append(word)
+                size += len(word)
+        return out
+
+    def _cut(self, word: bytes) -> list[bytes]:
+        """A long word in parts between which no token of the vocabulary can reach."""
+        raw = np.frombuffer(word, np.uint8).astype(np.int64)
+        at = [0, *(np.flatnonzero(~self.together[raw[:-1] * 256 + raw[1:]]) + 1).tolist(), len(word)]
+        return [word[i:j] for i, j in zip(at, at[1:])]
+
+    def _words(self, words: list[bytes]) -> list[tuple[str, bytes]]:
+        parts = {w: self._cut(w) for w in words if len(w) > SHORT_WORD and w not in self.ranks}
+        known = self._whole(list({p for w in words for p in parts.get(w, (w,))}))
+        return [known[w] if w not in parts else (",".join([known[p][0] for p in parts[w]]), b"".join([known[p][1] for p in parts[w]])) for w in words]
 
     def _chunks(self, chunks: list[bytes], before: bytes) -> list[tuple[str, bytes]]:
         split = [[w.encode() for w in self.split((before + c).decode())] for c in chunks]

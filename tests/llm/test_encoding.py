@@ -86,3 +86,29 @@ def test_lengths_waste_little():
 
 def test_packing_of_nothing(spark):
     assert packing.pack(support.empty(spark)).count() == 0
+
+
+def test_bpe_of_long_words(spark):
+    """Words that are cut, contracted many pairs a step or by several queries, and very long ones, are the library's."""
+    import base64
+    import random
+
+    import public_tokenizers
+    import tiktoken
+    from aerolake.llm import bpe
+
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    with open(path, "rb") as lines:
+        ranks = {base64.b64decode(t): int(r) for t, r in map(bytes.split, lines)}
+    library = tiktoken.Encoding("x", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    encoder = bpe.Encoder(path, public_tokenizers.PATTERN)
+    rng = random.Random(3)
+    words = ["".join(rng.choices(letters, k=n)) for letters in ("ab", "aaab", "etaoinshr", "abcdefghij", "éàü", "你好世界") for n in (65, 66, 100, 300, 1200)]
+    words += ["a" * n for n in (64, 65, 127, 4097)] + ["ab" * 1000, "aab" * 700]
+    for limit in (bpe._ROWS_AT_ONCE, 5000):
+        bpe._ROWS_AT_ONCE, before = limit, bpe._ROWS_AT_ONCE
+        try:
+            for word, (ids, text) in zip(words, encoder._words([w.encode() for w in words])):
+                assert ids == ",".join(map(str, library._encode_single_piece(word))) and text == word.encode()
+        finally:
+            bpe._ROWS_AT_ONCE = before
