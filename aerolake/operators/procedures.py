@@ -35,6 +35,11 @@ def by_type(procedures: DataFrame, kind: str) -> DataFrame:
     return procedures.where(F.col("type") == kind if kind in ("SID", "STAR") else ~F.col("type").isin("SID", "STAR"))
 
 
+def by_approach_type(procedures: DataFrame, approach: str) -> DataFrame:
+    """Approaches of one type of guidance."""
+    return procedures.where(F.col("approachType") == approach)
+
+
 def _join_segments(first: Column, second: Column) -> Column:
     """Both in order; a connecting fix that repeats counts once."""
     repeated = F.upper(F.element_at(first, -1)["fixIdentifier"]) == F.upper(second[0]["fixIdentifier"])
