@@ -57,11 +57,12 @@ class Directory:
 def directory(docs: DataFrame, capacity: int = CAPACITY) -> Directory:
     """The directory for `docs`, from counts of distinct keys per leading bits.
 
-    What reaches the driver is one number for each of at most 8 * rows / capacity prefixes:
-    the size of the directory itself.
+    What reaches the driver is one number for each of at most 16 prefixes to an owner task, whatever
+    the rows: a bucket holds at least an owner's share of them.
     """
     keys = docs.select(F.xxhash64("text").alias("key"))
     rows = keys.count()
+    capacity = max(capacity, -(-rows // common.partitions(docs.sparkSession)))
     finest = min(MAX_DEPTH, max(1, rows // capacity).bit_length() + 3)
     prefix = F.shiftrightunsigned("key", 64 - finest).alias("prefix")
     found = keys.distinct().groupBy(prefix).count().collect()
