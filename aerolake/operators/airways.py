@@ -29,13 +29,19 @@ def _slice_between(waypoints: Column, entry: Column, exit_: Column) -> Column:
 def expand(airways: DataFrame, asked: DataFrame, key: list[str], designation: str = "designation", entry: str = "entryFix", exit_: str = "exitFix") -> DataFrame:
     """The stretch between two fixes for each question: of the first airway of that name that has it.
 
-    Null where entry and exit are the same or missing: such questions give no row. Distances to the
-    next waypoint stay those of the airway's own direction.
+    Questions whose entry and exit are the same or missing give no row. Airways are found by
+    their name and either fix, so a question meets only those that hold both. Distances to the next
+    waypoint stay those of the airway's own direction.
     """
-    keyed = airways.select(F.upper("designation").alias("__key"), "ord", F.col("designation").alias("airway"), "waypoints")
-    met = asked.join(keyed, F.upper(designation) == F.col("__key")).drop("__key")
-    met = met.withColumn("waypoints", _slice_between(F.col("waypoints"), F.col(entry), F.col(exit_))).where(F.col("waypoints").isNotNull())
-    return first_n(met, key, ["ord"], 1).drop("rank")
+    points = airways.select(F.upper("designation").alias("__name"), "ord", F.posexplode("waypoints").alias("__at", "__w")).withColumn("__fix", F.upper("__w.identifier"))
+    ends = asked.select(*key, F.upper(designation).alias("__name"), F.upper(entry).alias("__in"), F.upper(exit_).alias("__out"))
+    first = points.groupBy("__name", "__fix", "ord").agg(F.min("__at").alias("__first"), F.max("__at").alias("__last"))
+    entered = ends.join(first.select("__name", F.col("__fix").alias("__in"), "ord", F.col("__first").alias("__from")), ["__name", "__in"])
+    both = entered.join(first.select("__name", F.col("__fix").alias("__out"), "ord", F.col("__last").alias("__to")), ["__name", "__out", "ord"])
+    chosen = first_n(both.where("__from <> __to"), key, ["ord"], 1).select(*key, "ord")
+    met = asked.join(chosen, key).join(airways.select("ord", F.col("designation").alias("airway"), "waypoints"), "ord")
+    met = met.withColumn("waypoints", _slice_between(F.col("waypoints"), F.col(entry), F.col(exit_)))
+    return met.select(*asked.columns, "ord", "airway", "waypoints")
 
 
 def split_at_antimeridian(airways: DataFrame) -> DataFrame:

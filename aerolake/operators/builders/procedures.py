@@ -25,22 +25,20 @@ def _at(start: int, width: int = 1) -> Column:
     return F.substring("value", start, width)
 
 
-def position(text: Column) -> Column:
-    """Degrees, to 6 places, of a latitude like N40382300 or a longitude like W073462900."""
-    east = F.substring(text, 1, 1).isin("E", "W")
-    skip = F.when(east, 3).otherwise(2)
-    number = [F.substr(text, F.lit(2), skip), F.substr(text, skip + 2, F.lit(2)), F.substr(text, skip + 4, F.lit(4))]
-    size = whole(number[0]) + whole(number[1]) / 60 + whole(number[2]) / 100 / 3600
-    signed = F.when(F.substring(text, 1, 1).isin("S", "W"), -size).otherwise(size)
-    return F.when(F.substring(text, 1, 1).isin("N", "S", "E", "W"), F.floor(signed * 1e6 + 0.5) / 1e6)
+def _degrees(start: int, digits: int, positive: str, negative: str) -> Column:
+    """Degrees, to 6 places, of a position in the record like N40382300 or W073462900."""
+    number = [_at(start + 1, digits), _at(start + 1 + digits, 2), _at(start + 3 + digits, 4)]
+    size = number[0].try_cast("int") + number[1].try_cast("int") / 60 + number[2].try_cast("int") / 360000
+    sign = F.when(_at(start) == positive, 1).when(_at(start) == negative, -1)
+    return F.floor(sign * size * 1e6 + 0.5) / 1e6
 
 
 def _latitude(start: int) -> Column:
-    return F.when(_at(start).isin("N", "S"), position(_at(start, 9)))
+    return _degrees(start, 2, "N", "S")
 
 
 def _longitude(start: int) -> Column:
-    return F.when(_at(start).isin("E", "W"), position(_at(start, 10)))
+    return _degrees(start, 3, "E", "W")
 
 
 def altitude(text: Column) -> Column:
@@ -83,27 +81,26 @@ def _legs(records: DataFrame) -> DataFrame:
 
 
 def fix_index(records: DataFrame) -> DataFrame:
-    """(ident, region, section, lat, lon) of every fix, navaid, airport and runway record; the last of a key stays."""
-    primary = records.where((_at(1) == "S") & _at(22).isin("0", "1"))
-    lat, lon, region, own = _latitude(33), _longitude(42), given(_at(20, 2)), given(_at(11, 2))
+    """(ident, region, section, lat, lon) of every fix, navaid, airport and runway record; the last of a key stays.
 
-    def part(where: Column, ident: Column, region: Column, section: Column, lat: Column = lat, lon: Column = lon) -> DataFrame:
-        return primary.where(where).select("ord", given(ident).alias("ident"), region.alias("region"), section.alias("section"), lat.alias("lat"), lon.alias("lon"))
-
-    whole_ = lat.isNotNull() & lon.isNotNull()
+    Beacons are asked for by either of two codes. A radio station without a position of its own has
+    that of its distance equipment.
+    """
     enroute, radio, beacon = (_at(5) == "E") & (_at(6) == "A"), (_at(5) == "D") & (_at(6) == " "), (_at(5) == "D") & (_at(6) == "B")
-    terminal, station, airport = (_at(5) == "P") & _at(13).isin("C", "G"), (_at(5) == "P") & _at(13).isin("I", "N"), (_at(5) == "P") & (_at(13) == "A")
-    every = part(enroute, _at(14, 5), region, F.lit("EA"))
-    # a radio station without a position of its own has that of its distance equipment
-    every = every.union(part(radio, _at(14, 4), region, F.lit("D "), F.when(whole_, lat).otherwise(_latitude(56)), F.when(whole_, lon).otherwise(_longitude(65))))
-    for section in ("DB", "PN"):  # beacons are asked for by either code
-        every = every.union(part(beacon, _at(14, 4), region, F.lit(section)))
-    every = every.union(part(airport, _at(7, 4), own, F.lit("PA")))
-    every = every.union(part(terminal, _at(14, 5), F.coalesce(region, own), F.concat(F.lit("P"), _at(13))))
-    every = every.union(part(station, _at(14, 4), F.coalesce(region, own), F.concat(F.lit("P"), _at(13))))
-    every = every.where("ident is not null and region is not null and lat is not null and lon is not null")
-    last = every.groupBy("ident", "region", "section").agg(F.max_by(F.struct("lat", "lon"), "ord").alias("p"))
-    return last.select("ident", "region", "section", "p.lat", "p.lon")
+    port = _at(5) == "P"
+    terminal, station, airport = port & _at(13).isin("C", "G"), port & _at(13).isin("I", "N"), port & (_at(13) == "A")
+    section = F.when(enroute, F.array(F.lit("EA"))).when(radio, F.array(F.lit("D "))).when(beacon, F.array(F.lit("DB"), F.lit("PN"))).otherwise(F.array(F.concat(F.lit("P"), _at(13))))
+    own = given(_at(11, 2))
+    region = F.when(airport, own).when(terminal | station, F.coalesce(given(_at(20, 2)), own)).otherwise(given(_at(20, 2)))
+    ident = given(F.when(airport, _at(7, 4)).when(enroute | terminal, _at(14, 5)).otherwise(_at(14, 4)))
+    read = records.where((_at(1) == "S") & _at(22).isin("0", "1") & (enroute | radio | beacon | terminal | station | airport))
+    read = read.select("ord", ident.alias("ident"), region.alias("region"), section.alias("section"), _latitude(33).alias("a"), _longitude(42).alias("b"), F.when(radio, _latitude(56)).alias("c"), F.when(radio, _longitude(65)).alias("d"))
+    first = F.col("a").isNotNull() & F.col("b").isNotNull()
+    point = F.struct(F.when(first, F.col("a")).otherwise(F.col("c")).alias("lat"), F.when(first, F.col("b")).otherwise(F.col("d")).alias("lon")).alias("p")
+    every = read.select("ord", "ident", "region", F.explode("section").alias("section"), point)
+    whole_ = F.when(F.col("p.lat").isNotNull() & F.col("p.lon").isNotNull(), F.col("ord"))
+    last = every.where("ident is not null and region is not null").groupBy("ident", "region", "section").agg(F.max_by("p", whole_).alias("p"))
+    return last.where("p.lat is not null and p.lon is not null").select("ident", "region", "section", "p.lat", "p.lon")
 
 
 def approach_type(route_type: Column) -> Column:

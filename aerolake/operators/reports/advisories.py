@@ -75,6 +75,7 @@ def sigmet_columns(raw: Column) -> Column:
     international = text.rlike(_INTERNATIONAL)
     kind = F.when(convective, "CONVECTIVE").when(international, "INTERNATIONAL").when(text.rlike(r"\bSIGMET\b"), "NON_CONVECTIVE")
     body = F.when(international, F.regexp_extract(text, _INTERNATIONAL, 6)).otherwise(text)
+    fir = c.found(body, r"^(.+? (?:FIR/UIR|FIR|UIR|CTA))(?: |$)")
     hazards = F.array_compact(
         F.array(
             F.when(body.rlike(r"SEV\s+TURB"), "TURBULENCE"),
@@ -93,8 +94,8 @@ def sigmet_columns(raw: Column) -> Column:
         c.day_time_of(F.when(international, c.found(text, _INTERNATIONAL, 3)).otherwise(F.when(c.found(text, _DOMESTIC, 4).isNotNull(), c.found(text, _DOMESTIC, 3)))).alias("validFrom"),
         c.day_time_of(F.when(international, c.found(text, _INTERNATIONAL, 4)).otherwise(F.coalesce(c.found(text, _DOMESTIC, 4), until))).alias("validTo"),
         F.when(international, c.found(text, _INTERNATIONAL, 5)).alias("issuingStation"),
-        F.when(international, c.found(body, r"^([A-Z]{4})\s")).alias("firCode"),
-        F.when(international, c.found(body, r"^[A-Z]{4}\s+(.+?\s(?:FIR|UIR|CTA|FIR/UIR|OCEANIC))\b")).alias("firName"),
+        F.when(international, F.coalesce(c.found(fir, r"^([A-Z]{4}) "), c.found(F.substring_index(text, " SIGMET", 1), r"(?:^| )([A-Z]{4})$"))).alias("firCode"),
+        F.when(international, F.regexp_replace(fir, "^[A-Z]{4} (?=.* )", "")).alias("firName"),
         F.coalesce(text.rlike(r"\b(CANCEL SIGMET|CNL\s+SIGMET)\b"), F.lit(False)).alias("isCancellation"),
         F.coalesce(text.rlike(r"CONVECTIVE SIGMET\.{3}NONE"), F.lit(False)).alias("isNone"),
         _states(F.coalesce(c.found(text, r"(?:\d{4}Z?\s+|^)((?:[A-Z]{2}\s+)+(?:AND\s+)?(?:[A-Z]{2}\s+)*(?:CSTL\s+WTRS\s+)?)FROM\b"), F.lit(""))).alias("states"),

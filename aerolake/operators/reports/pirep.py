@@ -7,15 +7,16 @@ from pyspark.sql import functions as F
 
 from . import common as c
 
+# fixed values: the fields of a pilot report
 _FIELDS = ("OV", "TM", "FL", "TP", "SK", "WX", "TA", "WV", "TB", "IC", "RM")
 
 
 def fields(text: Column) -> Column:
     """Map of the two-letter fields to their text; of a field that repeats the last counts."""
-    marked = F.regexp_replace(text, rf"/(?:({'|'.join(_FIELDS)})(?=\s|$)|(FL)(?=\d|UNKN|DUR))", "\x01$1$2\x02")
+    marked = F.regexp_replace(text, rf"/({'|'.join(_FIELDS)})(?=[\sA-Z0-9]|$)", "\x01$1\x02")
     parts = F.filter(F.split(marked, "\x01"), lambda p: p.contains("\x02"))
     entries = F.transform(parts, lambda p: F.struct(F.substring_index(p, "\x02", 1).alias("k"), F.trim(F.substring_index(p, "\x02", -1)).alias("v")))
-    last = F.filter(entries, lambda e, i: ~F.exists(F.slice(entries, i + 2, F.lit(100)), lambda later: later["k"] == e["k"]))
+    last = F.filter(entries, lambda e, i: ~F.exists(F.slice(entries, i + 2, F.size(entries)), lambda later: later["k"] == e["k"]))
     return F.map_from_entries(last)
 
 

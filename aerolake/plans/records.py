@@ -62,13 +62,18 @@ ATS2 = fixed(
 )
 
 
+def _written(lines: DataFrame) -> DataFrame:
+    """The lines behind a shuffle, as if read from a file: their text is put together once, not for every field."""
+    return lines.repartition("ord")
+
+
 def airway_lines(spark: SparkSession) -> DataFrame:
     """Federal and oceanic route records, the federal second record of each segment before the first."""
-    return spark.sql(f"select p_partkey * 2 as ord, {AWY2} as value from part union all select p_partkey * 2 + 1, {AWY1} from part")
+    return _written(spark.sql(f"select p_partkey * 2 as ord, {AWY2} as value from part union all select p_partkey * 2 + 1, {AWY1} from part"))
 
 
 def oceanic_lines(spark: SparkSession) -> DataFrame:
-    return spark.sql(f"select s_suppkey * 2 as ord, {ATS1} as value from supplier where s_suppkey % 7 > 0 union all select s_suppkey * 2 + 1, {ATS2} from supplier")
+    return _written(spark.sql(f"select s_suppkey * 2 as ord, {ATS1} as value from supplier where s_suppkey % 7 > 0 union all select s_suppkey * 2 + 1, {ATS2} from supplier"))
 
 
 _TYPE = "case o % 3 when 0 then 'D' when 1 then 'E' else 'F' end"
@@ -93,7 +98,8 @@ STATION = fixed(
 
 def procedure_lines(spark: SparkSession) -> DataFrame:
     """Seven legs of one procedure per order, of which the fixes are parts and the navaids suppliers."""
-    return spark.sql(
+    lines = spark.sql(
         f"""select o * 10 + k as ord, {LEG} as value from (select o_orderkey as o, explode(sequence(1, 7)) as k from orders)
         union all select 10000000000 + p_partkey, {FIX} from part union all select 20000000000 + s_suppkey, {STATION} from supplier"""
     )
+    return _written(lines)

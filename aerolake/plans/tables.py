@@ -164,9 +164,9 @@ def polygon_overlap(spark):
 # airways and routes
 
 
-@query("select q.p_partkey as asked, w.designation, w.ord as airway, w.seq as waypointIndex from waypoints w join part q on w.identifier = concat('FX', lpad(cast(q.p_partkey as string), 6, '0')) where q.p_size > 45", "waypoints")
+@query("select q.p_partkey as asked, w.designation, w.ord as airway, w.seq as waypointIndex from waypoints w join part q on w.identifier = concat('FX', lpad(cast(q.p_partkey as string), 6, '0'))", "waypoints")
 def airway_by_fix(spark):
-    asked = spark.sql("select p_partkey as asked, concat('fx', lpad(cast(p_partkey as string), 6, '0')) as ident from part where p_size > 45")
+    asked = spark.sql("select p_partkey as asked, concat('fx', lpad(cast(p_partkey as string), 6, '0')) as ident from part")
     found = airways.by_fix(views.airways(spark), asked)
     return found.select("asked", "designation", F.col("ord").alias("airway"), F.col("waypointIndex").cast("long").alias("waypointIndex"))
 

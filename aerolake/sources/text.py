@@ -19,7 +19,7 @@ def number(text: Column) -> Column:
 
 def whole(text: Column) -> Column:
     """The whole number that a text begins with, else null."""
-    return F.regexp_extract(F.trim(text), _WHOLE, 0).try_cast("int")
+    return F.coalesce(text.try_cast("int"), F.regexp_extract(F.trim(text), _WHOLE, 0).try_cast("int"))
 
 
 def given(text: Column) -> Column:
