@@ -12,6 +12,36 @@ _CONVECTIVE = r"CONVECTIVE SIGMET\s+(\d+)([ECW])\b"
 _DOMESTIC = r"\bSIGMET\s+([A-Z0-9]+)\s+(\d+)\s+VALID\s+(?:UNTIL\s+)?(\d{6})(?:/(\d{6}))?"
 
 
+def _said(text: Column) -> Column:
+    """The words of a text, one blank between them and at either end, without stops at their ends."""
+    plain = F.regexp_replace(F.coalesce(text, F.lit("")), r"[.,]+(?=\s|$)|\.{2,}", " ")
+    return F.concat(F.lit(" "), F.trim(F.regexp_replace(plain, r"\s+", " ")), F.lit(" "))
+
+
+def _says(said: Column, *phrases: str) -> Column:
+    """Whether any of the phrases is there, in whole words."""
+    out = F.lit(False)
+    for phrase in phrases:
+        out = out | said.contains(f" {phrase} ")
+    return out
+
+
+def _after(said: Column, phrase: str) -> Column:
+    """What follows the first such phrase, with a blank before it; null without one."""
+    return F.concat(F.lit(" "), F.get(F.split(said, f" {phrase} ", 2), F.lit(1)))
+
+
+def _word(said: Column, phrase: str) -> Column:
+    """The word that follows a phrase."""
+    return F.substring_index(F.ltrim(_after(said, phrase)), " ", 1)
+
+
+def _sentence(text: Column, phrase: str) -> Column:
+    """The rest of the first sentence with a phrase, from behind the phrase."""
+    held = F.filter(F.split(text, r"\."), lambda x: x.contains(f"{phrase} "))
+    return F.trim(F.get(F.split(F.get(held, F.lit(0)), f"{phrase} ", 2), F.lit(1)))
+
+
 def movement(text: Column) -> Column:
     """Direction in degrees or as a compass point, and speed in knots or kilometers an hour."""
     by_wind, by_point = r"\bMOV(?:G)?\s+FROM\s+(\d{3})(\d{2,3})KT", r"\bMOV(?:G)?\s+(?:TO\s+)?([NSEW]{1,3})\s+(\d{1,3})\s?(KT|KMH)"
@@ -76,6 +106,8 @@ def sigmet_columns(raw: Column) -> Column:
     kind = F.when(convective, "CONVECTIVE").when(international, "INTERNATIONAL").when(text.rlike(r"\bSIGMET\b"), "NON_CONVECTIVE")
     body = F.when(international, F.regexp_extract(text, _INTERNATIONAL, 6)).otherwise(text)
     fir = c.found(body, r"^(.+? (?:FIR/UIR|FIR|UIR|CTA))(?: |$)")
+    said = _said(body)
+    storm = F.concat(F.substring_index(said, " TS ", 1), F.lit(" "))
     hazards = F.array_compact(
         F.array(
             F.when(body.rlike(r"SEV\s+TURB"), "TURBULENCE"),
@@ -101,24 +133,24 @@ def sigmet_columns(raw: Column) -> Column:
         _states(F.coalesce(c.found(text, r"(?:\d{4}Z?\s+|^)((?:[A-Z]{2}\s+)+(?:AND\s+)?(?:[A-Z]{2}\s+)*(?:CSTL\s+WTRS\s+)?)FROM\b"), F.lit(""))).alias("states"),
         F.coalesce(text.rlike(r"\bCSTL\s+WTRS\b"), F.lit(False)).alias("coastalWaters"),
         _area(F.coalesce(body, F.lit(""))).alias("areaPoints"),
-        F.when(body.rlike(r"\bAREA\b.*?\bTS\b"), "AREA").when(body.rlike(r"\bLINE\b.*?\bTS\b"), "LINE").when(body.rlike(r"\bISOL\b.*?\bTS\b"), "ISOLATED").alias("thunderstormType"),
-        F.coalesce(body.rlike(r"\bSEV\s+(?:EMBD\s+)?TS\b"), F.lit(False)).alias("isSevere"),
-        F.coalesce(body.rlike(r"\bEMBD\b"), F.lit(False)).alias("isEmbedded"),
-        c.number(c.found(body, r"\bTS\s+(\d+)\s+NM\s+WIDE\b")).alias("lineWidthNm"),
+        F.when(_says(said, "TS"), F.when(storm.contains(" AREA "), "AREA").when(storm.contains(" LINE "), "LINE").when(storm.contains(" ISOL "), "ISOLATED")).alias("thunderstormType"),
+        _says(said, "SEV TS", "SEV EMBD TS").alias("isSevere"),
+        _says(said, "EMBD").alias("isEmbedded"),
+        F.when(_says(said, "NM WIDE"), c.number(F.substring_index(F.substring_index(said, " NM WIDE ", 1), " ", -1))).alias("lineWidthNm"),
         (c.number(c.found(body, r"TOPS?\s+(?:ABV\s+)?(?:TO\s+)?FL(\d{3})")) * 100).alias("topsFt"),
         F.coalesce(body.rlike(r"TOPS?\s+ABV\b"), F.lit(False)).alias("topsAbove"),
-        F.coalesce(body.rlike(r"\bTORNADO(?:ES|S)?\b"), F.lit(False)).alias("hasTornadoes"),
-        hail_inches(c.found(body, r"HAIL\s+TO\s+([\d.]+(?:\s+\d+/\d+)?|\d+/\d+)\s*IN")).alias("hailSizeIn"),
-        c.number(c.found(body, r"WIND\s+GUSTS?\s+TO\s+(\d+)\s*KT")).alias("windGustsKt"),
+        _says(said, "TORNADO", "TORNADOS", "TORNADOES").alias("hasTornadoes"),
+        hail_inches(F.trim(F.element_at(F.split(_after(said, "HAIL TO"), " ?IN "), 1))).alias("hailSizeIn"),
+        c.number(F.rtrim(F.coalesce(_word(said, "WIND GUSTS TO"), _word(said, "WIND GUST TO")), F.lit("KT"))).alias("windGustsKt"),
         hazards.alias("hazards"),
         F.coalesce(body.rlike(r"\bOCNL\s+SEV\b"), F.lit(False)).alias("isOccasional"),
         altitude_range(body).alias("altitudes"),
-        F.trim(c.found(body, r"DUE\s+TO\s+([^.]+)")).alias("cause"),
+        _sentence(body, "DUE TO").alias("cause"),
         c.number(c.found(body, r"VIS\s+BLW\s+(\d+)SM")).alias("visibilityBelowSm"),
         movement(body).alias("movement"),
         intensity_change(body).alias("intensityChange"),
-        c.day_time_of(c.found(body, r"CONDS\s+CONTG\s+BYD\s+(\d{4})Z")).alias("continuingBeyond"),
-        c.day_time_of(c.found(body, r"CONDS\s+ENDG\s+BY\s+(\d{4})Z")).alias("endingBy"),
+        c.day_time_of(_word(said, "CONDS CONTG BYD")).alias("continuingBeyond"),
+        c.day_time_of(_word(said, "CONDS ENDG BY")).alias("endingBy"),
         F.when(F.coalesce(body, F.lit("")).rlike(r"\bOUTLOOK VALID\b"), F.struct(c.day_time_of(c.found(body, r"OUTLOOK VALID\s+(\d{6})-\d{6}")).alias("validFrom"), c.day_time_of(c.found(body, r"OUTLOOK VALID\s+\d{6}-(\d{6})")).alias("validTo"))).alias("outlook"),
         F.when(kind.isNull(), F.lit("no SIGMET")).alias("error"),
     )
@@ -129,35 +161,62 @@ def parse_sigmet(reports: DataFrame, raw: str = "raw") -> DataFrame:
     return reports.select(*rest, sigmet_columns(F.col(raw)).alias("__r")).select(*rest, "__r.*")
 
 
-# fixed values: kinds of hazard as they are written and named
-HAZARDS = {"IFR": "IFR", "MTN OBSCN": "MOUNTAIN_OBSCURATION", "TURB": "TURBULENCE", "STG SFC WNDS": "STRONG_SURFACE_WIND", "STG SFC WND": "STRONG_SURFACE_WIND", "SFC WND": "STRONG_SURFACE_WIND", "LLWS": "LOW_LEVEL_WIND_SHEAR", "ICE": "ICING"}
+# fixed values: kinds of hazard as they are written, longer ones first, and named
+HAZARDS = {
+    "STG SFC WNDS": "STRONG_SURFACE_WIND", "STG SFC WND": "STRONG_SURFACE_WIND", "MTN OBSCN": "MOUNTAIN_OBSCURATION", "SFC WND": "STRONG_SURFACE_WIND", "TURB": "TURBULENCE",
+    "LLWS": "LOW_LEVEL_WIND_SHEAR", "IFR": "IFR", "ICE": "ICING",
+}
+_KINDS = "|".join(HAZARDS)
+_HEADING = rf"^AIRMET ({_KINDS})\b"
 
 
 def _conditions(text: Column) -> Column:
-    """DEVELOPING, CONTINUING or ENDING with its times."""
+    """DEVELOPING, CONTINUING or ENDING with its times, from the words that follow CONDS."""
+    tail = _after(_said(text), "CONDS")
+
+    def span(word: str, link: str) -> Column:
+        """The two ends of the time that follows a word, with or without a link between."""
+        first = _word(tail, word)
+        return F.split(F.when(first == link, _word(tail, f"{word} {link}")).otherwise(first), "-")
 
-    def time(pattern: str, group: int = 1) -> Column:
-        return c.day_time_of(c.found(text, pattern, group))
+    def end(parts: Column, n: int) -> Column:
+        return c.day_time_of(F.get(parts, F.lit(n)))
 
-    developing = r"CONDS\s+DVLPG\s+(?:AFT\s+)?(\d{2,4})(?:-(\d{2,4}))?Z?"
-    continuing, thru, ending = r"CONDS\s+CONTG\s+BYD\s+(\d{2,4})Z?", r"\bTHRU\s+(\d{2,4})Z?", r"ENDG\s+(?:BY\s+)?(\d{2,4})(?:-(\d{2,4}))?Z?"
-    status = F.when(text.rlike(r"CONDS\s+DVLPG"), "DEVELOPING").when(text.rlike(r"CONDS\s+CONTG"), "CONTINUING").when(text.rlike(r"CONDS\s+ENDG"), "ENDING")
+    status = F.substring_index(F.ltrim(tail), " ", 1)
+    named = F.when(status == "DVLPG", "DEVELOPING").when(status == "CONTG", "CONTINUING").when(status == "ENDG", "ENDING")
+    developing, ending = span("DVLPG", "AFT"), span("ENDG", "BY")
     return F.when(
-        status.isNotNull(),
+        named.isNotNull(),
         F.struct(
-            status.alias("status"),
-            time(developing).alias("developingFrom"),
-            time(developing, 2).alias("developingTo"),
-            time(continuing).alias("continuingBeyond"),
-            time(thru).alias("through"),
-            time(ending).alias("endingFrom"),
-            time(ending, 2).alias("endingTo"),
+            named.alias("status"),
+            end(developing, 0).alias("developingFrom"),
+            end(developing, 1).alias("developingTo"),
+            c.day_time_of(_word(tail, "CONTG BYD")).alias("continuingBeyond"),
+            c.day_time_of(_word(tail, "THRU")).alias("through"),
+            end(ending, 0).alias("endingFrom"),
+            end(ending, 1).alias("endingTo"),
         ),
     )
 
 
+def _condition(said: Column) -> Column:
+    """The weather that an area has: turbulence or ice by degree, low cloud and sight, hidden mountains, or wind."""
+    out = F.lit(None).cast("string")
+    for phrase in ("MOD TURB", "SEV TURB", "MOD ICE", "SEV ICE"):
+        out = F.when(_says(said, phrase), phrase).otherwise(out)
+    low = F.slice(F.split(F.ltrim(_after(said, "CIG BLW")), " "), 1, 3)
+    wind = F.concat(F.lit("SUSTAINED SURFACE WIND"), F.substring_index(F.get(F.split(said, "SUSTAINED SURFACE WIND", 2), F.lit(1)), "KT", 1), F.lit("KT"))
+    hidden = _word(said, "MTNS OBSC BY")
+    return (
+        F.when(low.isNotNull(), F.concat(F.lit("CIG BLW "), F.array_join(low, " ")))
+        .when(hidden.isNotNull(), F.concat(F.lit("MTNS OBSC BY "), hidden))
+        .when(said.contains("SUSTAINED SURFACE WIND"), wind)
+        .otherwise(out)
+    )
+
+
 def _hazard(text: Column) -> Column:
-    kind = F.regexp_extract(text, r"^AIRMET\s+(MTN OBSCN|STG SFC WNDS?|SFC WND|IFR|TURB|LLWS|ICE)\b", 1)
+    kind = F.regexp_extract(text, _HEADING, 1)
     named = F.lit(None).cast("string")
     for written, name in HAZARDS.items():
         named = F.when(kind == written, name).otherwise(named)
@@ -167,8 +226,8 @@ def _hazard(text: Column) -> Column:
         text.rlike(r"\bCSTL\s+WTRS\b").alias("coastalWaters"),
         _area(text).alias("areaPoints"),
         altitude_range(text).alias("altitudes"),
-        c.found(text, r"\b((?:MOD|SEV)\s+(?:TURB|ICE)|CIG\s+BLW\s+\d{3}/VIS\s+BLW\s+\d+SM|MTNS?\s+OBSC?D?\s+BY\s+[A-Z/]+|SUSTAINED\s+SURFACE\s+WIND[A-Z\s]*\d+KT)").alias("condition"),
-        F.trim(c.found(text, r"DUE\s+TO\s+([A-Z]+(?:\s+[A-Z]+)*)\.")).alias("cause"),
+        _condition(_said(text)).alias("condition"),
+        _sentence(text, "DUE TO").alias("cause"),
         _conditions(text).alias("conditions"),
         text.alias("raw"),
     )
@@ -177,10 +236,9 @@ def _hazard(text: Column) -> Column:
 def airmet_columns(raw: Column) -> Column:
     text = c.squeezed(raw)
     head = r"\bAIRMET\s+(SIERRA|TANGO|ZULU)\s+(?:UPDT\s+(\d+)\s+)?FOR\s+(.+?)\s+VALID\s+UNTIL\s+(\d{4,6})"
-    sections = F.filter(F.transform(F.split(text, r"(?=\bAIRMET\s+(?:IFR|MTN OBSCN|TURB|STG SFC WNDS?|SFC WND|LLWS|ICE)\b)|(?=\bFRZLVL\b)|(?=\bOTLK VALID\b)|(?=\bNO SIGNIFICANT\b)|(?=\bLLWS POTENTIAL\b)"), lambda s: F.trim(s)), lambda s: s != "")
+    sections = F.filter(F.transform(F.split(text, rf"(?=\bAIRMET (?:{_KINDS})\b)|(?=\bFRZLVL\b)|(?=\bOTLK VALID\b)|(?=\bNO SIGNIFICANT\b)|(?=\bLLWS POTENTIAL\b)"), lambda s: F.trim(s)), lambda s: s != "")
     level = F.get(F.filter(sections, lambda s: s.startswith("FRZLVL")), F.lit(0))
     outlook = F.get(F.filter(sections, lambda s: s.startswith("OTLK VALID")), F.lit(0))
-    hazard = r"^AIRMET\s+(?:MTN OBSCN|STG SFC WNDS?|SFC WND|IFR|TURB|LLWS|ICE)\b"
     return F.struct(
         text.alias("raw"),
         c.found(text, head, 1).alias("series"),
@@ -189,7 +247,7 @@ def airmet_columns(raw: Column) -> Column:
         c.day_time_of(c.found(text, head, 4)).alias("validUntil"),
         c.found(text, r"\b([A-Z]{3,4})\s+WA\s+\d{6}\b").alias("issuingOffice"),
         c.day_time_of(c.found(text, r"\bWA\s+(\d{6})\b")).alias("issuedAt"),
-        F.transform(F.filter(sections, lambda s: s.rlike(hazard)), _hazard).alias("hazards"),
+        F.transform(F.filter(sections, lambda s: s.rlike(_HEADING)), _hazard).alias("hazards"),
         F.filter(sections, lambda s: s.startswith("NO SIGNIFICANT")).alias("nilStatements"),
         F.when(
             level.isNotNull(),

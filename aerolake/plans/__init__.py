@@ -1,6 +1,6 @@
 """The registered queries over the driver's tables, and their SQL."""
 
-from . import datasets, formulas, tables  # noqa: F401
+from . import advisories, datasets, formulas, tables  # noqa: F401
 
 FLAGSHIP = "navaid_nearest"
 QUERIES = formulas.QUERIES | tables.QUERIES
