@@ -85,21 +85,37 @@ FORMULAS: dict[str, tuple[str, str, dict[str, tuple[str, str]]]] = {
     "unit_fuel": ("flights", "route_id, leg", {"lb": ("gallons_to_pounds(fuel, named_struct('kgPerL', cast(NULL as double), 'lbPerGal', 6.0D))", "fuel * 6"), "kg": ("liters_to_kilograms(fuel, named_struct('kgPerL', 0.8D, 'lbPerGal', cast(NULL as double)))", "fuel * 0.8"), "gal": ("pounds_to_gallons(fuel, named_struct('kgPerL', cast(NULL as double), 'lbPerGal', 6.0D))", "fuel / 6"), "l": ("gallons_to_liters(fuel)", "fuel * 3.785411784")}),
 }
 
+#: What one of each unit is in a unit of its table, written out here and not taken from the functions.
 _UNITS = {
-    "unit_distance": {"nautical_miles", "statute_miles", "kilometers", "meters", "feet"},
-    "unit_speed": {"knots", "kilometers_per_hour", "miles_per_hour", "meters_per_second"},
-    "unit_pressure": {"inches_of_mercury", "hectopascals", "millibars", "millimeters_of_mercury", "kilopascals"},
+    "unit_distance": {"nautical_miles": "1852e0", "statute_miles": "1609.344e0", "kilometers": "1000e0", "meters": "1e0", "feet": "0.3048e0"},
+    "unit_speed": {"knots": "1.852e0", "kilometers_per_hour": "1e0", "miles_per_hour": "1.609344e0", "meters_per_second": "3.6e0"},
+    "unit_pressure": {"inches_of_mercury": "33.8639e0", "hectopascals": "1e0", "millibars": "1e0", "millimeters_of_mercury": "(1013.25e0 / 760)", "kilopascals": "10e0"},
 }
+#: Pairs whose published factor is a rounded one.
+_ROUNDED = {("nautical_miles", "feet"): "6076.11549e0", ("nautical_miles", "statute_miles"): "1.150779448e0", ("knots", "meters_per_second"): "0.514444e0", ("knots", "miles_per_hour"): "1.150779448e0", ("inches_of_mercury", "millimeters_of_mercury"): "25.4e0"}
 for _name, _members in _UNITS.items():
     _columns = {}
-    for _source, _target, _factor in units._FACTORS:
+    for _source, _target, _ in units._FACTORS:
         if _source in _members and _target in _members:
-            _plain = _factor.replace("D", "").replace("1 /", "1e0 /").replace("760 /", "760e0 /")
+            _plain = _ROUNDED.get((_source, _target), f"({_members[_source]} / {_members[_target]})")
             _columns[f"{_source}_{_target}"] = (f"{_source}_to_{_target}(tas)", f"tas * {_plain}")
             _columns[f"{_target}_{_source}"] = (f"{_target}_to_{_source}(tas)", f"tas / {_plain}")
     FORMULAS[_name] = ("flights", "route_id, leg", _columns)
 
-_TEXT = {"entry", "shown", "isLevel"}
+_FUEL = "named_struct('kgPerL', 0.8D, 'lbPerGal', cast(NULL as double))"
+FORMULAS["unit_others"] = ("flights", "route_id, leg", {
+    "kmFt": ("kilometers_to_feet(tas)", "tas * 1000 / 0.3048e0"), "ftKm": ("feet_to_kilometers(tas)", "tas * 0.3048e0 / 1000"), "inKpa": ("inches_of_mercury_to_kilopascals(tas)", "tas * 33.8639e0 / 10"), "kpaIn": ("kilopascals_to_inches_of_mercury(tas)", "tas * 10 / 33.8639e0"),
+    "kpaMm": ("kilopascals_to_millimeters_of_mercury(tas)", "tas * 7600 / 1013.25e0"), "mmKpa": ("millimeters_of_mercury_to_kilopascals(tas)", "tas * 1013.25e0 / 7600"), "rad": ("degrees_to_radians(course)", "course * pi() / 180"), "deg": ("radians_to_degrees(course)", "course * 180 / pi()"),
+    "turned": ("normalize_deg(course - 400)", _mod("course - 400")), "kgL": (f"density_to_kg_per_l({_FUEL})", "0.8e0"), "galKg": (f"gallons_to_kilograms(fuel, {_FUEL})", "fuel * 3.785411784e0 * 0.8e0"), "kgGal": (f"kilograms_to_gallons(fuel, {_FUEL})", "fuel / 0.8e0 / 3.785411784e0"),
+    "lLb": (f"liters_to_pounds(fuel, {_FUEL})", "fuel * 0.8e0 / 0.45359237e0"), "lbL": (f"pounds_to_liters(fuel, {_FUEL})", "fuel * 0.45359237e0 / 0.8e0"), "kgLit": (f"kilograms_to_liters(fuel, {_FUEL})", "fuel / 0.8e0"), "lGal": ("liters_to_gallons(fuel)", "fuel / 3.785411784e0"),
+    "lbKg": ("pounds_to_kilograms(fuel)", "fuel * 0.45359237e0"), "kgLb": ("kilograms_to_pounds(fuel)", "fuel / 0.45359237e0"),
+})
+FORMULAS["formats"] = ("flights", "route_id, leg", {
+    "shownSpeed": ("format_speed(tas, 'kt')", "concat(cast(cast(tas as bigint) as string), ' kt')"), "shownQnh": ("format_qnh(tas + 600, 'hPa')", "concat(case when tas + 600 >= 1000 then '1,' else '' end, case when tas + 600 >= 1000 then lpad(cast(cast(tas + 600 as bigint) % 1000 as string), 3, '0') else cast(cast(tas + 600 as bigint) as string) end, ' hPa')"),
+    "shownFuel": ("format_fuel(fuel, 'kg')", "concat(cast(cast(fuel as bigint) as string), ' kg')"), "shownDistance": ("format_distance(nm, 'nm')", "concat(cast(cast(nm as bigint) as string), '.0 nm')"), "shownKelvin": ("format_temperature(tas, 'K')", "concat(cast(cast(tas as bigint) as string), 'K')"),
+})
+
+_TEXT = {"entry", "shown", "isLevel", "shownSpeed", "shownQnh", "shownFuel", "shownDistance", "shownKelvin"}
 
 
 def _select(which: int, view: str, keys: str, columns: dict) -> str:
