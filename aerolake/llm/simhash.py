@@ -10,9 +10,10 @@ which differs in at most 1 bit), and those of a crowded quarter once more by the
 
 `near_copies` finds texts by their similarity instead: PRINTS fingerprints of the set of word
 shingles, each half with its anchors. Two texts of similarity 0.8 differ in 15 bits of 100 and share
-an anchor on a given half in about one case of five, so on some half in 0.96 of all cases (0.99 at
-0.85). Texts of an anchor that also agree on another fingerprint are proposed as a group, and the
-exact shingle sets confirm or refute the links of each group.
+an anchor on a given half in about one case of six, so on some half in 0.95 of all cases (0.99 at
+0.85). Texts of an anchor that also agree on two other fingerprints are proposed as a group. The links
+of a group are those that all fingerprints together and then the exact shingle sets confirm: first
+with one text of each group, then across the components that this leaves.
 """
 
 from __future__ import annotations
@@ -31,11 +32,13 @@ SHINGLE = 3
 THRESHOLD = 3
 #: Fingerprints of one anchor that a task compares before it deals them on.
 CROWD = 4096
-#: Rules of near_copies: words to a shingle, least similarity, fingerprints, most bits between two texts of a group.
+#: Rules of near_copies: words to a shingle, least similarity, fingerprints, and most bits that differ in
+#: the next two fingerprints of two texts of a group, and in all of theirs (at 0.8 mostly 12 to 27, 62 to 94).
 WORDS = 5
 ALIKE = 0.8
 PRINTS = 8
-LOOSE = 17
+LOOSE = 26
+CLOSE = 96
 _SEED = 42
 _LANES = np.uint64(0x0101010101010101)
 _FLUSH = 1 << 16
@@ -171,7 +174,7 @@ _SMALL = 64
 _CELLS = 1 << 20
 
 
-def _component_labels(keys: np.ndarray, prints: np.ndarray, bits: int) -> np.ndarray:
+def _component_labels(keys: np.ndarray, bits: int, *prints: np.ndarray) -> np.ndarray:
     """Least index that each fingerprint reaches inside its anchor over links of `bits` bits or fewer, for sorted keys of whole groups."""
     n = len(keys)
     labels = np.arange(n)
@@ -183,17 +186,17 @@ def _component_labels(keys: np.ndarray, prints: np.ndarray, bits: int) -> np.nda
         i = np.flatnonzero((keys[lag:] == keys[:-lag]) & small[lag:])
         if not len(i):
             continue
-        i = i[np.bitwise_count(prints[i] ^ prints[i + lag]) <= bits]
+        i = i[sum(np.bitwise_count(p[i] ^ p[i + lag]) for p in prints) <= bits]
         a.append(i)
         b.append(i + lag)
     if a:
         labels = _root_labels(n, np.concatenate(a), np.concatenate(b))
     for start, length in zip(begin[size > _SMALL].tolist(), size[size > _SMALL].tolist()):
-        group = prints[start : start + length]
+        group = [p[start : start + length] for p in prints]
         own = np.arange(length)
         block = max(1, _CELLS // length)
         for at in range(0, length, block):
-            i, j = np.nonzero(np.bitwise_count(group[at : at + block, None] ^ group[None, at:]) <= bits)
+            i, j = np.nonzero(sum(np.bitwise_count(g[at : at + block, None] ^ g[None, at:]) for g in group) <= bits)
             own = _root_labels(length, i + at, j + at, own)
         labels[start : start + length] = own + start
     return labels
@@ -201,7 +204,7 @@ def _component_labels(keys: np.ndarray, prints: np.ndarray, bits: int) -> np.nda
 
 def _compare(keys: np.ndarray, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Star links between fingerprints of one anchor, for sorted keys of whole groups."""
-    labels = _component_labels(keys, prints, THRESHOLD)
+    labels = _component_labels(keys, THRESHOLD, prints)
     linked = np.flatnonzero(labels != np.arange(len(keys)))
     return prints[linked].view(np.int64), prints[labels[linked]].view(np.int64)
 
@@ -338,40 +341,51 @@ def _set_prints(sets: list[np.ndarray]) -> np.ndarray:
     return np.column_stack(out)
 
 
-def _place_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each text with every anchor of each half of its fingerprints, and the next fingerprint."""
+def _print_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The fingerprints of each text with a word, as bytes."""
     for batch in batches:
         every = [shingle_set(bytes(v)) for v in common.rows(batch.column("text"))]
         kept = [i for i, x in enumerate(every) if len(x)]
         nodes = batch.column("node").to_numpy(zero_copy_only=False)[kept]
         for at in range(0, len(kept), 512):
             prints = _set_prints([every[i] for i in kept[at : at + 512]])
+            yield pa.RecordBatch.from_pydict({"node": nodes[at : at + 512], "prints": pa.array([p.tobytes() for p in prints], pa.binary())})
+
+
+def _prints(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(common.utf8(column)[0].tobytes(), np.uint64).reshape(-1, PRINTS)
+
+
+def _place_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each text with every anchor of each half of its fingerprints, and the next two fingerprints."""
+    for batch in batches:
+        nodes, every = batch.column("node").to_numpy(zero_copy_only=False), _prints(batch.column("prints"))
+        for at in range(0, len(nodes), 512):
+            prints = every[at : at + 512]
             for k in range(PRINTS):
-                after = prints[:, (k + 1) % PRINTS]
+                after = [prints[:, (k + j) % PRINTS] for j in (1, 2)]
                 for side in range(2):
                     index, anchor = anchors(_half(prints[:, k], side))
-                    columns = {"key": anchor.astype(np.int64) + ((2 * k + side) << 32), "fp": after[index].view(np.int64), "node": nodes[at : at + 512][index]}
+                    columns = {"key": anchor.astype(np.int64) + ((2 * k + side) << 32), "fp": after[0][index].view(np.int64), "fp2": after[1][index].view(np.int64), "node": nodes[at : at + 512][index]}
                     yield pa.RecordBatch.from_pydict(columns)
 
 
 def _group_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by anchor to groups of texts that a chain of near fingerprints connects.
-
-    A group is named by its members, so that one group of several anchors is one.
-    """
-    held: list[np.ndarray] = [np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64)]
+    """Rows sorted by anchor to groups of texts that a chain of near fingerprints connects: each text with one of them."""
+    held: list[np.ndarray] = [np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64)]
 
     def groups(upto: int) -> pa.RecordBatch:
-        keys, prints, nodes = (x[:upto] for x in held)
-        labels = _component_labels(keys, prints, LOOSE)
-        several = np.bincount(labels, minlength=upto)[labels] > 1
-        name = np.zeros(upto, np.uint64)
-        x = nodes.view(np.uint64) * np.uint64(0xBF58476D1CE4E5B9)
-        np.add.at(name, labels, (x ^ (x >> np.uint64(29))) * np.uint64(0x94D049BB133111EB))
-        return pa.RecordBatch.from_pydict({"key": name[labels[several]].view(np.int64), "node": nodes[several]})
+        keys, one, other, nodes = (x[:upto] for x in held)
+        labels = _component_labels(keys, LOOSE, one, other)
+        order = nodes.view(np.uint64) * np.uint64(0xBF58476D1CE4E5B9)  # the head has the least of it, in whatever group it is
+        order = np.lexsort((order ^ (order >> np.uint64(29)), labels))
+        start = np.append(True, labels[order][1:] != labels[order][:-1])
+        head = np.repeat(nodes[order][start], np.diff(np.append(np.flatnonzero(start), upto)))
+        pairs = np.unique(np.column_stack([nodes[order], head])[nodes[order] != head], axis=0)
+        return pa.RecordBatch.from_pydict({"node": pairs[:, 0], "head": pairs[:, 1]})
 
     for batch in batches:
-        new = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "fp", "node")]
+        new = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "fp", "fp2", "node")]
         held = [np.concatenate([h, n.view(h.dtype)]) for h, n in zip(held, new)]
         upto = int(np.searchsorted(held[0], held[0][-1])) if len(held[0]) else 0
         if upto:
@@ -403,8 +417,15 @@ def _confirm_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
         yield batch.select(["a", "b"]).filter(pa.array(alike, pa.bool_()))
 
 
-def _group_links(sets: list[np.ndarray], roots: np.ndarray) -> Iterator[tuple[int, int]]:
-    """Links between the texts of one key that are alike and not yet of one component."""
+def _close_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pairs whose fingerprints differ in few bits."""
+    for batch in batches:
+        apart = np.bitwise_count(_prints(batch.column("prints")) ^ _prints(batch.column("others"))).sum(axis=1)
+        yield batch.select(["a", "b"]).filter(pa.array(apart <= CLOSE))
+
+
+def _family_links(sets: list[np.ndarray], roots: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Links between the texts of one family that are alike and not yet of one component."""
     roots = np.unique(roots, return_inverse=True)[1]
     size = np.array([len(s) for s in sets])
     starts = np.append(0, np.cumsum(size))
@@ -422,12 +443,12 @@ def _group_links(sets: list[np.ndarray], roots: np.ndarray) -> Iterator[tuple[in
                 roots[roots == roots[j]] = roots[i]
 
 
-def _rest_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by key: a group that goes on in the next batch waits for it."""
+def _family_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by family: one that goes on in the next batch waits for it, with its sets."""
     current, nodes, roots, sets = None, [], [], []
 
     def found() -> pa.RecordBatch:
-        ends = list(_group_links(sets, np.array(roots))) if len(sets) > 1 else []
+        ends = list(_family_links(sets, np.array(roots))) if len(sets) > 1 else []
         return pa.RecordBatch.from_arrays([pa.array([nodes[x[k]] for x in ends], pa.int64()) for k in range(2)], ["a", "b"])
 
     for batch in batches:
@@ -436,8 +457,7 @@ def _rest_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             if key != current:
                 yield found()
                 current, nodes, roots, sets = key, [], [], []
-            if shingles:
-                nodes.append(node_), roots.append(root), sets.append(np.frombuffer(shingles, np.uint64))
+            nodes.append(node_), roots.append(root), sets.append(np.frombuffer(shingles, np.uint64))
     yield found()
 
 
@@ -445,32 +465,46 @@ def _ordered(one: str, other: str) -> list[Column]:
     return [F.least(one, other).alias("a"), F.greatest(one, other).alias("b")]
 
 
+def _sets(nodes: DataFrame, texts: DataFrame) -> DataFrame:
+    """(node, shingles) of the nodes given."""
+    read = texts.join(nodes.select("node").distinct(), "node", "left_semi").mapInArrow(_set_batches, "node long, shingles binary")
+    return common.persist(read.dropDuplicates(["node"]), "sets")
+
+
+def _confirmed(near: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs (a, b) of a similarity of ALIKE or more, by the exact sets."""
+    near = common.persist(near, "close")
+    sets = _sets(near.select(F.col("a").alias("node")).union(near.select("b")), texts)
+    both = near.join(sets.toDF("a", "shingles"), "a").join(sets.toDF("b", "others"), "b")
+    found = common.persist(both.mapInArrow(_confirm_batches, "a long, b long"), "alike")
+    common.discard(near), common.discard(sets)
+    return found
+
+
 def copy_links(texts: DataFrame) -> DataFrame:
     """Links (a, b) that connect the nodes of `texts` (node, text) at a similarity of ALIKE or more.
 
-    The texts of a proposed group are first compared with one of them; where that leaves the group
-    in several components, every pair across them is compared too, in one task that holds the
-    group's sets once. So no pair of a group is left out and rows grow with the texts, but a large
-    group of texts that are half alike costs its task time with the square of its size.
+    The texts of a proposed group are first compared with one of them; where that leaves texts which
+    groups connect in several components, every pair across these is compared too, the shingle sets
+    of such a family in one task. So no pair of a group is left out and rows grow with the texts, but
+    a large family of texts that are half alike costs its task time with the square of its size.
     """
     n = common.partitions(texts.sparkSession)
-    placed = texts.mapInArrow(_place_batches, "key long, fp long, node long").repartition(n, "key").sortWithinPartitions("key", "node")
-    keys = common.persist(placed.mapInArrow(_group_batches, "key long, node long").distinct(), "groups")
-    order = F.struct(F.xxhash64("key", "node"), "node")
-    heads = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min(order).alias("head")).where("n > 1").select("key", F.col("head.node").alias("head"))
-    shared = common.persist(keys.join(heads, "key"), "shared")
-    first = shared.where("node <> head").select(*_ordered("node", "head")).distinct()
-    chosen = texts.join(shared.select("node").distinct(), "node", "left_semi").mapInArrow(_set_batches, "node long, shingles binary")
-    sets = common.persist(chosen.dropDuplicates(["node"]), "sets")
-    both = first.join(sets.toDF("a", "shingles"), "a").join(sets.toDF("b", "others"), "b")
-    found = common.persist(both.mapInArrow(_confirm_batches, "a long, b long"), "alike")
-    rooted = shared.join(graph.components(found), "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
-    rooted = common.persist(rooted, "rooted")
+    prints = common.persist(texts.mapInArrow(_print_batches, "node long, prints binary").dropDuplicates(["node"]), "prints")
+    placed = prints.mapInArrow(_place_batches, "key long, fp long, fp2 long, node long").repartition(n, "key").sortWithinPartitions("key", "node")
+    grouped = placed.mapInArrow(_group_batches, "node long, head long")
+    first = common.persist(grouped.select(*_ordered("node", "head")).distinct(), "grouped")
+    near = first.join(prints.toDF("a", "prints"), "a").join(prints.toDF("b", "others"), "b")
+    found = _confirmed(near.mapInArrow(_close_batches, "a long, b long"), texts)
+    family = graph.components(first).withColumnRenamed("root", "key")
+    rooted = family.join(graph.components(found), "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
+    rooted = common.persist(rooted.union(rooted.select("key", F.col("key").alias("node"), F.col("key").alias("root")).distinct()).distinct(), "rooted")
     split = rooted.groupBy("key").agg(F.min("root").alias("l"), F.max("root").alias("m")).where("l <> m").select("key")
-    left = rooted.join(split, "key", "left_semi").join(sets, "node")
-    grouped = left.repartition(n, "key").sortWithinPartitions("key", "node")
-    more = common.persist(grouped.mapInArrow(_rest_batches, "a long, b long"), "alike")
-    for done in (keys, shared, sets, rooted):
+    left = common.persist(rooted.join(split, "key", "left_semi"), "split")
+    sets = _sets(left, texts)
+    grouped = left.join(sets, "node").select("key", "node", "root", "shingles").repartition(n, "key").sortWithinPartitions("key", "node")
+    more = common.persist(grouped.mapInArrow(_family_batches, "a long, b long"), "alike")
+    for done in (prints, first, rooted, left, sets):
         common.discard(done)
     return found.union(more)
 
@@ -484,6 +518,7 @@ def near_copies(docs: DataFrame) -> DataFrame:
     """
     common.ready(docs.sparkSession)
     texts = docs.select("doc_id", node(F.col("text")).alias("node"), F.coalesce("text", F.lit("")).alias("text"))
+    texts = common.persist(texts, "words")
     roots = graph.components(copy_links(texts.select("node", "text")))
     named = texts.select("doc_id", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "node")
