@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chaining, chat, exact, packing, pii, quality, simhash, suffix, urls
+from . import bpe, chaining, chat, credentials, exact, infill, packing, pii, quality, simhash, suffix, urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,8 +40,8 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.duplicates(_table(spark, sf_dir, "documents"))
 
 
-def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = pii.find(_table(spark, sf_dir, "documents"))
+def _span_digests(found: DataFrame, *kinds: str) -> DataFrame:
+    """Counts of the base kinds, a digest of the base spans, and all spans as text."""
     base = F.filter("spans", lambda s: s["base"])
 
     def joined(spans):
@@ -50,8 +50,11 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     def count(kind):
         return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
 
-    counts = [count(kind) for kind in ("email", "ip", "card", "phone")]
-    return found.select("doc_id", *counts, F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+    return found.select("doc_id", *map(count, kinds), F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+
+
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _span_digests(pii.find(_table(spark, sf_dir, "documents")), "email", "ip", "card", "phone")
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,6 +70,14 @@ def op10_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chaining.passages(_table(spark, sf_dir, "documents"))
 
 
+def op11_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return infill.digests(_table(spark, sf_dir, "documents"))
+
+
+def op12_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _span_digests(credentials.find(_table(spark, sf_dir, "documents")), "assign", "access", "hex")
+
+
 QUERIES = {
     "op1_bpe": op1_bpe,
     "op2_chat": op2_chat,
@@ -78,6 +89,8 @@ QUERIES = {
     "op8_packing": op8_packing,
     "op9_simhash": op9_simhash,
     "op10_passages": op10_passages,
+    "op11_infill": op11_infill,
+    "op12_secrets": op12_secrets,
 }
 
 _CHAT_SQL = """
@@ -99,6 +112,7 @@ ORACLE_SQL = {
     "op2_chat": _CHAT_SQL,
     "op3_quality": quality.oracle(),
     "op5_urls": urls.oracle(),
+    "op11_infill": infill.oracle(),
     "op6_exact_dedup": """
         with g as (select coalesce(text, '') as t, max(doc_id) as keep_id, count(*) as group_size from documents group by 1)
         select d.doc_id, g.keep_id, g.group_size, d.doc_id is not distinct from g.keep_id as kept, sha256(g.t) as text_sha256
