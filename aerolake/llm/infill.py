@@ -41,26 +41,28 @@ def _draws(doc_id: Column, seed: int) -> list[Column]:
     return [F.conv(F.substring(digest, 8 * n + 1, 8), 16, 10).cast("long") for n in range(4)]
 
 
-def _mentions(text: Column) -> Column:
-    return text.contains(PREFIX) | text.contains(SUFFIX) | text.contains(MIDDLE)
+def _plain(seed: int, rate: int) -> Column:
+    """Whether a text stays as it is: an empty one, one that holds a marker, and by the draw."""
+    text, draw = F.col("text"), _draws(_doc_id(), seed)[2]
+    return (text == "") | text.contains(PREFIX) | text.contains(SUFFIX) | text.contains(MIDDLE) | (draw % 100 >= rate)
 
 
-def _requests(base: DataFrame, seed: int, rate: int, suffix_first: int) -> DataFrame:
-    """Of each key its number of units and rows, its form and, unless plain, the ordinals of its two cuts."""
-    seen = base.select(*_KEY, F.regexp_count("text", F.lit(UNIT)).cast("long").alias("n"), _mentions(F.col("text")).alias("mentions"))
-    once = seen.groupBy(*_KEY).agg(F.max("n").alias("n"), F.max("mentions").alias("mentions"), F.count(F.lit(1)).alias("copies"))
-    h1, h2, h3, h4 = _draws(_doc_id(), seed)
-    plain = (F.col("n") == 0) | F.col("mentions") | (h3 % 100 >= rate)
-    form = F.when(plain, "plain").when(h4 % 100 < suffix_first, "spm").otherwise("psm")
-    cuts = [F.when(~plain, h % (F.col("n") + 1)) for h in (h1, h2)]
-    drawn = once.select(*_KEY, "n", "copies", form.alias("form"), cuts[0].alias("a"), cuts[1].alias("b"))
-    return drawn.select(*_KEY, "n", "copies", "form", F.least("a", "b").alias("first"), F.greatest("a", "b").alias("last"))
+def _requests(base: DataFrame, seed: int, suffix_first: int) -> DataFrame:
+    """Of each key its number of units and of equal rows, its form and the ordinals of its two cuts."""
+    counted = base.select(*_KEY, F.regexp_count("text", F.lit(UNIT)).cast("long").alias("n"))
+    once = counted.groupBy(*_KEY).agg(F.max("n").alias("n"), F.count(F.lit(1)).alias("copies"))
+    h1, h2, _, h4 = _draws(_doc_id(), seed)
+    drawn = once.select(*_KEY, "n", "copies", (h4 % 100 < suffix_first).alias("spm"), *[(h % (F.col("n") + 1)).alias(c) for h, c in ((h1, "a"), (h2, "b"))])
+    return drawn.select(*_KEY, "n", "copies", "spm", F.least("a", "b").alias("first"), F.greatest("a", "b").alias("last"))
 
 
 def _running(base: DataFrame) -> DataFrame:
-    """A row for each unit: its ordinal from 1 and the code points up to its end, summed over the key's equal rows."""
-    units = base.select(*_KEY, F.posexplode(F.regexp_extract_all("text", F.lit(UNIT), F.lit(0))).alias("place", "unit"))
-    sized = units.select(*_KEY, (F.col("place") + 1).alias("ordinal"), F.length("unit").cast("long").alias("size"))
+    """A row for each unit: its ordinal from 1, and the code points up to its end, summed over the key's equal rows.
+
+    Ordinal 0 is the start of the text, before any unit.
+    """
+    units = F.concat(F.array(F.lit("")), F.regexp_extract_all("text", F.lit(UNIT), F.lit(0)))
+    sized = base.select(*_KEY, F.posexplode(units).alias("ordinal", "unit")).select(*_KEY, "ordinal", F.length("unit").cast("long").alias("size"))
     upto = Window.partitionBy(*_KEY).orderBy("ordinal").rangeBetween(Window.unboundedPreceding, Window.currentRow)
     return sized.select(*_KEY, "ordinal", F.sum("size").over(upto).alias("total"))
 
@@ -76,23 +78,27 @@ def transform(docs: DataFrame, seed: int = SEED, rate: int = RATE, suffix_first:
     """
     n = common.partitions(docs.sparkSession)
     base = _keyed(docs).repartition(n, *_KEY)
-    requests, running = _requests(base, seed, rate, suffix_first), _running(base).toDF("d", "t", "ordinal", "total")
+    chosen = base.where(~_plain(seed, rate))
+    running, requests = _running(chosen), _requests(chosen, seed, suffix_first).toDF("d", "t", "n", "copies", "spm", "first", "last")
     cut = (F.col("ordinal") == F.col("first")) | (F.col("ordinal") == F.col("last"))
     # by sorting: the units, many times their texts, are never broadcast
-    asked = requests.join(running.hint("merge"), (F.col("did") == F.col("d")) & (F.col("th") == F.col("t")) & cut, "left")
+    asked = running.hint("merge").join(requests, (F.col("did") == F.col("d")) & (F.col("th") == F.col("t")) & cut)
 
-    def offset(cut: str) -> Column:
-        """Code points before a cut: the sum at its ordinal, over the rows that share the key; nothing is before ordinal 0."""
-        found = F.max(F.when(F.col("ordinal") == F.col(cut), F.expr("total div copies")))
-        return F.when(F.first("form") != "plain", F.coalesce(found, F.lit(0)))
+    def offset(at: str) -> Column:
+        """Code points before a cut: the sum at its ordinal, over the rows that share the key."""
+        return F.max(F.when(F.col("ordinal") == F.col(at), F.expr("total div copies")))
 
-    offsets = asked.groupBy(*_KEY).agg(F.first("n").alias("n"), F.first("form").alias("form"), offset("first").alias("start"), offset("last").alias("end"))
-    whole = base.join(offsets, _KEY)
+    offsets = asked.groupBy(*_KEY).agg(F.max("n").alias("n"), F.max("spm").alias("spm"), offset("first").alias("start"), offset("last").alias("end"))
+    whole = base.join(offsets, _KEY, "left")
     parts = [F.substring("text", F.lit(1), F.col("start")), F.substring("text", F.col("start") + 1, F.col("end") - F.col("start")), F.substring("text", F.col("end") + 1, F.length("text"))]
     psm = F.concat(F.lit(PREFIX), parts[0], F.lit(SUFFIX), parts[2], F.lit(MIDDLE), parts[1])
     spm = F.concat(F.lit(SUFFIX), parts[2], F.lit(PREFIX), parts[0], F.lit(MIDDLE), parts[1])
-    output = F.when(F.col("form") == "psm", psm).when(F.col("form") == "spm", spm).otherwise(F.col("text"))
-    return whole.select(_doc_id().alias("doc_id"), "n", "form", F.col("start").alias("prefix_chars"), (F.col("end") - F.col("start")).alias("middle_chars"), output.alias("output"))
+    form = F.when(F.col("spm"), "spm").when(~F.col("spm"), "psm").otherwise("plain")
+    output = F.when(F.col("spm"), spm).when(~F.col("spm"), psm).otherwise(F.col("text"))
+    units = F.coalesce("n", F.regexp_count("text", F.lit(UNIT)).cast("long"))
+    return whole.select(
+        _doc_id().alias("doc_id"), units.alias("n"), form.alias("form"), F.col("start").alias("prefix_chars"), (F.col("end") - F.col("start")).alias("middle_chars"), output.alias("output")
+    )
 
 
 def restored(output: Column, form: Column) -> Column:
