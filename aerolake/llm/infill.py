@@ -47,21 +47,22 @@ def _plain(seed: int, rate: int) -> Column:
     return (text == "") | text.contains(PREFIX) | text.contains(SUFFIX) | text.contains(MIDDLE) | (draw % 100 >= rate)
 
 
-def _requests(base: DataFrame, seed: int, suffix_first: int) -> DataFrame:
-    """Of each key its number of units and of equal rows, its form and the ordinals of its two cuts."""
-    counted = base.select(*_KEY, F.regexp_count("text", F.lit(UNIT)).cast("long").alias("n"))
-    once = counted.groupBy(*_KEY).agg(F.max("n").alias("n"), F.count(F.lit(1)).alias("copies"))
+def _requests(base: DataFrame, seed: int, rate: int, suffix_first: int) -> DataFrame:
+    """Of each key that isn't plain its number of units and of equal rows, its form and the ordinals of its two cuts."""
+    counted = base.select(*_KEY, F.when(~_plain(seed, rate), F.regexp_count("text", F.lit(UNIT)).cast("long")).alias("n"))
+    once = counted.groupBy(*_KEY).agg(F.max("n").alias("n"), F.count(F.lit(1)).alias("copies")).where(F.col("n").isNotNull())
     h1, h2, _, h4 = _draws(_doc_id(), seed)
     drawn = once.select(*_KEY, "n", "copies", (h4 % 100 < suffix_first).alias("spm"), *[(h % (F.col("n") + 1)).alias(c) for h, c in ((h1, "a"), (h2, "b"))])
     return drawn.select(*_KEY, "n", "copies", "spm", F.least("a", "b").alias("first"), F.greatest("a", "b").alias("last"))
 
 
-def _running(base: DataFrame) -> DataFrame:
+def _running(base: DataFrame, seed: int, rate: int) -> DataFrame:
     """A row for each unit: its ordinal from 1, and the code points up to its end, summed over the key's equal rows.
 
-    Ordinal 0 is the start of the text, before any unit.
+    Ordinal 0 is the start of the text, before any unit. Plain texts have no rows: they are left out here
+    and not by a filter, which would move below the dealing and make a second one of it.
     """
-    units = F.concat(F.array(F.lit("")), F.regexp_extract_all("text", F.lit(UNIT), F.lit(0)))
+    units = F.when(~_plain(seed, rate), F.concat(F.array(F.lit("")), F.regexp_extract_all("text", F.lit(UNIT), F.lit(0))))
     sized = base.select(*_KEY, F.posexplode(units).alias("ordinal", "unit")).select(*_KEY, "ordinal", F.length("unit").cast("long").alias("size"))
     upto = Window.partitionBy(*_KEY).orderBy("ordinal").rangeBetween(Window.unboundedPreceding, Window.currentRow)
     return sized.select(*_KEY, "ordinal", F.sum("size").over(upto).alias("total"))
@@ -78,8 +79,7 @@ def transform(docs: DataFrame, seed: int = SEED, rate: int = RATE, suffix_first:
     """
     n = common.partitions(docs.sparkSession)
     base = _keyed(docs).repartition(n, *_KEY)
-    chosen = base.where(~_plain(seed, rate))
-    running, requests = _running(chosen), _requests(chosen, seed, suffix_first).toDF("d", "t", "n", "copies", "spm", "first", "last")
+    running, requests = _running(base, seed, rate), _requests(base, seed, rate, suffix_first).toDF("d", "t", "n", "copies", "spm", "first", "last")
     cut = (F.col("ordinal") == F.col("first")) | (F.col("ordinal") == F.col("last"))
     # by sorting: the units, many times their texts, are never broadcast
     asked = running.hint("merge").join(requests, (F.col("did") == F.col("d")) & (F.col("th") == F.col("t")) & cut)
