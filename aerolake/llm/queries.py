@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chaining, chat, credentials, exact, infill, packing, pii, quality, simhash, suffix, urls
+from . import bpe, chaining, chat, collocations, credentials, exact, infill, packing, pii, quality, simhash, suffix, urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -78,6 +78,10 @@ def op12_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _span_digests(credentials.find(_table(spark, sf_dir, "documents")), "assign", "access", "hex")
 
 
+def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_bpe": op1_bpe,
     "op2_chat": op2_chat,
@@ -91,6 +95,7 @@ QUERIES = {
     "op10_passages": op10_passages,
     "op11_infill": op11_infill,
     "op12_secrets": op12_secrets,
+    "op13_phrases": op13_phrases,
 }
 
 _CHAT_SQL = """
@@ -113,6 +118,7 @@ ORACLE_SQL = {
     "op3_quality": quality.oracle(),
     "op5_urls": urls.oracle(),
     "op11_infill": infill.oracle(),
+    "op13_phrases": collocations.oracle(),
     "op6_exact_dedup": """
         with g as (select coalesce(text, '') as t, max(doc_id) as keep_id, count(*) as group_size from documents group by 1)
         select d.doc_id, g.keep_id, g.group_size, d.doc_id is not distinct from g.keep_id as kept, sha256(g.t) as text_sha256
