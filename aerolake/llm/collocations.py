@@ -32,7 +32,7 @@ BITS = 1 << 27
 #: Copies of a level's rows that the cuts of hot words are dealt over.
 SALTS = 16
 
-_BLOCK = 1 << 22
+_BLOCK = 1 << 20
 _BUCKET = 1 << 15  # bits in a row of Spark's bitmaps
 _BLANK, _BREAK = b" \t", b".,;:!?\n\x0b\x0c\r"
 _KINDS = np.zeros(256, np.uint8)
