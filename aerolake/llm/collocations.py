@@ -108,8 +108,8 @@ def _apart(keys: list[np.ndarray], sizes: list[int]) -> tuple[np.ndarray, np.nda
     return index, counts
 
 
-_COUNTED = "lang string, phrase string, h long, n long"
-_TYPES = [("lang", pa.string()), ("phrase", pa.string()), ("h", pa.int64()), ("n", pa.int64())]
+_COUNTED = "lang string, phrase string, n long"
+_NAMES = ["lang", "phrase", "n"]
 
 
 class Miner:
@@ -141,8 +141,7 @@ class Miner:
         index, counts = _apart([langs[at], *[codes[at + j] for j in range(k)]], [len(names), *[len(coded.dictionary)] * k])
         at = at[index]
         phrase = pc.binary_join_element_wise(*[words.take(pa.array(at + j)) for j in range(k)], " ") if k > 1 else words.take(pa.array(at))
-        h = _gram_hashes(own, speech, k)[at].view(np.int64)
-        return pa.RecordBatch.from_arrays([names.take(pa.array(langs[at])), phrase, pa.array(h), pa.array(counts.astype(np.int64))], [c for c, _ in _TYPES])
+        return pa.RecordBatch.from_arrays([names.take(pa.array(langs[at])), phrase, pa.array(counts.astype(np.int64))], _NAMES)
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -161,13 +160,21 @@ class Miner:
                 kept = words[tail:], rows[tail:], marks[tail:]
             if self.k == 1:  # all words of each lang, as of a phrase of none
                 none = pa.nulls(len(names), pa.string())
-                yield pa.RecordBatch.from_arrays([names, none, pa.array(np.zeros(len(names), np.int64)), pa.array(total)], [c for c, _ in _TYPES])
+                yield pa.RecordBatch.from_arrays([names, none, pa.array(total)], _NAMES)
 
 
-def _bitmap(level: DataFrame, bits: int) -> np.ndarray:
+def _placed(batches: Iterator[pa.RecordBatch], k: int, bits: int) -> Iterator[pa.RecordBatch]:
+    """Place, from 1, of each phrase of k words in the bitmap."""
+    for batch in batches:
+        words = pc.list_flatten(pc.split_pattern(batch.column("phrase"), " "))
+        own, speech = _hashes(words).reshape(-1, k), _hashes(batch.column("lang"))
+        h = np.zeros(0, np.uint64) if not len(own) else _gram_hashes(own.reshape(-1), np.repeat(speech, k), k)[::k]
+        yield pa.RecordBatch.from_arrays([pa.array((h % np.uint64(bits)).astype(np.int64) + 1)], ["p"])
+
+
+def _bitmap(level: DataFrame, k: int, bits: int) -> np.ndarray:
     """Bits of the hashes of a level's phrases: `bits` / 8 bytes, whatever the number of phrases."""
-    place = F.expr(f"h & {bits - 1}")
-    placed = level.where("phrase is not null").select((place + 1).alias("p"))
+    placed = level.where("phrase is not null").select("lang", "phrase").mapInArrow(lambda batches: _placed(batches, k, bits), "p long")
     rows = placed.groupBy(F.expr("bitmap_bucket_number(p)").alias("bucket")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(p))").alias("bitmap")).collect()
     out = np.zeros(bits // 8, np.uint8)
     for bucket, bitmap in rows:
@@ -177,7 +184,7 @@ def _bitmap(level: DataFrame, bits: int) -> np.ndarray:
 
 
 def levels(docs: DataFrame, most_words: int = MOST_WORDS, least: int = LEAST, bits: int = BITS) -> list[DataFrame]:
-    """Tables (lang, phrase, h, f) of the frequent phrases of 1, 2, ... words, written to the shared folder.
+    """Tables (lang, phrase, f) of the frequent phrases of 1, 2, ... words, written to the shared folder.
 
     The first has a row for each lang with a null phrase: the number of all its words.
     """
@@ -187,12 +194,12 @@ def levels(docs: DataFrame, most_words: int = MOST_WORDS, least: int = LEAST, bi
     texts = docs.select(F.coalesce("lang", F.lit(NO_LANG)).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
     found: list[DataFrame] = []
     for k in range(1, most_words + 1):
-        known = spark.sparkContext.broadcast(_bitmap(found[-1], bits)) if found else None
+        known = spark.sparkContext.broadcast(_bitmap(found[-1], k - 1, bits)) if found else None
 
         def count(batches: Iterator[pa.RecordBatch], k: int = k, known=known) -> Iterator[pa.RecordBatch]:
             yield from Miner(k, known.value if known else None)(batches)
 
-        summed = texts.mapInArrow(count, _COUNTED).groupBy("lang", "phrase").agg(F.max("h").alias("h"), F.sum("n").alias("f"))
+        summed = texts.mapInArrow(count, _COUNTED).groupBy("lang", "phrase").agg(F.sum("n").alias("f"))
         found.append(common.persist(summed.where((F.col("f") >= least) | F.col("phrase").isNull()), f"phrases-{k}"))
     return found
 
