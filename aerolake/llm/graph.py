@@ -2,12 +2,41 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
 
 
+def _forest_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        top = x
+        while (above := parent.setdefault(top, top)) != top:
+            top = above
+        while parent[x] != top:
+            parent[x], x = top, parent[x]
+        return top
+
+    for batch in batches:
+        joins = []
+        for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist()):
+            one, other = root(a), root(b)
+            joins.append(one != other)
+            if one != other:
+                parent[max(one, other)] = min(one, other)
+        yield batch.filter(pa.array(joins, pa.bool_()))
+
+
+def forest(edges: DataFrame) -> DataFrame:
+    """Of the links (a, b) in each task only those that join what the others there leave apart: the components stay the same."""
+    return edges.select("a", "b").mapInArrow(_forest_batches, "a long, b long")
+
+
 def _stamp(edges: DataFrame) -> tuple:
     row = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
     return tuple(row)

@@ -496,7 +496,7 @@ def copy_links(texts: DataFrame) -> DataFrame:
     first = common.persist(grouped.select(*_ordered("node", "head")).distinct(), "grouped")
     near = first.join(prints.toDF("a", "prints"), "a").join(prints.toDF("b", "others"), "b")
     found = _confirmed(near.mapInArrow(_close_batches, "a long, b long"), texts)
-    family = graph.components(first).withColumnRenamed("root", "key")
+    family = graph.components(graph.forest(first)).withColumnRenamed("root", "key")
     rooted = family.join(graph.components(found), "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
     rooted = common.persist(rooted.union(rooted.select("key", F.col("key").alias("node"), F.col("key").alias("root")).distinct()).distinct(), "rooted")
     split = rooted.groupBy("key").agg(F.min("root").alias("l"), F.max("root").alias("m")).where("l <> m").select("key")
