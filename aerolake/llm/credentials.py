@@ -30,6 +30,7 @@ LEAST_COST = 10.0
 LEAST_LENGTH = 8
 
 _SHORTEST, _LONGEST = 3, 24
+_SHARES = 16
 #: Decimal digits: of one brute-force character, of one more piece, and of the names that follow.
 _BRUTE = 1.0
 _PIECE = log10(2)
@@ -227,11 +228,12 @@ def word_ranks(docs: DataFrame, size: int = DICTIONARY) -> dict[str, int]:
     """Ranks, from 1, of the `size` commonest words of all texts, after those of COMMON.
 
     Words are runs of 3 to 24 letters, lower-cased. Counts are summed in every task before they
-    are shuffled; only the ranked words come to the driver.
+    are shuffled, and the counted words dealt over _SHARES tasks: these send `size` words each to
+    the driver, however many tasks counted.
     """
     words = common.texts(docs).select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(rf"\p{{L}}{{{_SHORTEST},}}"), F.lit(0))).alias("word"))
     counted = words.where(F.length("word") <= _LONGEST).groupBy("word").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= LEAST_COUNT)
-    top = [row[0] for row in counted.orderBy(F.desc("n"), "word").limit(size).collect()]
+    top = [row[0] for row in counted.repartition(_SHARES).orderBy(F.desc("n"), "word").limit(size).collect()]
     return {word: n for n, word in enumerate(dict.fromkeys([*COMMON, *top]), 1)}
 
 
