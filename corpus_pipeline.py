@@ -28,14 +28,15 @@ def _free(docs: DataFrame, name: str) -> str:
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejected documents go; of those that stay, the lines that fail go.
 
-    Each row is judged by itself, repeated rows alike; a null or empty text is rejected.
+    Each row is judged by itself, repeated rows alike; a null or empty text is rejected. The row travels
+    in one column, so no name of the rules meets one of its own.
     The filter also looks at the partition's number, which is not deterministic and always passes:
     the optimizer then doesn't move it below the measures and evaluate all of them anew.
     """
-    part = _free(docs, "part")
-    judged = quality.judge(docs).withColumn(part, F.spark_partition_id()).where(F.col("kept") & (F.col(part) >= 0))
-    kept = judged.withColumn("text", F.col("clean_text")).withColumn("n_chars", F.length("text").cast("long"))
-    return kept.select(*docs.columns)
+    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "text")
+    kept = quality.judge(row).withColumn("part", F.spark_partition_id()).where(F.col("kept") & (F.col("part") >= 0))
+    clean = {"text": F.col("clean_text"), "n_chars": F.length("clean_text").cast("long")}
+    return kept.select(*[clean.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns])
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
