@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import magnetic, rings
 from ..operators import lookup, procedures
-from ..operators.builders import airspace, airways, places, registry
+from ..operators.builders import airspace, airways, places, registry, special_use
 from ..operators.builders import procedures as build_procedures
 from ..sources import text
 from . import records, views
@@ -294,6 +294,29 @@ def special_altitude(spark):
     return rows.select("c_custkey", bound.alias("b")).select("c_custkey", F.col("b.valueFt").cast("long").alias("feet"), "b.reference")
 
 
+_POLYLINE = "i * (case when stop <= start then stop + 360 else stop end - start) / 64e0 + start"
+
+
+@query(f"""with c as (select c_custkey as k, c_nationkey as n, c_custkey % 50 - 120 as lon, c_custkey % 20 + 25 as lat, c_custkey % 3 as kind, case when c_custkey % 3 = 1 then c_custkey % 360 else 0 end as start,
+        case when c_custkey % 3 = 1 then c_custkey * 7 % 360 else 360 end as stop, case when c_custkey % 3 = 1 then c_custkey % 9 + 1 else (c_custkey % 9 + 1) * 1000 / 6076.12e0 end / 60e0 as north from customer
+        where c_custkey % 17 > 0 and c_custkey % 19 > 0 and not (c_custkey % 23 = 0 and c_custkey % 3 = 0)),
+    square as (select k, i, lon + [0, 1, 1, 0, 0][i + 1] + 0e0 as x, lat + [0, 0, 1, 1, 0][i + 1] + 0e0 as y from c, (select unnest(range(5)) as i) where kind = 0),
+    round as (select k, i + case when kind = 2 then 0 when k % 23 = 0 then 1 else 2 end as i, lon + cos(radians({_POLYLINE})) * north / cos(radians(lat)) as x, lat + sin(radians({_POLYLINE})) * north as y from c, (select unnest(range(65)) as i) where kind > 0),
+    side as (select k, 0 as i, lon + case when k % 23 = 0 then 1 else 0 end + 0e0 as x, lat + 0e0 as y from c where kind = 1 union all select k, 1, lon + 1e0, lat + 0e0 from c where kind = 1 and k % 23 > 0),
+    closing as (select k, case when k % 23 = 0 then 66 else 67 end as i, x, y from side where i = 0),
+    ring as (select * from square union all select * from round union all select * from side union all select * from closing)
+    select k as ord, ['MOA', 'RESTRICTED', 'WARNING', 'ALERT', 'PROHIBITED', 'NSA'][k % 6 + 1] as type, concat('AREA ', k) as name, concat('S', k) as identifier, [0, 500, 1200][kind + 1] as floorFt, ['SFC', 'AGL', 'MSL'][kind + 1] as floorReference,
+        case when k % 2 = 0 then 99999 else 18000 end as ceilingFt, ['NY', 'TX', null][kind + 1] as state, concat('Z', n) as facility, case when k % 5 > 0 then concat('Day ', k % 7, '.') end as schedule, i as pos, round(x, 6) as lon, round(y, 6) as lat
+    from c join ring using (k)""")
+def special_use_build(spark):
+    """Special-use areas from XML documents, a row for each vertex of their boundaries."""
+    built = special_use.build(records.special_use_documents(spark))
+    return built.select(
+        "ord", "type", "name", "identifier", F.col("floor.valueFt").cast("long").alias("floorFt"), F.col("floor.reference").alias("floorReference"), F.col("ceiling.valueFt").cast("long").alias("ceilingFt"), "state",
+        F.col("controllingFacility").alias("facility"), F.col("scheduleDescription").alias("schedule"), F.posexplode(F.col("boundary")[0]).alias("pos", "p"),
+    ).select("*", F.round(F.col("p")[0], 6).alias("lon"), F.round(F.col("p")[1], 6).alias("lat")).withColumn("pos", F.col("pos").cast("long")).drop("p")
+
+
 @query("""select s_suppkey, part, case when centre between 178.5 and 181.5 and centre <> 178.5 and centre <> 181.5 then 5 else 5 end as points, case when part = 0 then centre - 2 else -180 end + 0e0 as west, case when part = 0 then 180 else centre + 2 - 360 end + 0e0 as east
     from (select s_suppkey, 179 + s_suppkey % 3 * 0.5 as centre from supplier) t, (select unnest([0, 1]) as part) p""")
 def antimeridian_split(spark):

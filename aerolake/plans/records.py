@@ -103,3 +103,51 @@ def procedure_lines(spark: SparkSession) -> DataFrame:
         union all select 10000000000 + p_partkey, {FIX} from part union all select 20000000000 + s_suppkey, {STATION} from supplier"""
     )
     return _written(lines)
+
+
+def element(name: str, *content: str, **attributes: str) -> str:
+    """SQL of an XML element around the SQL of its content."""
+    marks = "".join(f' {k}="{v}"' for k, v in attributes.items())
+    return f"concat('<{name}{marks}>', {', '.join(content)}, '</{name}>')"
+
+
+def within(path: str, *content: str) -> str:
+    """SQL of nested elements, the outermost first."""
+    first, _, rest = path.partition(" ")
+    return element(first, within(rest, *content)) if rest else element(first, *content)
+
+
+def _position(lon: str, lat: str) -> str:
+    return element("pos", f"{lon}, ' ', {lat}")
+
+
+_C = "c_custkey"
+_CORNERS = [_position(f"{_C} % 50 - 120 + {x}", f"{_C} % 20 + 25 + {y}") for x, y in ((0, 0), (1, 0), (1, 1), (0, 1))]
+_CENTRE = within("pointProperty Point", _CORNERS[0])
+_RADIUS_NM = f"concat('<radius uom=\"NM\">', {_C} % 9 + 1, '</radius>')"
+_RADIUS_FT = f"concat('<radius uom=\"FT\">', ({_C} % 9 + 1) * 1000, '</radius>')"
+_ARC = within("curveMember Curve segments ArcByCenterPoint", _CENTRE, _RADIUS_NM, element("startAngle", f"{_C} % 360", uom="deg"), element("endAngle", f"{_C} * 7 % 360", uom="deg"))
+_SIDE = within("curveMember Curve segments LineStringSegment", f"case when {_C} % 23 = 0 then '' else {_CORNERS[0]} end", _CORNERS[1])
+_OUTLINE = f"""case when {_C} % 3 = 0 then {element('LinearRing', *_CORNERS[:2], f"case when {_C} % 23 = 0 then '' else concat({_CORNERS[2]}, {_CORNERS[3]}) end")}
+    when {_C} % 3 = 1 then {element('Ring', _SIDE, _ARC)} else {element('Ring', within('curveMember Curve segments CircleByCenterPoint', _CENTRE, _RADIUS_FT))} end"""
+_LOWER = f"""case when {_C} % 19 = 0 then '<lowerLimit uom="OTHER">BY NOTAM</lowerLimit>' when {_C} % 3 = 0 then '<lowerLimit uom="FT">GND</lowerLimit>'
+    when {_C} % 3 = 1 then '<lowerLimit uom="FT">500</lowerLimit><lowerLimitReference>AGL</lowerLimitReference>' else '<lowerLimit uom="FT">1200</lowerLimit><lowerLimitReference>MSL</lowerLimitReference>' end"""
+_UPPER = f"""case when {_C} % 2 = 0 then '<upperLimit uom="OTHER">UNL</upperLimit><upperLimitReference>OTHER</upperLimitReference>' else '<upperLimit uom="FL">180</upperLimit><upperLimitReference>STD</upperLimitReference>' end"""
+_PARTS = [
+    within("geometryComponent AirspaceGeometryComponent operation", "'SUBTR'"),
+    within("geometryComponent AirspaceGeometryComponent", "'<operation>BASE</operation>'", within("theAirspaceVolume AirspaceVolume", _UPPER, _LOWER, within("horizontalProjection Surface patches PolygonPatch exterior", _OUTLINE))),
+]
+_NOTE = f"""case when {_C} % 5 = 0 then '' else concat('<annotation><Note><propertyName>legalDefinitionType</propertyName><translatedNote><LinguisticNote><note>Boundaries. Around &amp; about.\\nTimes of use. Day ', {_C} % 7,
+    '.\\nControlling agency. FAA.</note></LinguisticNote></translatedNote></Note></annotation>') end"""
+_AREA_KIND = f"case when {_C} % 17 = 0 then 'XYZ' else element_at(array('MOA', 'RA', 'WA', 'AA', 'PA', 'NSA'), cast({_C} % 6 + 1 as int)) end"
+_EXTENSIONS = [within("extension AirspaceExtension administrativeArea", f"element_at(array('New York', 'TEXAS', 'Nowhere'), cast({_C} % 3 + 1 as int))"), within("extension AirspaceExtension suaType", _AREA_KIND)]
+_SLICE = [element("name", f"concat('AREA ', {_C})"), element("designator", f"concat('S', {_C})"), *_PARTS, _NOTE, *_EXTENSIONS]
+SPECIAL_USE = element(
+    "SaaMessage", within("hasMember Unit timeSlice UnitTimeSlice", "'<type>TOWER</type><designator>TWR</designator>'"), within("hasMember Airspace timeSlice AirspaceTimeSlice", *_SLICE),
+    within("hasMember Unit timeSlice UnitTimeSlice", f"'<type>ARTCC</type><designator>Z', c_nationkey, '</designator>'"), xmlns="urn:saa",
+)
+
+
+def special_use_documents(spark: SparkSession) -> DataFrame:
+    """A special-use area per customer: squares, lines with an arc, and circles."""
+    return spark.sql(f"select {_C} as ord, {SPECIAL_USE} as content from customer").repartition("ord")
