@@ -103,3 +103,9 @@ def split_antimeridian(ring: pd.Series) -> pd.Series:
 def simplify_ring(ring: pd.Series, tolerance: pd.Series) -> pd.Series:
     """Each ring simplified (see `simplified`); null stays."""
     return pd.Series([None if r is None else simplified(_points(r), float(t)) for r, t in zip(ring, tolerance)])
+
+
+@F.pandas_udf(T.ArrayType(_RING))
+def simplify_polygon(polygon: pd.Series, tolerance: pd.Series) -> pd.Series:
+    """Each polygon with its outline and holes simplified (see `simplified`); null stays."""
+    return pd.Series([None if p is None else [simplified(_points(r), float(t)) for r in p] for p, t in zip(polygon, tolerance)])

@@ -6,11 +6,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ...functions.rings import simplify_ring, split_antimeridian
-from ...sources.text import number, whole
+from ...functions.rings import simplify_polygon, simplify_ring, split_antimeridian
+from ...sources.text import given, number, whole
 
 UNLIMITED_FT = 99999
 TOLERANCE = 1e-3
+# Kinds of class airspace that are taken, and how far their outlines may be simplified, in degrees.
+CLASSES = ("CLASS_B", "CLASS_C", "CLASS_D", *(f"CLASS_E{n}" for n in range(2, 8)))
+CLASS_TOLERANCE, CLASS_E_TOLERANCE = 1e-4, 1e-3
 # Strata by the published altitude and type of a boundary, and their limits.
 STRATA = {("HIGH", "ARTCC"): "HIGH", ("LOW", "ARTCC"): "LOW"} | {("UNLIMITED", t): t for t in ("UTA", "CTA", "FIR", "CTA/FIR")}
 LIMITS = {"LOW": ((0, "SFC"), (18000, "MSL")), "HIGH": ((18000, "MSL"), (60000, "MSL")), "UTA": ((60000, "MSL"), (UNLIMITED_FT, "MSL"))}
@@ -93,3 +96,26 @@ def control_areas(base: DataFrame, segments: DataFrame, tolerance: float = TOLER
         F.lit("ARTCC").alias("type"), F.col("b.LOCATION_NAME").alias("name"), F.col("LOCATION_ID").alias("identifier"), limit(0).alias("floor"), limit(1).alias("ceiling"), "boundary",
         F.col("b.STATE").alias("state"), "artccStratum", "shape", "part",
     )
+
+
+def airport_states(base: DataFrame) -> DataFrame:
+    """(ARPT_ID, state) of the airports that have one; of several rows the last."""
+    named = base.select("ord", given(F.col("ARPT_ID")).alias("ARPT_ID"), given(F.col("STATE_CODE")).alias("state")).where("ARPT_ID is not null and state is not null")
+    return named.groupBy("ARPT_ID").agg(F.max_by("state", "ord").alias("state"))
+
+
+def class_areas(features: DataFrame, states: DataFrame) -> DataFrame:
+    """Class B, C, D and E areas of a shape file's features, with the state of the airport that each is named for.
+
+    features has file, ord, IDENT, NAME, LOCAL_TYPE, the value, unit and reference of both limits (UPPER_VAL,
+    UPPER_UOM, UPPER_CODE, LOWER_...), COMM_NAME, WKHR_RMK and polygons; states what `airport_states` gives.
+    Of several polygons the largest is the boundary; a feature without one has no row.
+    """
+    chosen = features.where(F.col("LOCAL_TYPE").isin(*CLASSES) & (F.size("polygons") > 0))
+    tolerance = F.when(F.col("LOCAL_TYPE").startswith("CLASS_E"), CLASS_E_TOLERANCE).otherwise(CLASS_TOLERANCE)
+    limits = [shape_altitude(F.col(f"{side}_VAL"), F.col(f"{side}_UOM"), F.col(f"{side}_CODE")).alias(name) for side, name in (("LOWER", "floor"), ("UPPER", "ceiling"))]
+    areas = chosen.select(
+        "file", "ord", "IDENT", F.col("LOCAL_TYPE").alias("type"), F.coalesce("NAME", F.lit("")).alias("name"), F.coalesce("IDENT", F.lit("")).alias("identifier"), *limits,
+        simplify_polygon(largest_polygon(F.col("polygons")), tolerance).alias("boundary"), F.col("COMM_NAME").alias("controllingFacility"), F.col("WKHR_RMK").alias("scheduleDescription"),
+    )
+    return areas.join(states.withColumnRenamed("ARPT_ID", "IDENT"), "IDENT", "left").drop("IDENT")

@@ -8,7 +8,7 @@ from ..functions import magnetic, rings
 from ..operators import lookup, procedures
 from ..operators.builders import airspace, airways, places, registry, special_use
 from ..operators.builders import procedures as build_procedures
-from ..sources import text
+from ..sources import folders, shapes, text
 from . import records, views
 from .tables import query
 
@@ -317,6 +317,41 @@ def special_use_build(spark):
     ).select("*", F.round(F.col("p")[0], 6).alias("lon"), F.round(F.col("p")[1], 6).alias("lat")).withColumn("pos", F.col("pos").cast("long")).drop("p")
 
 
+_KINDS = "['CLASS_B', 'CLASS_C', 'CLASS_D', 'CLASS_E2', 'CLASS_E5', 'MODE C', 'CLASS_E7']"
+_SQUARES = {"two": "c_custkey % 5 = 0", "holed": "c_custkey % 4 = 0"}
+
+
+@query(f"""with c as (select c_custkey as k, c_custkey % 60 - 125 as lon, c_custkey % 22 + 25 as lat, {_KINDS}[c_custkey % 7 + 1] as type, case c_custkey % 3 when 0 then 0.00005e0 when 1 then 0.0005e0 else 0.005e0 end as bend,
+        {_SQUARES["two"]} as two, {_SQUARES["holed"]} as holed, concat('F', c_custkey % 1000) as identifier from customer where c_custkey % 7 <> 5 and c_custkey % 13 > 0),
+    corners as (select k, 0 as ring, unnest(range(6)) as i, case when two then 3 else 0 end as shift from c union all select k, 1, unnest(range(5)), 0 from c where holed and not two),
+    kept as (select k, ring, row_number() over (partition by k, ring order by i) - 1 as pos, case when ring = 1 then lon + [0.2e0, 0.4e0, 0.4e0, 0.2e0, 0.2e0][i + 1] else lon + shift + [0e0, 0e0, 0.5e0, 1e0, 1e0, 0e0][i + 1] end as lon,
+        case when ring = 1 then lat + [0.2e0, 0.2e0, 0.4e0, 0.4e0, 0.2e0][i + 1] else lat + [0e0, 1e0, 1 + bend, 1e0, 0e0, 0e0][i + 1] end as lat
+        from c join corners using (k) where ring = 1 or i <> 2 or bend > case when type like 'CLASS_E%' then 1e-3 else 1e-4 end),
+    states as (select concat('F', c_custkey) as identifier, concat('S', c_nationkey) as state from customer where c_custkey % 4 <> 1 and c_custkey < 1000)
+    select k, type, concat('AREA ', k, ' é') as name, identifier, state, case when k % 2 = 0 then 'SFC' else 'MSL' end as floorReference, case when k % 2 = 0 then 0 else 700 end as floorFt, case when k % 9 = 0 then 99999 else 4500 end as ceilingFt,
+        case when k % 3 > 0 then concat('TOWER ', k % 10) end as facility, ring, pos, round(lon, 6) as lon, round(lat, 6) as lat from kept join (select k, type, identifier from c) using (k) left join states using (identifier)""")
+def class_airspace_build(spark):
+    """Class airspace written as shape files and read again in ranges of records, a row for each vertex that is left."""
+    path = folders.scratch(spark, "shapes")
+    outline = "array({0}, array(lon + {1}, lat + 1D), array(lon + {1} + 0.5D, lat + 1D + bend), array(lon + {1} + 1D, lat + 1D), array(lon + {1} + 1D, lat + 0D), {0})"
+    first, second = (outline.format(f"array(lon + {x}, lat + 0D)", x) for x in ("0D", "3D"))
+    triangle = "array(array(lon + 0D, lat + 0D), array(lon + 0D, lat + 1D), array(lon + 1D, lat + 0D), array(lon + 0D, lat + 0D))"
+    hole = "array(array(lon + 0.2D, lat + 0.2D), array(lon + 0.4D, lat + 0.2D), array(lon + 0.4D, lat + 0.4D), array(lon + 0.2D, lat + 0.4D), array(lon + 0.2D, lat + 0.2D))"
+    kinds = _KINDS.replace("[", "array(").replace("]", ")")
+    features = spark.sql(f"""select cast(c_custkey as string) as ID, concat('F', c_custkey % 1000) as IDENT, concat('AREA ', c_custkey, ' é') as NAME, {kinds}[c_custkey % 7] as LOCAL_TYPE, case when c_custkey % 9 = 0 then '-9998' else '4500' end as UPPER_VAL, 'FT' as UPPER_UOM,
+            'MSL' as UPPER_CODE, case when c_custkey % 2 = 0 then '0' else '700' end as LOWER_VAL, 'FT' as LOWER_UOM, case when c_custkey % 2 = 0 then 'SFC' else 'MSL' end as LOWER_CODE, case when c_custkey % 3 > 0 then concat('TOWER ', c_custkey % 10) end as COMM_NAME,
+            cast(null as string) as WKHR_RMK, case when c_custkey % 13 = 0 then null when {_SQUARES["two"]} then array(array({triangle}), array({second})) when {_SQUARES["holed"]} then array(array({first}, {hole})) else array(array({first})) end as polygons
+        from (select *, c_custkey % 60 - 125 as lon, c_custkey % 22 + 25 as lat, case c_custkey % 3 when 0 then 0.00005D when 1 then 0.0005D else 0.005D end as bend from customer) t""")
+    shapes.write(features, path)
+    base = spark.sql("select c_custkey as ord, concat('F', c_custkey) as ARPT_ID, case when c_custkey % 4 = 1 then ' ' else concat('S', c_nationkey) end as STATE_CODE from customer")
+    built = airspace.class_areas(shapes.read(spark, path).withColumn("WKHR_RMK", F.coalesce("WKHR_RMK", "ID")), airspace.airport_states(base))
+    vertices = built.select(
+        F.col("scheduleDescription").cast("long").alias("k"), "type", "name", "identifier", "state", F.col("floor.reference").alias("floorReference"), F.col("floor.valueFt").cast("long").alias("floorFt"),
+        F.col("ceiling.valueFt").cast("long").alias("ceilingFt"), F.col("controllingFacility").alias("facility"), F.posexplode("boundary").alias("ring", "r"),
+    ).select("*", F.posexplode("r").alias("pos", "p"))
+    return vertices.select(*vertices.columns[:9], F.col("ring").cast("long").alias("ring"), F.col("pos").cast("long").alias("pos"), F.round(F.col("p")[0], 6).alias("lon"), F.round(F.col("p")[1], 6).alias("lat"))
+
+
 @query("""select s_suppkey, part, case when centre between 178.5 and 181.5 and centre <> 178.5 and centre <> 181.5 then 5 else 5 end as points, case when part = 0 then centre - 2 else -180 end + 0e0 as west, case when part = 0 then 180 else centre + 2 - 360 end + 0e0 as east
     from (select s_suppkey, 179 + s_suppkey % 3 * 0.5 as centre from supplier) t, (select unnest([0, 1]) as part) p""")
 def antimeridian_split(spark):
