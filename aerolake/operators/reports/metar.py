@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common as c
+from . import remarks as groups
 
 _RVR = r"(?:\s+R\d{2}[LCR]?/\S*)*"
 _WX = rf"(?:\s+{c.WEATHER})*"
@@ -48,8 +49,8 @@ def _signed_tenths(text: Column) -> Column:
     return F.when(F.substring(text, 1, 1) == "1", -value).otherwise(value)
 
 
-def remarks(text: Column, hour: Column) -> Column:
-    """The coded groups of a remarks section; groups that are missing are null."""
+def remarks(text: Column, hour: Column, cut: Column) -> Column:
+    """The groups of a remarks section, coded ones and those of its clauses; groups that are missing are null."""
     t = F.concat(F.lit(" "), text, F.lit(" "))
 
     def code(pattern: str, group: int = 1) -> Column:
@@ -85,20 +86,16 @@ def remarks(text: Column, hour: Column) -> Column:
         F.when(code(peak, 1).isNotNull(), F.struct(c.number(code(peak, 1)).alias("directionDeg"), c.number(code(peak, 2)).alias("speedKt"), peak_hour.alias("hour"), c.number(code(peak, 4)).alias("minute"))).alias("peakWind"),
         F.when(code(shift, 2).isNotNull(), F.struct(F.coalesce(c.number(code(shift, 1)), hour).alias("hour"), c.number(code(shift, 2)).alias("minute"), code(shift, 3).isNotNull().alias("isFrontalPassage"))).alias("windShift"),
         F.when(code("(PRESRR)").isNotNull(), "RISING_RAPIDLY").when(code("(PRESFR)").isNotNull(), "FALLING_RAPIDLY").alias("pressureChange"),
-        code(r"TWR\s+VIS\s+((?:\d+\s+)?\d+(?:/\d+)?)").alias("towerVisibility"),
-        code(r"SFC\s+VIS\s+((?:\d+\s+)?\d+(?:/\d+)?)").alias("surfaceVisibility"),
         (c.number(code(r"CIG\s+(\d{3})V\d{3}")) * 100).alias("variableCeilingMinFt"),
         (c.number(code(r"CIG\s+\d{3}V(\d{3})")) * 100).alias("variableCeilingMaxFt"),
-        code(r"GR\s+((?:\d+\s+)?\d+(?:/\d+)?)").alias("hailSize"),
-        F.regexp_extract_all(t, F.lit(r"\s((?:(?:OCNL|FRQ|CONS)\s+)?LTG(?:IC|CC|CG|CA)*)(?=\s)"), F.lit(1)).alias("lightning"),
-        F.regexp_extract_all(t, F.lit(rf"\s((?:{c.DESCRIPTORS}|{c.PHENOMENA})+(?:[BE]\d{{2,4}})+)(?=\s)"), F.lit(1)).alias("precipitationEvents"),
         t.rlike(r"\sVIRGA\s").alias("isVirga"),
         F.array_distinct(F.regexp_extract_all(t, F.lit(r"\s(RVRNO|PWINO|PNO|FZRANO|TSNO|VISNO|CHINO|SLPNO)(?=\s)"), F.lit(1))).alias("sensorStatus"),
         t.rlike(r"\s\$\s").alias("isMaintenanceNeeded"),
+        *groups.details(cut, hour),
     )
 
 
-def _fields(text: Column, g: Column, rest: Column) -> list[Column]:
+def _fields(text: Column, g: Column, rest: Column, cut: Column) -> list[Column]:
     """All that an observation says, from the groups of its body and its remarks."""
 
     def part(n: int) -> Column:
@@ -127,7 +124,7 @@ def _fields(text: Column, g: Column, rest: Column) -> list[Column]:
         F.when(altimeter.startswith("A"), value / 100).alias("altimeterInHg"),
         F.when(altimeter.startswith("Q"), value).alias("altimeterHpa"),
         F.coalesce(part(18).rlike(r"(^|\s)NOSIG(\s|$)"), F.lit(False)).alias("isNoSignificantChange"),
-        F.when(rest.isNotNull(), remarks(rest, c.number(part(4)))).alias("remarks"),
+        F.when(rest.isNotNull(), remarks(rest, c.number(part(4)), cut)).alias("remarks"),
     ]
 
 
@@ -140,7 +137,8 @@ def parse(reports: DataFrame, raw: str = "raw") -> DataFrame:
     rows = reports.select(*kept, F.trim(raw).alias("__text"))
     rows = rows.withColumn("__halves", F.split("__text", r"\sRMK\s", 2))
     rows = rows.withColumn("__g", c.groups(F.get("__halves", F.lit(0)), _BODY, _GROUPS))
-    rows = rows.select(*kept, "__g", *_fields(F.col("__text"), F.col("__g"), F.get("__halves", F.lit(1))))
+    rows = rows.withColumn("__cut", groups.clauses(F.get("__halves", F.lit(1))))
+    rows = rows.select(*kept, "__g", *_fields(F.col("__text"), F.col("__g"), F.get("__halves", F.lit(1)), F.col("__cut")))
     category = c.flight_category(F.col("visibility.visibilitySm"), F.coalesce("visibility.isLessThan", F.lit(False)), F.col("sky"), F.col("isCavok"))
     error = F.when(F.col("__g").isNull(), F.lit("no station and observation time"))
     return rows.withColumn("flightCategory", category).withColumn("error", error).drop("__g")

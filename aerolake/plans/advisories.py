@@ -78,6 +78,41 @@ def metar_remarks(spark):
     )
 
 
+_SAID = {
+    "tower": ("event_id % 2 = 0", "'TWR VIS 1 1/2 '"), "vis": ("true", "case event_id % 3 when 0 then 'VIS 1/4V2 ' when 1 then 'VIS NE3/4 ' else 'VIS 2 RWY11L ' end"), "cig": ("event_id % 4 = 0", "'CIG 017 RWY24 '"),
+    "ltg": ("event_id % 5 < 2", "case event_id % 5 when 0 then 'FRQ LTGICCG DSNT N-NE AND SW ' else 'LTGCC ' end"), "ts": ("event_id % 6 < 4", "case event_id % 6 when 3 then 'TS SE ' else concat('TS OHD MOV ', case when event_id % 2 = 0 then 'NE ' else 'W ' end) end"),
+    "virga": ("event_id % 7 < 2", "case event_id % 7 when 0 then 'VIRGA SW ' else 'VIRGA ' end"), "cloud": ("event_id % 8 < 2", "case event_id % 8 when 0 then 'CB DSNT W MOV E TCU SE ' else 'ACSL ' end"),
+    "sky": ("event_id % 9 = 0", "'BKN014 V OVC '"), "fog": ("event_id % 10 = 0", "'FG SCT000 '"), "size": ("event_id % 11 < 3", "case event_id % 11 when 0 then 'SNINCR 2/10 ' when 1 then 'GR 1 3/4 ' else 'GR LESS THAN 1/4 ' end"),
+    "none": ("event_id % 12 < 2", "case event_id % 12 when 0 then 'TSNO VISNO RWY06 ' else 'CHINO ' end"),
+    "event": ("event_id % 13 < 9", "concat('RAB', lpad(cast(event_id % 60 as string), 2, '0'), 'E', lpad(cast(event_id % 24 as string), 2, '0'), lpad(cast(event_id % 60 as string), 2, '0'), ' ')"),
+}
+
+
+@query("""select event_id, case when event_id % 2 = 0 then 1.5e0 end as towerSm, case when event_id % 3 = 0 then 0.25e0 end as leastSm, case when event_id % 3 = 0 then 2e0 end as mostSm, case when event_id % 3 = 1 then 'NE 0.75' end as sector, case when event_id % 3 = 2 then 'RWY11L 2.0' end as second,
+    case when event_id % 4 = 0 then 'RWY24 1700' end as ceiling, case event_id % 11 when 1 then 1.75e0 when 2 then 0.25e0 end as hailIn, case when event_id % 11 = 0 then 2 end as snowHour, case when event_id % 11 = 0 then 10 end as snowDepth,
+    case event_id % 5 when 0 then 'FRQ IC,CG DSNT N-NE AND SW' when 1 then '- CC -' else '' end as lightning, case when event_id % 6 = 3 then 'SE -' when event_id % 6 < 3 then case when event_id % 2 = 0 then 'OHD NE' else 'OHD W' end else '' end as storms,
+    case event_id % 7 when 0 then 'SW' when 1 then '-' else '' end as virga, case event_id % 8 when 0 then 'CB DSNT W MOV E;TCU SE' when 1 then 'ACSL -' else '' end as clouds, case when event_id % 9 = 0 then 'BKN OVC 1400' else '' end as sky, case when event_id % 10 = 0 then 'FG SCT 0' else '' end as fog,
+    case event_id % 12 when 0 then 'TSNO;VISNO RWY06' when 1 then 'CHINO' else '' end as missing, case when event_id % 13 < 9 then concat('RA BEGIN 12 ', event_id % 60, ';RA END ', event_id % 24, ' ', event_id % 60) else '' end as events from events""")
+def metar_remark_groups(spark):
+    """Twelve kinds of plain-language groups in the remarks of one observation each."""
+    said = ", ".join(f"case when {when} then {words} else '' end" for when, words in _SAID.values())
+    rows = _written(spark, f"select event_id, concat('METAR KABC 011200Z 00000KT 10SM CLR 10/05 A3000 RMK AO2 ', {said}, 'SLP012 $') as raw from events")
+    m = metar.parse(rows).select("event_id", "remarks.*")
+
+    def listed(column, *parts):
+        one = lambda x: F.concat_ws(" ", *[F.coalesce(F.array_join(x[p], ",") if p == "types" else x[p].cast("string"), F.lit("-")) for p in parts])
+        return F.array_join(F.transform(column, one) if parts else F.col(column), ";")
+
+    return m.select(
+        "event_id", F.get("towerSurfaceVisibility", F.lit(0))["visibilitySm"].alias("towerSm"), F.col("variableVisibility.minVisibilitySm").alias("leastSm"), F.col("variableVisibility.maxVisibilitySm").alias("mostSm"),
+        F.nullif(listed("sectorVisibility", "direction", "visibilitySm"), F.lit("")).alias("sector"), F.nullif(listed("secondLocationVisibility", "location", "visibilitySm"), F.lit("")).alias("second"),
+        F.nullif(listed("secondLocationCeiling", "location", "ceilingFtAgl"), F.lit("")).alias("ceiling"), F.col("hailSizeIn").alias("hailIn"), _long("snowIncreasing.lastHourIn", "snowHour"), _long("snowIncreasing.totalDepthIn", "snowDepth"),
+        listed("lightning", "frequency", "types", "location").alias("lightning"), listed("thunderstorms", "location", "movingDirection").alias("storms"), listed("virga", "direction").alias("virga"), listed("significantClouds", "type", "location").alias("clouds"),
+        listed("variableSkyCondition", "coverageLow", "coverageHigh", "altitudeFtAgl").alias("sky"), listed("obscurations", "phenomenon", "coverage", "altitudeFtAgl").alias("fog"), listed("missingData").alias("missing"),
+        listed("precipitationEvents", "phenomenon", "eventType", "hour", "minute").alias("events"),
+    )
+
+
 @query("""select event_id, 'station' as locationType, 'ABC' as identifier, event_id % 360 as radial, event_id % 90 as nm, case when event_id % 2 = 0 then 'BKN' else 'OVC' end as coverage, (event_id % 90 + 10) * 100 as skyBaseFt, event_id % 36 * 10 as windDeg, 10 + event_id % 80 as windKt,
     case when event_id % 3 = 0 then 'MOD' else 'LGT' end as icing, 'RIME' as rime, event_id % 9 + 1 as miles, 'SMOOTH' as remarks from events""")
 def pirep_tight(spark):
