@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ...sources.text import code, given, whole
+from ..steps import settled
 
 # Codes of the published record format.
 PROCEDURES = {"D": "SID", "E": "STAR", "F": "IAP"}
@@ -76,7 +77,7 @@ def _legs(records: DataFrame) -> DataFrame:
         "speedConstraint": F.when((speed > 0) & speed_rule.isin(SPEED_RULES), F.struct(speed_rule.alias("descriptor"), speed.alias("speedKt"))),
         "centerFix": centre, "centerFixIcaoRegionCode": F.when(centre.isNotNull(), given(_at(113, 2))),
     }
-    read = read.select("ord", "type", *[c.alias(n) for n, c in columns.items()])
+    read = settled(read.where("type is not null"), *[c.alias(n) for n, c in columns.items()]).drop("value")
     return read.where(F.col("type").isNotNull() & F.col("airport").isNotNull() & F.col("identifier").isNotNull() & F.col("seq").isNotNull() & F.col("pathTerminator").isin(TERMINATORS))
 
 
@@ -134,33 +135,37 @@ def build(lines: DataFrame) -> DataFrame:
     key = [F.col("fixIdentifier") == F.col("ident"), F.col("icaoRegionCode") == F.col("region"), "section"]
     index = fix_index(records).withColumnRenamed("section", "indexed")
     legs = _legs(records).join(index, key[0] & key[1] & (F.col("section") == F.col("indexed")), "left")
+    names = legs.columns
     outer = {"ord", "type", "airport", "identifier", "routeType", "transition", "seq", "section", "startsMissed", "ident", "region", "indexed"}
     approach = F.col("type") == "IAP"
     shared = F.when(approach, ~F.col("routeType").isin("A", "Z")).otherwise(F.when(F.col("type") == "SID", F.col("routeType").isin(COMMON["SID"])).otherwise(F.col("routeType").isin(COMMON["STAR"])))
     kind = F.when(approach & (F.col("routeType") == "Z"), "missed").when(shared, "common").otherwise("transition")
     bucket = F.when(approach & (F.col("routeType") == "A"), F.col("transition")).when(approach, F.col("routeType")).otherwise(F.concat_ws("::", "routeType", "transition"))
-    leg = F.struct(*[c for c in legs.columns if c not in outer])
+    leg = F.struct(*[c for c in names if c not in outer])
     entry = F.struct("seq", "ord", "startsMissed", "transition", leg.alias("leg"))
+    legs = settled(legs, kind.alias("kind"), bucket.alias("bucket"), entry.alias("entry"))
     whole_key = ["airport", "identifier", "type"]
-    routes = legs.groupBy(*whole_key, kind.alias("kind"), bucket.alias("bucket")).agg(F.min("ord").alias("ord"), F.min_by("routeType", "ord").alias("routeType"), F.array_sort(F.collect_list(entry)).alias("entries"))
+    routes = legs.groupBy(*whole_key, "kind", "bucket").agg(F.min("ord").alias("ord"), F.min_by("routeType", "ord").alias("routeType"), F.array_sort(F.collect_list("entry")).alias("entries"))
     begins = F.array_position(F.transform("entries", lambda e: e["startsMissed"]), True)
     cut = F.when((F.col("kind") == "common") & approach & (begins > 0), begins - 1).otherwise(F.size("entries")).cast("int")
-    routes = routes.withColumn("cut", F.when(F.col("kind") == "missed", 0).otherwise(cut))
-    routes = routes.withColumns({"stay": F.slice("entries", F.lit(1), F.col("cut")), "leave": F.slice("entries", F.col("cut") + 1, F.size("entries"))})
-    last = F.transform("leave", lambda e: F.struct(e["seq"].alias("seq"), (F.col("kind") == "common").alias("rank"), F.col("ord").alias("route"), e["ord"].alias("ord"), e["leg"].alias("leg")))
-    routes = routes.withColumn("late", last)
-    route = F.struct(F.col("ord"), F.col("entries")[0]["transition"].alias("name"), F.transform("stay", lambda e: e["leg"]).alias("legs"))
+    routes = settled(routes, F.when(F.col("kind") == "missed", 0).otherwise(cut).alias("cut"))
+    last = F.transform(F.slice("entries", F.col("cut") + 1, F.size("entries")), lambda e: F.struct(e["seq"].alias("seq"), (F.col("kind") == "common").alias("rank"), F.col("ord").alias("route"), e["ord"].alias("ord"), e["leg"].alias("leg")))
+    stay = F.slice("entries", F.lit(1), F.col("cut"))
+    route = F.struct(F.col("ord"), F.col("entries")[0]["transition"].alias("name"), F.transform(stay, lambda e: e["leg"]).alias("legs"))
+    routes = settled(routes, last.alias("late"), route.alias("route"))
 
     def listed(which: str) -> Column:
-        return F.array_sort(F.collect_list(F.when(F.col("kind") == which, route)))
+        return F.array_sort(F.collect_list(F.when(F.col("kind") == which, F.col("route"))))
 
     first = F.min_by(F.when(F.col("kind") == "common", F.col("routeType")), F.when(F.col("kind") == "common", F.col("ord")))
     whole_ = routes.groupBy(*whole_key).agg(F.min("ord").alias("ord"), first.alias("final"), listed("common").alias("c"), listed("transition").alias("t"), F.array_sort(F.flatten(F.collect_list("late"))).alias("m"))
     found = F.when(F.col("type") == "IAP", approach_type(F.col("final")))
     missed = F.when((F.col("type") == "IAP") & (F.size("m") > 0), F.struct(F.transform("m", lambda e: e["leg"]).alias("legs")))
-    return whole_.select(
-        "ord", "airport", _name(F.col("type"), F.col("identifier"), found).alias("name"), "identifier", "type", found.alias("approachType"),
+    whole_ = settled(whole_, found.alias("approachType"))
+    out = settled(
+        whole_, _name(F.col("type"), F.col("identifier"), F.col("approachType")).alias("name"),
         F.when(F.col("type") == "IAP", runway(F.col("identifier"))).alias("runway"),
         F.transform("c", lambda r: F.struct(r["legs"].alias("legs"), F.array(F.col("airport")).alias("airports"))).alias("commonRoutes"),
         F.transform("t", lambda r: F.struct(r["name"].alias("name"), r["legs"].alias("legs"))).alias("transitions"), missed.alias("missedApproach"),
     )
+    return out.select("ord", "airport", "name", "identifier", "type", "approachType", "runway", "commonRoutes", "transitions", "missedApproach")

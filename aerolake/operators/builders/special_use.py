@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ...functions import geo
 from ...functions.sqlfn import register
 from ...sources.text import number
+from ..steps import settled
 from .airspace import special_altitude
 
 FEET_PER_NM = 6076.12
@@ -58,11 +59,6 @@ def _point(position: Column) -> Column:
     return F.when(lon.isNotNull() & lat.isNotNull(), F.array(lon, lat))
 
 
-def _settled(rows: DataFrame, *columns: Column) -> DataFrame:
-    """`rows` with more columns, each evaluated once however often it is used: the optimizer doesn't take a generated row apart."""
-    return rows.select("*", F.explode(F.array(F.struct(*columns))).alias("__settled")).select("*", "__settled.*").drop("__settled")
-
-
 def _line(segment: Column) -> Column:
     return F.filter(F.transform(segment["pos"], _point), lambda p: p.isNotNull())
 
@@ -120,20 +116,20 @@ def build(documents: DataFrame, content: str = "content") -> DataFrame:
     register(documents.sparkSession, geo.FUNCTIONS, "geo")
     others = [c for c in documents.columns if c != content]
     parsed = F.from_xml(F.col(content), DOCUMENT, {"ignoreNamespace": "true", "mode": "PERMISSIVE"})["hasMember"]
-    read = _settled(documents.select(*others, content), parsed.alias("members")).drop(content)
+    read = settled(documents.select(*others, content), parsed.alias("members")).drop(content)
     area = _first(F.col("members"), lambda m: m["Airspace"]["timeSlice"]["AirspaceTimeSlice"])
     facility = _first(F.col("members"), lambda m: F.when(m["Unit"]["timeSlice"]["UnitTimeSlice"]["type"] == "ARTCC", m["Unit"]["timeSlice"]["UnitTimeSlice"]["designator"]))
-    read = _settled(read, area.alias("area"), facility.alias("controllingFacility")).drop("members").where("area is not null")
+    read = settled(read, area.alias("area"), facility.alias("controllingFacility")).drop("members").where("area is not null")
     components = F.transform("area.geometryComponent", lambda g: g["AirspaceGeometryComponent"])
     base = F.coalesce(F.get(F.filter(components, lambda g: g["operation"] == "BASE"), F.lit(0)), F.get(components, F.lit(0)))
-    read = _settled(read, base["theAirspaceVolume"]["AirspaceVolume"].alias("volume"))
+    read = settled(read, base["theAirspaceVolume"]["AirspaceVolume"].alias("volume"))
     exterior = F.col("volume.horizontalProjection.Surface.patches.PolygonPatch.exterior")
     kind = _first(F.col("area.extension"), lambda e: e["AirspaceExtension"]["suaType"])
     place = _first(F.col("area.extension"), lambda e: e["AirspaceExtension"]["administrativeArea"])
     linear = F.when(exterior["LinearRing"].isNotNull(), F.array(F.struct(_line(exterior["LinearRing"]).alias("points"), *[F.lit(None).cast(t).alias(c) for c, t in (("centre", "array<double>"), ("nm", "double"), ("start", "double"), ("end", "double"))])))
     parts = F.coalesce(linear, F.transform(exterior["Ring"]["curveMember"], _part))
-    read = _settled(read, parts.alias("parts"), kind.alias("kind"), place.alias("place"), _schedule(F.col("area")).alias("scheduleDescription"))
-    read = _settled(read, F.flatten(F.transform("parts", _drawn)).alias("ring"))
+    read = settled(read, parts.alias("parts"), kind.alias("kind"), place.alias("place"), _schedule(F.col("area")).alias("scheduleDescription"))
+    read = settled(read, F.flatten(F.transform("parts", _drawn)).alias("ring"))
 
     def limit(side: str, name: str) -> Column:
         value = F.col(f"volume.{side}Limit")

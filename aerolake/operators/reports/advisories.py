@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..steps import settled
 from . import common as c
 
 _INTERNATIONAL = r"\bSIGMET\s+([A-Z]*)\s*(\d*)\s+VALID\s+(\d{6})/(\d{6})\s+([A-Z]{4})\s*-\s*(.*)$"
@@ -43,14 +44,20 @@ def _sentence(text: Column, phrase: str) -> Column:
 
 
 def movement(text: Column) -> Column:
-    """Direction in degrees or as a compass point, and speed in knots or kilometers an hour."""
-    by_wind, by_point = r"\bMOV(?:G)?\s+FROM\s+(\d{3})(\d{2,3})KT", r"\bMOV(?:G)?\s+(?:TO\s+)?([NSEW]{1,3})\s+(\d{1,3})\s?(KT|KMH)"
-    unit = F.regexp_extract(text, by_point, 3)
-    pace = c.number(F.regexp_extract(text, by_point, 2))
+    """Direction in degrees or as a compass point, and speed in knots or kilometers an hour, from what follows MOV, MOVG or MOVING."""
+    said = F.regexp_extract(c.squeezed(text), r"\bMOV(?:ING|G)? ((?:FROM |TO )?\S+(?: \S+){0,2})", 1)
+    toward = F.regexp_replace(said, "^(FROM|TO) ", "")
+    first = F.substring_index(toward, " ", 1)
+    degrees = said.startswith("FROM ") & first.rlike("^[0-9]{5,6}[A-Z]")
+    compass = ~said.startswith("FROM ") & first.rlike("^[NSEW]{1,3}$")
+    rest = F.when(degrees, F.substring(toward, 4, 99)).when(compass, F.ltrim(F.substring(toward, F.length(first) + 1, F.lit(99))))
+    pace = c.number(F.regexp_extract(rest, "^[0-9]{1,3}", 0))
+    unit = F.regexp_extract(rest, "^[0-9]+ ?(KMH|KT)", 1)
+    known = unit != ""
     return F.struct(
-        c.number(F.regexp_extract(text, by_wind, 1)).alias("directionDeg"),
-        c.found(text, by_point, 1).alias("directionCompass"),
-        F.coalesce(c.number(F.regexp_extract(text, by_wind, 2)), F.when(unit == "KT", pace)).alias("speedKt"),
+        F.when(degrees & known, c.number(F.substring(first, 1, 3))).alias("directionDeg"),
+        F.when(compass & known, first).alias("directionCompass"),
+        F.when(unit == "KT", pace).alias("speedKt"),
         F.when(unit == "KMH", pace).alias("speedKmPerHr"),
     )
 
@@ -170,31 +177,36 @@ _KINDS = "|".join(HAZARDS)
 _HEADING = rf"^AIRMET ({_KINDS})\b"
 
 
-def _conditions(text: Column) -> Column:
-    """DEVELOPING, CONTINUING or ENDING with its times, from the words that follow CONDS."""
-    tail = _after(_said(text), "CONDS")
+def _spans(tail: Column) -> dict[str, Column]:
+    """From the words that follow CONDS: the status, and the written times of its development, continuation and end."""
 
     def span(word: str, link: str) -> Column:
         """The two ends of the time that follows a word, with or without a link between."""
         first = _word(tail, word)
         return F.split(F.when(first == link, _word(tail, f"{word} {link}")).otherwise(first), "-")
 
-    def end(parts: Column, n: int) -> Column:
-        return c.day_time_of(F.get(parts, F.lit(n)))
+    return {
+        "status": F.substring_index(F.ltrim(tail), " ", 1), "developing": span("DVLPG", "AFT"), "ending": span("ENDG", "BY"), "beyond": _word(tail, "CONTG BYD"), "through": _word(tail, "THRU"),
+    }
 
-    status = F.substring_index(F.ltrim(tail), " ", 1)
-    named = F.when(status == "DVLPG", "DEVELOPING").when(status == "CONTG", "CONTINUING").when(status == "ENDG", "ENDING")
-    developing, ending = span("DVLPG", "AFT"), span("ENDG", "BY")
+
+def _conditions(x: Column) -> Column:
+    """DEVELOPING, CONTINUING or ENDING with its times, of what `_spans` found."""
+
+    def end(parts: str, n: int) -> Column:
+        return c.day_time_of(F.get(x[parts], F.lit(n)))
+
+    named = F.when(x["status"] == "DVLPG", "DEVELOPING").when(x["status"] == "CONTG", "CONTINUING").when(x["status"] == "ENDG", "ENDING")
     return F.when(
         named.isNotNull(),
         F.struct(
             named.alias("status"),
-            end(developing, 0).alias("developingFrom"),
-            end(developing, 1).alias("developingTo"),
-            c.day_time_of(_word(tail, "CONTG BYD")).alias("continuingBeyond"),
-            c.day_time_of(_word(tail, "THRU")).alias("through"),
-            end(ending, 0).alias("endingFrom"),
-            end(ending, 1).alias("endingTo"),
+            end("developing", 0).alias("developingFrom"),
+            end("developing", 1).alias("developingTo"),
+            c.day_time_of(x["beyond"]).alias("continuingBeyond"),
+            c.day_time_of(x["through"]).alias("through"),
+            end("ending", 0).alias("endingFrom"),
+            end("ending", 1).alias("endingTo"),
         ),
     )
 
@@ -215,7 +227,9 @@ def _condition(said: Column) -> Column:
     )
 
 
-def _hazard(text: Column) -> Column:
+def _hazard(x: Column) -> Column:
+    """A hazard of its section's text, what that says, and the times in it."""
+    text = x["text"]
     kind = F.regexp_extract(text, _HEADING, 1)
     named = F.lit(None).cast("string")
     for written, name in HAZARDS.items():
@@ -226,17 +240,25 @@ def _hazard(text: Column) -> Column:
         text.rlike(r"\bCSTL\s+WTRS\b").alias("coastalWaters"),
         _area(text).alias("areaPoints"),
         altitude_range(text).alias("altitudes"),
-        _condition(_said(text)).alias("condition"),
+        _condition(x["said"]).alias("condition"),
         _sentence(text, "DUE TO").alias("cause"),
-        _conditions(text).alias("conditions"),
+        _conditions(x).alias("conditions"),
         text.alias("raw"),
     )
 
 
-def airmet_columns(raw: Column) -> Column:
-    text = c.squeezed(raw)
+def _with_hazards(rows: DataFrame) -> DataFrame:
+    """hazards of the __sections that begin with a heading; each step's results are fields of the next step's items."""
+    headed = F.filter("__sections", lambda s: s.rlike(_HEADING))
+    rows = settled(rows, F.transform(headed, lambda s: F.struct(s.alias("text"), _said(s).alias("said"))).alias("__said"))
+    rows = settled(rows, F.transform("__said", lambda x: F.struct(x["text"].alias("text"), x["said"].alias("said"), _after(x["said"], "CONDS").alias("tail"))).alias("__tails"))
+    timed = F.transform("__tails", lambda x: F.struct(x["text"].alias("text"), x["said"].alias("said"), *[v.alias(k) for k, v in _spans(x["tail"]).items()]))
+    rows = settled(rows, timed.alias("__timed"))
+    return settled(rows, F.transform("__timed", _hazard).alias("__hazards")).drop("__said", "__tails", "__timed")
+
+
+def _airmet(text: Column, sections: Column, hazards: Column) -> Column:
     head = r"\bAIRMET\s+(SIERRA|TANGO|ZULU)\s+(?:UPDT\s+(\d+)\s+)?FOR\s+(.+?)\s+VALID\s+UNTIL\s+(\d{4,6})"
-    sections = F.filter(F.transform(F.split(text, rf"(?=\bAIRMET (?:{_KINDS})\b)|(?=\bFRZLVL\b)|(?=\bOTLK VALID\b)|(?=\bNO SIGNIFICANT\b)|(?=\bLLWS POTENTIAL\b)"), lambda s: F.trim(s)), lambda s: s != "")
     level = F.get(F.filter(sections, lambda s: s.startswith("FRZLVL")), F.lit(0))
     outlook = F.get(F.filter(sections, lambda s: s.startswith("OTLK VALID")), F.lit(0))
     return F.struct(
@@ -247,7 +269,7 @@ def airmet_columns(raw: Column) -> Column:
         c.day_time_of(c.found(text, head, 4)).alias("validUntil"),
         c.found(text, r"\b([A-Z]{3,4})\s+WA\s+\d{6}\b").alias("issuingOffice"),
         c.day_time_of(c.found(text, r"\bWA\s+(\d{6})\b")).alias("issuedAt"),
-        F.transform(F.filter(sections, lambda s: s.rlike(_HEADING)), _hazard).alias("hazards"),
+        hazards.alias("hazards"),
         F.filter(sections, lambda s: s.startswith("NO SIGNIFICANT")).alias("nilStatements"),
         F.when(
             level.isNotNull(),
@@ -267,4 +289,8 @@ def airmet_columns(raw: Column) -> Column:
 
 def parse_airmet(reports: DataFrame, raw: str = "raw") -> DataFrame:
     rest = [x for x in reports.columns if x != raw]
-    return reports.select(*rest, airmet_columns(F.col(raw)).alias("__r")).select(*rest, "__r.*")
+    rows = settled(reports, c.squeezed(F.col(raw)).alias("__text"))
+    cuts = rf"(?=\bAIRMET (?:{_KINDS})\b)|(?=\bFRZLVL\b)|(?=\bOTLK VALID\b)|(?=\bNO SIGNIFICANT\b)|(?=\bLLWS POTENTIAL\b)"
+    rows = settled(rows, F.filter(F.transform(F.split("__text", cuts), lambda s: F.trim(s)), lambda s: s != "").alias("__sections"))
+    rows = settled(_with_hazards(rows), _airmet(F.col("__text"), F.col("__sections"), F.col("__hazards")).alias("__r"))
+    return rows.select(*rest, "__r.*")

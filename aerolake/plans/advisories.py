@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import lookup
 from ..operators.reports import advisories, feeds, metar, notam, pirep
+from ..operators.steps import settled
 from . import views
 from .tables import query
 
@@ -15,8 +16,9 @@ def _long(column: str, name: str):
 
 
 def _written(spark, sql: str):
-    """The reports behind a shuffle, as if read from a file: their text is put together once."""
-    return spark.sql(sql).repartition("event_id")
+    """The reports behind a shuffle and a step, as if read from a file: their text is put together once, not for every field."""
+    dealt = spark.sql(sql).repartition("event_id").withColumnRenamed("raw", "said")
+    return settled(dealt, F.col("said").alias("raw")).drop("said")
 
 
 _TYPE = "case event_id % 3 when 0 then 'AREA' when 1 then 'LINE' else 'ISOL' end"

@@ -7,6 +7,9 @@ the records.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..operators.steps import settled
 
 
 def fixed(width: int, *places: tuple[int, int, str, str]) -> str:
@@ -63,8 +66,9 @@ ATS2 = fixed(
 
 
 def _written(lines: DataFrame) -> DataFrame:
-    """The lines behind a shuffle, as if read from a file: their text is put together once, not for every field."""
-    return lines.repartition("ord")
+    """The lines behind a shuffle and a step, as if read from a file: their text is put together once, not for every field or filter."""
+    dealt = lines.repartition("ord")
+    return settled(dealt.withColumnRenamed("value", "line"), F.col("line").alias("value")).drop("line")
 
 
 def airway_lines(spark: SparkSession) -> DataFrame:
