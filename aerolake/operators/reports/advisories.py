@@ -7,86 +7,17 @@ from pyspark.sql import functions as F
 
 from ..steps import settled
 from . import common as c
+from . import international
+from .phrases import after, altitude_range, area_points, before, intensity_change, movement, nth, said, says, sentence, tops, word
 
-_INTERNATIONAL = r"\bSIGMET\s+([A-Z]*)\s*(\d*)\s+VALID\s+(\d{6})/(\d{6})\s+([A-Z]{4})\s*-\s*(.*)$"
 _CONVECTIVE = r"CONVECTIVE SIGMET\s+(\d+)([ECW])\b"
 _DOMESTIC = r"\bSIGMET\s+([A-Z0-9]+)\s+(\d+)\s+VALID\s+(?:UNTIL\s+)?(\d{6})(?:/(\d{6}))?"
 
 
-def _said(text: Column) -> Column:
-    """The words of a text, one blank between them and at either end, without stops at their ends."""
-    plain = F.regexp_replace(F.coalesce(text, F.lit("")), r"[.,]+(?=\s|$)|\.{2,}", " ")
-    return F.concat(F.lit(" "), F.trim(F.regexp_replace(plain, r"\s+", " ")), F.lit(" "))
-
-
-def _says(said: Column, *phrases: str) -> Column:
-    """Whether any of the phrases is there, in whole words."""
-    out = F.lit(False)
-    for phrase in phrases:
-        out = out | said.contains(f" {phrase} ")
-    return out
-
-
-def _after(said: Column, phrase: str) -> Column:
-    """What follows the first such phrase, with a blank before it; null without one."""
-    return F.concat(F.lit(" "), F.get(F.split(said, f" {phrase} ", 2), F.lit(1)))
-
-
-def _word(said: Column, phrase: str) -> Column:
-    """The word that follows a phrase."""
-    return F.substring_index(F.ltrim(_after(said, phrase)), " ", 1)
-
-
-def _sentence(text: Column, phrase: str) -> Column:
-    """The rest of the first sentence with a phrase, from behind the phrase."""
-    held = F.filter(F.split(text, r"\."), lambda x: x.contains(f"{phrase} "))
-    return F.trim(F.get(F.split(F.get(held, F.lit(0)), f"{phrase} ", 2), F.lit(1)))
-
-
-def movement(text: Column) -> Column:
-    """Direction in degrees or as a compass point, and speed in knots or kilometers an hour, from what follows MOV, MOVG or MOVING."""
-    said = F.regexp_extract(c.squeezed(text), r"\bMOV(?:ING|G)? ((?:FROM |TO )?\S+(?: \S+){0,2})", 1)
-    toward = F.regexp_replace(said, "^(FROM|TO) ", "")
-    first = F.substring_index(toward, " ", 1)
-    degrees = said.startswith("FROM ") & first.rlike("^[0-9]{5,6}[A-Z]")
-    compass = ~said.startswith("FROM ") & first.rlike("^[NSEW]{1,3}$")
-    rest = F.when(degrees, F.substring(toward, 4, 99)).when(compass, F.ltrim(F.substring(toward, F.length(first) + 1, F.lit(99))))
-    pace = c.number(F.regexp_extract(rest, "^[0-9]{1,3}", 0))
-    unit = F.regexp_extract(rest, "^[0-9]+ ?(KMH|KT)", 1)
-    known = unit != ""
-    return F.struct(
-        F.when(degrees & known, c.number(F.substring(first, 1, 3))).alias("directionDeg"),
-        F.when(compass & known, first).alias("directionCompass"),
-        F.when(unit == "KT", pace).alias("speedKt"),
-        F.when(unit == "KMH", pace).alias("speedKmPerHr"),
-    )
-
-
-def altitude_ft(text: Column) -> Column:
-    """FLnnn or nnn in hundreds of feet; the surface and the freezing level have none."""
-    return c.number(F.regexp_extract(F.trim(text), r"^(?:FL)?(\d{3})$", 1)) * 100
-
-
-def altitude_range(text: Column) -> Column:
-    between, slash = r"BTN\s+(\S+)\s+AND\s+(FL\d{3}|\d{3})", r"\b(SFC|FL\d{3}|\d{3})/(FL\d{3}|\d{3})\b"
-    low = F.coalesce(c.found(text, between, 1), c.found(text, slash, 1))
-    high = F.coalesce(c.found(text, between, 2), c.found(text, slash, 2))
-    return F.when(low.isNotNull(), F.struct(low.alias("base"), altitude_ft(low).alias("baseFt"), high.alias("top"), altitude_ft(high).alias("topFt")))
-
-
-def intensity_change(text: Column) -> Column:
-    return F.when(text.rlike(r"\bINTSF(?:YG)?\b"), "INTENSIFYING").when(text.rlike(r"\bWKN(?:G)?\b"), "WEAKENING").when(text.rlike(r"\bNC\b"), "NO_CHANGE")
-
-
 def _states(text: Column) -> Column:
     return F.filter(F.split(F.regexp_replace(text, r"\b(AND|CSTL|WTRS)\b", " "), r"[\s,]+"), lambda s: s.rlike("^[A-Z]{2}$"))
 
 
-def _area(text: Column) -> Column:
-    span = F.coalesce(c.found(text, r"\bFROM\s+(.+?)(?=\s+(?:AREA|LINE|ISOL|DMSHG|DVLPG|OUTLOOK|OCNL|SEV|MOD|CIG|MTNS?|VIS|LLWS|SUSTAINED|VOLCANIC|CONDS)\b|$)"), F.lit(""))
-    return F.filter(F.transform(F.split(span, r"-|\s+TO\s+"), lambda p: F.trim(p)), lambda p: p != "")
-
-
 def hail_inches(text: Column) -> Column:
     """Decimal, whole and fraction, or fraction."""
     whole = c.found(text, r"^(\d+(?:\.\d+)?)(?:\s|$)").try_cast("double")
@@ -106,66 +37,95 @@ def split_bulletin(bulletins: DataFrame, raw: str = "raw") -> DataFrame:
     return bulletins.select(*rest, F.posexplode(each).alias("item", raw))
 
 
-def sigmet_columns(raw: Column) -> Column:
-    text = c.squeezed(raw)
+def _other(text: Column, words: Column) -> Column:
+    """The values of convective and domestic advisories, and those that no format is needed for."""
     convective = text.contains("CONVECTIVE SIGMET")
-    international = text.rlike(_INTERNATIONAL)
-    kind = F.when(convective, "CONVECTIVE").when(international, "INTERNATIONAL").when(text.rlike(r"\bSIGMET\b"), "NON_CONVECTIVE")
-    body = F.when(international, F.regexp_extract(text, _INTERNATIONAL, 6)).otherwise(text)
-    fir = c.found(body, r"^(.+? (?:FIR/UIR|FIR|UIR|CTA))(?: |$)")
-    said = _said(body)
-    storm = F.concat(F.substring_index(said, " TS ", 1), F.lit(" "))
+    storm = F.concat(F.substring_index(words, " TS ", 1), F.lit(" "))
     hazards = F.array_compact(
         F.array(
-            F.when(body.rlike(r"SEV\s+TURB"), "TURBULENCE"),
-            F.when(body.rlike(r"SEV\s+ICE"), "ICING"),
-            F.when(body.rlike(r"SEV\s+DUST/SANDSTORM"), "DUST_SANDSTORM"),
-            F.when(body.rlike(r"VOLCANIC\s+ASH|VA\s+(CLD|ERUPTION)"), "VOLCANIC_ASH"),
+            F.when(says(words, "SEV TURB"), "TURBULENCE"),
+            F.when(says(words, "SEV ICE"), "ICING"),
+            F.when(says(words, "SEV DUST/SANDSTORM"), "DUST_SANDSTORM"),
+            F.when(says(words, "VOLCANIC ASH", "VA CLD", "VA ERUPTION"), "VOLCANIC_ASH"),
         )
     )
     until = c.found(text, r"VALID UNTIL\s+(\d{4,6})Z?")
+    eruption = after(words, "ERUPTION OF")
+    volcano = c.found(eruption, r"\d{4}[NS]\d{5}[EW]", 0)
+    ash, expected = after(words, "OBS AT"), F.coalesce(after(words, "FCST AT"), after(words, "FCST"))
+    ash_known = says(words, "VOLCANIC ASH", "VA CLD")
+
+    def levels(tail: Column) -> Column:
+        """The levels that stand behind a time."""
+        return F.when(ash_known & nth(tail, 0).rlike("^[0-9]{4}Z$"), altitude_range(F.concat(F.lit(" "), nth(tail, 1), F.lit(" "))))
+
     return F.struct(
-        text.alias("raw"),
-        kind.alias("format"),
-        F.when(convective, c.number(c.found(text, _CONVECTIVE, 1))).when(international, c.number(c.found(text, _INTERNATIONAL, 2))).otherwise(c.number(c.found(text, _DOMESTIC, 2))).alias("number"),
+        F.when(convective, "CONVECTIVE").when(text.rlike(r"\bSIGMET\b"), "NON_CONVECTIVE").alias("format"),
+        F.when(convective, c.number(c.found(text, _CONVECTIVE, 1))).otherwise(c.number(c.found(text, _DOMESTIC, 2))).alias("number"),
         F.when(convective, F.coalesce(c.found(text, _CONVECTIVE, 2), c.found(text, r"SIG([ECW])\b"))).alias("region"),
-        F.when(international, c.found(text, _INTERNATIONAL, 1)).when(~convective, F.coalesce(c.found(text, _DOMESTIC, 1), c.found(text, r"CANCEL SIGMET\s+([A-Z0-9]+)"))).alias("seriesName"),
-        c.day_time_of(F.when(international, c.found(text, _INTERNATIONAL, 3)).otherwise(F.when(c.found(text, _DOMESTIC, 4).isNotNull(), c.found(text, _DOMESTIC, 3)))).alias("validFrom"),
-        c.day_time_of(F.when(international, c.found(text, _INTERNATIONAL, 4)).otherwise(F.coalesce(c.found(text, _DOMESTIC, 4), until))).alias("validTo"),
-        F.when(international, c.found(text, _INTERNATIONAL, 5)).alias("issuingStation"),
-        F.when(international, F.coalesce(c.found(fir, r"^([A-Z]{4}) "), c.found(F.substring_index(text, " SIGMET", 1), r"(?:^| )([A-Z]{4})$"))).alias("firCode"),
-        F.when(international, F.regexp_replace(fir, "^[A-Z]{4} (?=.* )", "")).alias("firName"),
+        F.when(~convective, F.coalesce(c.found(text, _DOMESTIC, 1), c.found(text, r"CANCEL SIGMET\s+([A-Z0-9]+)"))).alias("seriesName"),
+        c.day_time_of(F.when(c.found(text, _DOMESTIC, 4).isNotNull(), c.found(text, _DOMESTIC, 3))).alias("validFrom"),
+        c.day_time_of(F.coalesce(c.found(text, _DOMESTIC, 4), until)).alias("validTo"),
         F.coalesce(text.rlike(r"\b(CANCEL SIGMET|CNL\s+SIGMET)\b"), F.lit(False)).alias("isCancellation"),
         F.coalesce(text.rlike(r"CONVECTIVE SIGMET\.{3}NONE"), F.lit(False)).alias("isNone"),
         _states(F.coalesce(c.found(text, r"(?:\d{4}Z?\s+|^)((?:[A-Z]{2}\s+)+(?:AND\s+)?(?:[A-Z]{2}\s+)*(?:CSTL\s+WTRS\s+)?)FROM\b"), F.lit(""))).alias("states"),
-        F.coalesce(text.rlike(r"\bCSTL\s+WTRS\b"), F.lit(False)).alias("coastalWaters"),
-        _area(F.coalesce(body, F.lit(""))).alias("areaPoints"),
-        F.when(_says(said, "TS"), F.when(storm.contains(" AREA "), "AREA").when(storm.contains(" LINE "), "LINE").when(storm.contains(" ISOL "), "ISOLATED")).alias("thunderstormType"),
-        _says(said, "SEV TS", "SEV EMBD TS").alias("isSevere"),
-        _says(said, "EMBD").alias("isEmbedded"),
-        F.when(_says(said, "NM WIDE"), c.number(F.substring_index(F.substring_index(said, " NM WIDE ", 1), " ", -1))).alias("lineWidthNm"),
-        (c.number(c.found(body, r"TOPS?\s+(?:ABV\s+)?(?:TO\s+)?FL(\d{3})")) * 100).alias("topsFt"),
-        F.coalesce(body.rlike(r"TOPS?\s+ABV\b"), F.lit(False)).alias("topsAbove"),
-        _says(said, "TORNADO", "TORNADOS", "TORNADOES").alias("hasTornadoes"),
-        hail_inches(F.trim(F.element_at(F.split(_after(said, "HAIL TO"), " ?IN "), 1))).alias("hailSizeIn"),
-        c.number(F.rtrim(F.coalesce(_word(said, "WIND GUSTS TO"), _word(said, "WIND GUST TO")), F.lit("KT"))).alias("windGustsKt"),
+        says(words, "CSTL WTRS").alias("coastalWaters"),
+        area_points(words).alias("areaPoints"),
+        F.when(says(words, "TS"), F.when(storm.contains(" AREA "), "AREA").when(storm.contains(" LINE "), "LINE").when(storm.contains(" ISOL "), "ISOLATED")).alias("thunderstormType"),
+        says(words, "SEV TS", "SEV EMBD TS").alias("isSevere"),
+        says(words, "EMBD").alias("isEmbedded"),
+        F.when(says(words, "NM WIDE"), c.number(F.substring_index(before(words, "NM WIDE"), " ", -1))).alias("lineWidthNm"),
+        tops(words).alias("tops"),
+        says(words, "TORNADO", "TORNADOS", "TORNADOES").alias("hasTornadoes"),
+        hail_inches(F.trim(F.element_at(F.split(after(words, "HAIL TO"), " ?IN "), 1))).alias("hailSizeIn"),
+        c.number(F.rtrim(F.coalesce(word(words, "WIND GUSTS TO"), word(words, "WIND GUST TO")), F.lit("KT"))).alias("windGustsKt"),
         hazards.alias("hazards"),
-        F.coalesce(body.rlike(r"\bOCNL\s+SEV\b"), F.lit(False)).alias("isOccasional"),
-        altitude_range(body).alias("altitudes"),
-        _sentence(body, "DUE TO").alias("cause"),
-        c.number(c.found(body, r"VIS\s+BLW\s+(\d+)SM")).alias("visibilityBelowSm"),
-        movement(body).alias("movement"),
-        intensity_change(body).alias("intensityChange"),
-        c.day_time_of(_word(said, "CONDS CONTG BYD")).alias("continuingBeyond"),
-        c.day_time_of(_word(said, "CONDS ENDG BY")).alias("endingBy"),
-        F.when(F.coalesce(body, F.lit("")).rlike(r"\bOUTLOOK VALID\b"), F.struct(c.day_time_of(c.found(body, r"OUTLOOK VALID\s+(\d{6})-\d{6}")).alias("validFrom"), c.day_time_of(c.found(body, r"OUTLOOK VALID\s+\d{6}-(\d{6})")).alias("validTo"))).alias("outlook"),
-        F.when(kind.isNull(), F.lit("no SIGMET")).alias("error"),
+        says(words, "OCNL SEV").alias("isOccasional"),
+        altitude_range(words).alias("altitudes"),
+        sentence(text, "DUE TO").alias("cause"),
+        c.number(F.rtrim(word(words, "VIS BLW"), F.lit("SM"))).alias("visibilityBelowSm"),
+        movement(text).alias("movement"),
+        intensity_change(words).alias("intensityChange"),
+        F.when(volcano.isNotNull(), F.trim(F.get(F.split(eruption, r"\d{4}[NS]\d{5}[EW]", 2), F.lit(0)))).alias("volcanoName"),
+        c.lat_lon(volcano).alias("volcanoPosition"),
+        levels(ash).alias("ashCloudAltitudes"),
+        F.when(levels(expected).isNotNull(), c.day_time_of(nth(expected, 0))).alias("forecastTime"),
+        levels(expected).alias("forecastAltitudes"),
+        c.day_time_of(word(words, "CONDS CONTG BYD")).alias("continuingBeyond"),
+        c.day_time_of(word(words, "CONDS ENDG BY")).alias("endingBy"),
+        F.when(says(words, "OUTLOOK VALID"), F.struct(*[c.day_time_of(F.get(F.split(word(words, "OUTLOOK VALID"), "-"), F.lit(n))).alias(x) for n, x in enumerate(("validFrom", "validTo"))])).alias("outlook"),
     )
 
 
+#: Columns of `parse_sigmet`; those of the second line come from either reader, those of the last from the international one alone.
+_SIGMET = """region isNone states coastalWaters areaPoints thunderstormType isSevere isEmbedded lineWidthNm hasTornadoes hailSizeIn windGustsKt hazards isOccasional cause visibilityBelowSm ashCloudAltitudes continuingBeyond endingBy outlook
+seriesName number validFrom validTo isCancellation altitudes movement intensityChange volcanoName volcanoPosition forecastTime forecastAltitudes
+issuingStation firCode firName cancelled phenomena observationStatus observedAt areaDescription areaRing isEntireRegion isStationary cycloneName cyclonePosition cbTopFl withinNm forecastPosition forecastArea additionalInfo"""
+
+
 def parse_sigmet(reports: DataFrame, raw: str = "raw") -> DataFrame:
+    """The values of each advisory of any format, null where its format has none; error where the text is none.
+
+    Text, words, clauses and each reader's values are steps of their own, evaluated once for a row.
+    """
     rest = [x for x in reports.columns if x != raw]
-    return reports.select(*rest, sigmet_columns(F.col(raw)).alias("__r")).select(*rest, "__r.*")
+    rows = international.with_clauses(settled(reports, c.squeezed(F.col(raw)).alias("__text")), "__text")
+    rows = settled(rows, F.coalesce(F.col("__content"), said(F.col("__text"))).alias("__words"))
+    rows = settled(rows, _other(F.col("__text"), F.col("__words")).alias("__o"), international.fields().alias("__i"))
+    one, both, own = (line.split() for line in _SIGMET.split("\n"))
+    abroad = F.col("__i").isNotNull()
+    tops_ = F.col("__o.tops")
+    return rows.select(
+        *rest,
+        F.col("__text").alias("raw"),
+        F.when(abroad, "INTERNATIONAL").otherwise(F.col("__o.format")).alias("format"),
+        *[F.when(abroad, F.col(f"__i.{x}")).otherwise(F.col(f"__o.{x}")).alias(x) for x in both],
+        *[F.col(f"__o.{x}").alias(x) for x in one],
+        *[F.col(f"__i.{x}").alias(x) for x in own],
+        tops_["altitudeFt"].alias("topsFt"),
+        F.coalesce(tops_["isAbove"], F.lit(False)).alias("topsAbove"),
+        F.when(~abroad & F.col("__o.format").isNull(), F.lit("no SIGMET")).alias("error"),
+    )
 
 
 # fixed values: kinds of hazard as they are written, longer ones first, and named
@@ -180,13 +140,13 @@ _HEADING = rf"^AIRMET ({_KINDS})\b"
 def _spans(tail: Column) -> dict[str, Column]:
     """From the words that follow CONDS: the status, and the written times of its development, continuation and end."""
 
-    def span(word: str, link: str) -> Column:
+    def span(name: str, link: str) -> Column:
         """The two ends of the time that follows a word, with or without a link between."""
-        first = _word(tail, word)
-        return F.split(F.when(first == link, _word(tail, f"{word} {link}")).otherwise(first), "-")
+        first = word(tail, name)
+        return F.split(F.when(first == link, word(tail, f"{name} {link}")).otherwise(first), "-")
 
     return {
-        "status": F.substring_index(F.ltrim(tail), " ", 1), "developing": span("DVLPG", "AFT"), "ending": span("ENDG", "BY"), "beyond": _word(tail, "CONTG BYD"), "through": _word(tail, "THRU"),
+        "status": F.substring_index(F.ltrim(tail), " ", 1), "developing": span("DVLPG", "AFT"), "ending": span("ENDG", "BY"), "beyond": word(tail, "CONTG BYD"), "through": word(tail, "THRU"),
     }
 
 
@@ -211,18 +171,18 @@ def _conditions(x: Column) -> Column:
     )
 
 
-def _condition(said: Column) -> Column:
+def _condition(words: Column) -> Column:
     """The weather that an area has: turbulence or ice by degree, low cloud and sight, hidden mountains, or wind."""
     out = F.lit(None).cast("string")
     for phrase in ("MOD TURB", "SEV TURB", "MOD ICE", "SEV ICE"):
-        out = F.when(_says(said, phrase), phrase).otherwise(out)
-    low = F.slice(F.split(F.ltrim(_after(said, "CIG BLW")), " "), 1, 3)
-    wind = F.concat(F.lit("SUSTAINED SURFACE WIND"), F.substring_index(F.get(F.split(said, "SUSTAINED SURFACE WIND", 2), F.lit(1)), "KT", 1), F.lit("KT"))
-    hidden = _word(said, "MTNS OBSC BY")
+        out = F.when(says(words, phrase), phrase).otherwise(out)
+    low = F.slice(F.split(F.ltrim(after(words, "CIG BLW")), " "), 1, 3)
+    wind = F.concat(F.lit("SUSTAINED SURFACE WIND"), F.substring_index(F.get(F.split(words, "SUSTAINED SURFACE WIND", 2), F.lit(1)), "KT", 1), F.lit("KT"))
+    hidden = word(words, "MTNS OBSC BY")
     return (
         F.when(low.isNotNull(), F.concat(F.lit("CIG BLW "), F.array_join(low, " ")))
         .when(hidden.isNotNull(), F.concat(F.lit("MTNS OBSC BY "), hidden))
-        .when(said.contains("SUSTAINED SURFACE WIND"), wind)
+        .when(words.contains("SUSTAINED SURFACE WIND"), wind)
         .otherwise(out)
     )
 
@@ -238,10 +198,10 @@ def _hazard(x: Column) -> Column:
         named.alias("hazardType"),
         _states(F.coalesce(c.found(text, r"\.{3}\s*(.+?)\s+FROM\b"), F.lit(""))).alias("states"),
         text.rlike(r"\bCSTL\s+WTRS\b").alias("coastalWaters"),
-        _area(text).alias("areaPoints"),
-        altitude_range(text).alias("altitudes"),
+        area_points(x["said"]).alias("areaPoints"),
+        altitude_range(x["said"]).alias("altitudes"),
         _condition(x["said"]).alias("condition"),
-        _sentence(text, "DUE TO").alias("cause"),
+        sentence(text, "DUE TO").alias("cause"),
         _conditions(x).alias("conditions"),
         text.alias("raw"),
     )
@@ -250,8 +210,8 @@ def _hazard(x: Column) -> Column:
 def _with_hazards(rows: DataFrame) -> DataFrame:
     """hazards of the __sections that begin with a heading; each step's results are fields of the next step's items."""
     headed = F.filter("__sections", lambda s: s.rlike(_HEADING))
-    rows = settled(rows, F.transform(headed, lambda s: F.struct(s.alias("text"), _said(s).alias("said"))).alias("__said"))
-    rows = settled(rows, F.transform("__said", lambda x: F.struct(x["text"].alias("text"), x["said"].alias("said"), _after(x["said"], "CONDS").alias("tail"))).alias("__tails"))
+    rows = settled(rows, F.transform(headed, lambda s: F.struct(s.alias("text"), said(s).alias("said"))).alias("__said"))
+    rows = settled(rows, F.transform("__said", lambda x: F.struct(x["text"].alias("text"), x["said"].alias("said"), after(x["said"], "CONDS").alias("tail"))).alias("__tails"))
     timed = F.transform("__tails", lambda x: F.struct(x["text"].alias("text"), x["said"].alias("said"), *[v.alias(k) for k, v in _spans(x["tail"]).items()]))
     rows = settled(rows, timed.alias("__timed"))
     return settled(rows, F.transform("__timed", _hazard).alias("__hazards")).drop("__said", "__tails", "__timed")

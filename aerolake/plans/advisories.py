@@ -47,6 +47,49 @@ def sigmet_domestic(spark):
     return r.select("event_id", "seriesName", _long("number", "number"), F.get("hazards", F.lit(0)).alias("hazard"), "isOccasional", _long("altitudes.baseFt", "baseFt"), _long("altitudes.topFt", "topFt"), "cause", _long("continuingBeyond.hour", "beyond"))
 
 
+# an international advisory of each kind by the event's number: an area of turbulence or ice, a cyclone, an eruption with its forecast, a whole region, a cancellation
+_LAT, _LON = "10 + event_id % 50", "100 + event_id % 70"
+
+
+@query(f"""select event_id, case event_id % 3 when 0 then 'KILO' when 1 then 'B' else (event_id % 90 + 1)::varchar end as seriesName, event_id % 90 + 1 as number, event_id % 28 + 1 as fromDay, event_id % 20 + 4 as toHour, 'PANC' as issuingStation, 'PAZA' as firCode, 'ANCHORAGE FIR' as firName,
+    kind = 4 as isCancellation, case when kind = 4 then 'LIMA' end as cancelledName, case when kind = 4 then event_id % 9 + 1 end as cancelledNumber, case when kind = 4 then event_id % 24 end as cancelledHour,
+    case kind when 0 then case when event_id % 2 = 0 then 'SEV TURB' else 'SEV ICE' end when 1 then concat('TC GRETA', event_id % 7) when 2 then 'VA ERUPTION' when 3 then 'EMBD TS' end as phenomena,
+    case when kind < 3 then 'OBSERVED' when kind = 3 then 'FORECAST' end as observationStatus, case when kind < 3 then event_id % 24 end as observedHour,
+    case kind when 0 then concat('N', {_LAT}, '30 E', {_LON}, '15 - S0500 W00830') when 1 then concat(100 + event_id % 99, 'NM OF CENTER') when 2 then concat('N', {_LAT}, '00 E', {_LON}, '00 - N6000 E17000') end as area,
+    case kind when 0 then 2 when 2 then 2 when 1 then 0 end as corners, case when kind in (0, 2) then {_LAT} + case kind when 0 then 0.5 else 0 end end + 0e0 as cornerLat, case when kind in (0, 2) then {_LON} + case kind when 0 then 0.25 else 0 end end + 0e0 as cornerLon, kind = 3 as isEntireRegion,
+    case when kind in (0, 2) then (100 + event_id % 200) * 100 end as topFt, case when kind = 1 then 50000 when kind = 3 then (300 + event_id % 100) * 100 end as topsFt, kind = 3 as topsAbove, case kind when 1 then 'NNW' when 3 then 'ESE' end as compass,
+    case when kind = 1 then event_id % 30 + 1 end as speedKt, case when kind = 3 then event_id % 30 + 1 end as speedKmPerHr, kind in (0, 2) as isStationary, case kind when 0 then 'NO_CHANGE' when 1 then 'INTENSIFYING' when 2 then 'WEAKENING' when 3 then 'NO_CHANGE' end as change,
+    case when kind = 1 then concat('GRETA', event_id % 7) end as cycloneName, case when kind = 1 then -({_LAT} + 0.2) end + 0e0 as cycloneLat, case when kind = 1 then 500 end as cbTopFl, case when kind = 1 then 100 + event_id % 99 end as withinNm,
+    case when kind in (1, 2) then (event_id + 6) % 24 end as forecastHour, case when kind = 1 then -({_LON} + 0.4) end + 0e0 as forecastLon, case when kind = 2 then 'N5700 W16100 - N5500 W15900' end as forecastArea, case when kind = 2 then 30000 end as forecastTopFt,
+    case when kind = 2 then concat('MT HOLLOW ', event_id % 12) end as volcanoName, case when kind = 2 then -({_LON} + 0.3) end + 0e0 as volcanoLon, case when kind = 0 then 'INCLUDES LLWS' end as additionalInfo
+    from (select *, event_id % 5 as kind from events) t""")
+def sigmet_international(spark):
+    def two(value: str) -> str:
+        return f"lpad(cast({value} as string), 2, '0')"
+
+    hour, later = two("event_id % 24"), two("(event_id + 6) % 24")
+    lat, lon = f"cast({_LAT} as string)", f"cast({_LON} as string)"
+    rows = _written(spark, f"""select event_id, concat('WSAK05 PAWU 291614\nANCM WS 291615\nPAZA SIGMET ', case event_id % 3 when 0 then 'KILO ' when 1 then 'B' else '' end, event_id % 90 + 1, ' VALID ', {two('event_id % 28 + 1')}, '0015/01', {two('event_id % 20 + 4')}, '15 PANC-\nPAZA ANCHORAGE FIR ',
+        case event_id % 5
+        when 0 then concat(case when event_id % 2 = 0 then 'SEV TURB' else 'SEV ICE' end, ' OBS AT ', {hour}, '05Z\nWI N', {lat}, '30 E', {lon}, '15 - S0500 W00830 SFC/FL', 100 + event_id % 200, ' STNR NC=\n\nINCLUDES LLWS')
+        when 1 then concat('TC GRETA', event_id % 7, ' OBS AT ', {hour}, '00Z S', {lat}, '12 W', {lon}, '18\nCB TOP FL500 WI ', 100 + event_id % 99, 'NM OF CENTER MOV NNW ', event_id % 30 + 1, 'KT INTSF\nFCST AT ', {later}, '00Z TC CENTER S', {lat}, '30 W', {lon}, '24')
+        when 2 then concat('VA ERUPTION MT HOLLOW ', event_id % 12, ' PSN S', {lat}, '12 W', {lon}, '18 VA CLD OBS AT ', {hour}, '02Z WI N', {lat}, '00 E', {lon}, '00 - N6000 E17000 SFC/FL', 100 + event_id % 200, ' MOV STNR WKN\nFCST ', {later}, '02Z VA CLD WI N5700 W16100 - N5500 W15900 FL100/FL300')
+        when 3 then concat('EMBD TS FCST ENTIRE FIR TOP ABV FL', 300 + event_id % 100, '. MOV ESE ', event_id % 30 + 1, 'KMH.\nNC.')
+        else concat('CNL SIGMET LIMA ', event_id % 9 + 1, ' 01', {hour}, '00/012359=') end) as raw from events""")
+    r = advisories.parse_sigmet(rows)
+    corner = F.get("areaRing", F.lit(0))
+    longs = {
+        "number": "number", "validFrom.day": "fromDay", "validTo.hour": "toHour", "cancelled.number": "cancelledNumber", "cancelled.validFrom.hour": "cancelledHour", "observedAt.hour": "observedHour", "altitudes.topFt": "topFt", "topsFt": "topsFt", "movement.speedKt": "speedKt",
+        "movement.speedKmPerHr": "speedKmPerHr", "cbTopFl": "cbTopFl", "withinNm": "withinNm", "forecastTime.hour": "forecastHour", "forecastAltitudes.topFt": "forecastTopFt",
+    }
+    return r.select(
+        "event_id", "seriesName", "issuingStation", "firCode", "firName", "isCancellation", F.col("cancelled.seriesName").alias("cancelledName"), "phenomena", "observationStatus", F.col("areaDescription").alias("area"), F.size("areaRing").cast("long").alias("corners"),
+        F.round(corner["lat"], 9).alias("cornerLat"), F.round(corner["lon"], 9).alias("cornerLon"), "isEntireRegion", "topsAbove", F.col("movement.directionCompass").alias("compass"), "isStationary", F.col("intensityChange").alias("change"), "cycloneName",
+        F.round("cyclonePosition.lat", 9).alias("cycloneLat"), F.round("forecastPosition.lon", 9).alias("forecastLon"), "forecastArea", "volcanoName", F.round("volcanoPosition.lon", 9).alias("volcanoLon"), "additionalInfo",
+        *[_long(column, name) for column, name in longs.items()],
+    )
+
+
 @query("""select event_id, 'TANGO' as series, event_id % 5 + 1 as updateNumber, pos, case pos when 0 then 'TURBULENCE' else case when event_id % 2 = 0 then 'STRONG_SURFACE_WIND' else 'MOUNTAIN_OBSCURATION' end end as hazardType, case pos when 0 then 3 else 1 end as states, pos = 1 as coastalWaters,
     case pos when 0 then 'MOD TURB' else case when event_id % 2 = 0 then 'SUSTAINED SURFACE WINDS GTR THAN 30KT' else 'MTNS OBSC BY CLDS/PCPN' end end as condition, case pos when 0 then 'CONTINUING' else 'DEVELOPING' end as status, case when pos = 0 then event_id % 24 end as beyond, case when pos = 1 then 18 end as developing
     from events, (select unnest([0, 1]) as pos) p""")
