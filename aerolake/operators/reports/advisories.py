@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..steps import settled
 from . import common as c
 from . import international
-from .phrases import after, altitude_range, area_points, before, intensity_change, movement, nth, said, says, sentence, tops, word
+from .phrases import after, altitude_range, altitude_range_of, area_points, before, intensity_change, levels, moved, movement, movement_of, said, says, sentence, top_words, tops, word
 
 _CONVECTIVE = r"CONVECTIVE SIGMET\s+(\d+)([ECW])\b"
 _DOMESTIC = r"\bSIGMET\s+([A-Z0-9]+)\s+(\d+)\s+VALID\s+(?:UNTIL\s+)?(\d{6})(?:/(\d{6}))?"
@@ -37,10 +37,39 @@ def split_bulletin(bulletins: DataFrame, raw: str = "raw") -> DataFrame:
     return bulletins.select(*rest, F.posexplode(each).alias("item", raw))
 
 
-def _other(text: Column, words: Column) -> Column:
-    """The values of convective and domestic advisories, and those that no format is needed for."""
-    convective = text.contains("CONVECTIVE SIGMET")
-    storm = F.concat(F.substring_index(words, " TS ", 1), F.lit(" "))
+def _with_others(rows: DataFrame, name: str) -> DataFrame:
+    """`rows` of __text and __words with a column of the values of convective and domestic advisories, and those that no format is needed for.
+
+    The phrases that hold a value are a step, the values the next.
+    """
+    text, words = F.col("__text"), F.col("__words")
+    ash, expected = after(words, "OBS AT"), F.coalesce(after(words, "FCST AT"), after(words, "FCST"))
+    parts = {
+        "__convective": text.contains("CONVECTIVE SIGMET"),
+        "__storm": F.concat(F.substring_index(words, " TS ", 1), F.lit(" ")),
+        "__until": c.found(text, r"VALID UNTIL\s+(\d{4,6})Z?"),
+        **{f"__d{n}": c.found(text, _DOMESTIC, n) for n in range(1, 5)},
+        "__eruption_of": after(words, "ERUPTION OF"),
+        "__pair": levels(words),
+        "__behind_top": top_words(words),
+        "__moving": moved(text),
+        "__beyond": word(words, "CONDS CONTG BYD"),
+        "__by": word(words, "CONDS ENDG BY"),
+        "__outlook": F.split(word(words, "OUTLOOK VALID"), "-"),
+        "__hail": F.trim(F.element_at(F.split(after(words, "HAIL TO"), " ?IN "), 1)),
+        "__ash": F.when(says(words, "VOLCANIC ASH", "VA CLD"), F.slice(F.split(F.ltrim(ash), " "), 1, 2)),
+        "__expected_ash": F.when(says(words, "VOLCANIC ASH", "VA CLD"), F.slice(F.split(F.ltrim(expected), " "), 1, 2)),
+    }
+    rows = settled(rows, *[v.alias(k) for k, v in parts.items()])
+
+    def behind(tail: str) -> Column:
+        """The levels that stand behind a time."""
+        level = F.concat(F.lit(" "), F.get(F.col(tail), F.lit(1)), F.lit(" "))
+        return F.when(F.get(F.col(tail), F.lit(0)).rlike("^[0-9]{4}Z$"), levels(level))
+
+    volcano = r"\d{4}[NS]\d{5}[EW]"
+    rows = settled(rows, behind("__ash").alias("__ash_pair"), behind("__expected_ash").alias("__expected_pair"), c.found(F.col("__eruption_of"), volcano, 0).alias("__volcano"))
+    convective, storm = F.col("__convective"), F.col("__storm")
     hazards = F.array_compact(
         F.array(
             F.when(says(words, "SEV TURB"), "TURBULENCE"),
@@ -49,25 +78,15 @@ def _other(text: Column, words: Column) -> Column:
             F.when(says(words, "VOLCANIC ASH", "VA CLD", "VA ERUPTION"), "VOLCANIC_ASH"),
         )
     )
-    until = c.found(text, r"VALID UNTIL\s+(\d{4,6})Z?")
-    eruption = after(words, "ERUPTION OF")
-    volcano = c.found(eruption, r"\d{4}[NS]\d{5}[EW]", 0)
-    ash, expected = after(words, "OBS AT"), F.coalesce(after(words, "FCST AT"), after(words, "FCST"))
-    ash_known = says(words, "VOLCANIC ASH", "VA CLD")
-
-    def levels(tail: Column) -> Column:
-        """The levels that stand behind a time."""
-        return F.when(ash_known & nth(tail, 0).rlike("^[0-9]{4}Z$"), altitude_range(F.concat(F.lit(" "), nth(tail, 1), F.lit(" "))))
-
-    return F.struct(
+    values = F.struct(
         F.when(convective, "CONVECTIVE").when(text.rlike(r"\bSIGMET\b"), "NON_CONVECTIVE").alias("format"),
-        F.when(convective, c.number(c.found(text, _CONVECTIVE, 1))).otherwise(c.number(c.found(text, _DOMESTIC, 2))).alias("number"),
+        F.when(convective, c.number(c.found(text, _CONVECTIVE, 1))).otherwise(c.number(F.col("__d2"))).alias("number"),
         F.when(convective, F.coalesce(c.found(text, _CONVECTIVE, 2), c.found(text, r"SIG([ECW])\b"))).alias("region"),
-        F.when(~convective, F.coalesce(c.found(text, _DOMESTIC, 1), c.found(text, r"CANCEL SIGMET\s+([A-Z0-9]+)"))).alias("seriesName"),
-        c.day_time_of(F.when(c.found(text, _DOMESTIC, 4).isNotNull(), c.found(text, _DOMESTIC, 3))).alias("validFrom"),
-        c.day_time_of(F.coalesce(c.found(text, _DOMESTIC, 4), until)).alias("validTo"),
-        F.coalesce(text.rlike(r"\b(CANCEL SIGMET|CNL\s+SIGMET)\b"), F.lit(False)).alias("isCancellation"),
-        F.coalesce(text.rlike(r"CONVECTIVE SIGMET\.{3}NONE"), F.lit(False)).alias("isNone"),
+        F.when(~convective, F.coalesce("__d1", c.found(text, r"CANCEL SIGMET\s+([A-Z0-9]+)"))).alias("seriesName"),
+        c.day_time_of(F.when(F.col("__d4").isNotNull(), F.col("__d3"))).alias("validFrom"),
+        c.day_time_of(F.coalesce("__d4", "__until")).alias("validTo"),
+        says(words, "CANCEL SIGMET", "CNL SIGMET").alias("isCancellation"),
+        F.coalesce(text.contains("CONVECTIVE SIGMET...NONE"), F.lit(False)).alias("isNone"),
         _states(F.coalesce(c.found(text, r"(?:\d{4}Z?\s+|^)((?:[A-Z]{2}\s+)+(?:AND\s+)?(?:[A-Z]{2}\s+)*(?:CSTL\s+WTRS\s+)?)FROM\b"), F.lit(""))).alias("states"),
         says(words, "CSTL WTRS").alias("coastalWaters"),
         area_points(words).alias("areaPoints"),
@@ -75,26 +94,27 @@ def _other(text: Column, words: Column) -> Column:
         says(words, "SEV TS", "SEV EMBD TS").alias("isSevere"),
         says(words, "EMBD").alias("isEmbedded"),
         F.when(says(words, "NM WIDE"), c.number(F.substring_index(before(words, "NM WIDE"), " ", -1))).alias("lineWidthNm"),
-        tops(words).alias("tops"),
+        tops(F.col("__behind_top")).alias("tops"),
         says(words, "TORNADO", "TORNADOS", "TORNADOES").alias("hasTornadoes"),
-        hail_inches(F.trim(F.element_at(F.split(after(words, "HAIL TO"), " ?IN "), 1))).alias("hailSizeIn"),
+        hail_inches(F.col("__hail")).alias("hailSizeIn"),
         c.number(F.rtrim(F.coalesce(word(words, "WIND GUSTS TO"), word(words, "WIND GUST TO")), F.lit("KT"))).alias("windGustsKt"),
         hazards.alias("hazards"),
         says(words, "OCNL SEV").alias("isOccasional"),
-        altitude_range(words).alias("altitudes"),
+        altitude_range_of(F.col("__pair")).alias("altitudes"),
         sentence(text, "DUE TO").alias("cause"),
         c.number(F.rtrim(word(words, "VIS BLW"), F.lit("SM"))).alias("visibilityBelowSm"),
-        movement(text).alias("movement"),
+        movement_of(F.col("__moving")).alias("movement"),
         intensity_change(words).alias("intensityChange"),
-        F.when(volcano.isNotNull(), F.trim(F.get(F.split(eruption, r"\d{4}[NS]\d{5}[EW]", 2), F.lit(0)))).alias("volcanoName"),
-        c.lat_lon(volcano).alias("volcanoPosition"),
-        levels(ash).alias("ashCloudAltitudes"),
-        F.when(levels(expected).isNotNull(), c.day_time_of(nth(expected, 0))).alias("forecastTime"),
-        levels(expected).alias("forecastAltitudes"),
-        c.day_time_of(word(words, "CONDS CONTG BYD")).alias("continuingBeyond"),
-        c.day_time_of(word(words, "CONDS ENDG BY")).alias("endingBy"),
-        F.when(says(words, "OUTLOOK VALID"), F.struct(*[c.day_time_of(F.get(F.split(word(words, "OUTLOOK VALID"), "-"), F.lit(n))).alias(x) for n, x in enumerate(("validFrom", "validTo"))])).alias("outlook"),
+        F.when(F.col("__volcano").isNotNull(), F.trim(F.get(F.split("__eruption_of", volcano, 2), F.lit(0)))).alias("volcanoName"),
+        c.lat_lon(F.col("__volcano")).alias("volcanoPosition"),
+        altitude_range_of(F.col("__ash_pair")).alias("ashCloudAltitudes"),
+        F.when(F.col("__expected_pair").isNotNull(), c.day_time_of(F.get("__expected_ash", F.lit(0)))).alias("forecastTime"),
+        altitude_range_of(F.col("__expected_pair")).alias("forecastAltitudes"),
+        c.day_time_of(F.col("__beyond")).alias("continuingBeyond"),
+        c.day_time_of(F.col("__by")).alias("endingBy"),
+        F.when(F.col("__outlook").isNotNull(), F.struct(c.day_time_of(F.get("__outlook", F.lit(0))).alias("validFrom"), c.day_time_of(F.get("__outlook", F.lit(1))).alias("validTo"))).alias("outlook"),
     )
+    return settled(rows, values.alias(name))
 
 
 #: Columns of `parse_sigmet`; those of the second line come from either reader, those of the last from the international one alone.
@@ -111,7 +131,7 @@ def parse_sigmet(reports: DataFrame, raw: str = "raw") -> DataFrame:
     rest = [x for x in reports.columns if x != raw]
     rows = international.with_clauses(settled(reports, c.squeezed(F.col(raw)).alias("__text")), "__text")
     rows = settled(rows, F.coalesce(F.col("__content"), said(F.col("__text"))).alias("__words"))
-    rows = settled(rows, _other(F.col("__text"), F.col("__words")).alias("__o"), international.fields().alias("__i"))
+    rows = international.with_fields(_with_others(rows, "__o"), "__i")
     one, both, own = (line.split() for line in _SIGMET.split("\n"))
     abroad = F.col("__i").isNotNull()
     tops_ = F.col("__o.tops")

@@ -38,60 +38,56 @@ def _identifier(words: Column) -> tuple[Column, Column]:
     return c.some(name), c.number(number)
 
 
-def _head(text: Column) -> Column:
-    """The parts of a head; null where the text has none of this format."""
-    front, tail = F.split(F.substring_index(text, " VALID ", 1), " "), F.get(F.split(text, " VALID ", 2), F.lit(1))
-    n = F.size(front)
+def _with_head(rows: DataFrame, text: str) -> DataFrame:
+    """`rows` with __head, the parts of a head; null where the text has none of this format."""
+    given = F.col(text)
+    rows = settled(rows, F.split(F.substring_index(given, " VALID ", 1), " ").alias("__front"), F.get(F.split(given, " VALID ", 2), F.lit(1)).alias("__tail"))
+    rows = settled(rows, F.substring_index("__tail", " ", 1).alias("__window"), F.split(F.get(F.split("__tail", " ", 2), F.lit(1)), "-", 2).alias("__rest"))
+    front, n, window = F.col("__front"), F.size("__front"), F.col("__window")
     kind = F.when(F.get(front, n - 2) == "SIGMET", 1).when(F.get(front, n - 3) == "SIGMET", 2)
-    window, rest = F.substring_index(tail, " ", 1), F.get(F.split(tail, " ", 2), F.lit(1))
-    station, body = F.trim(F.substring_index(rest, "-", 1)), F.get(F.split(rest, "-", 2), F.lit(1))
-    code = F.get(front, n - kind - 2)
+    station, body = F.trim(F.get("__rest", F.lit(0))), F.get("__rest", F.lit(1))
     fits = kind.isNotNull() & window.rlike("^[0-9]{6}/[0-9]{6}$") & station.rlike("^[A-Z]{4}$") & body.isNotNull()
-    return F.when(
-        fits,
-        F.struct(
-            F.array_join(F.slice(front, -kind, kind), " ").alias("identifier"), window.alias("window"), station.alias("station"),
-            F.when(code.rlike("^[A-Z]{4}$"), code).alias("code"), F.split(F.trim(p.said(F.substring_index(body, "=", 1))), " ").alias("words"),
-            c.found(text, r"\bINCLUDES [^=]+", 0).alias("more"),
-        ),
+    rows = settled(rows, F.when(fits, kind).alias("__words_in"), F.when(fits, F.split(F.trim(p.said(F.substring_index(body, "=", 1))), " ")).alias("__said"))
+    code = F.get(front, n - F.col("__words_in") - 2)
+    head = F.struct(
+        F.array_join(F.slice(front, -F.col("__words_in"), F.col("__words_in")), " ").alias("identifier"), window.alias("window"), station.alias("station"),
+        F.when(code.rlike("^[A-Z]{4}$"), code).alias("code"), F.col("__said").alias("words"), c.found(given, r"\bINCLUDES [^=]+", 0).alias("more"),
     )
+    return settled(rows, F.when(F.col("__words_in").isNotNull(), head).alias("__head")).drop("__front", "__tail", "__window", "__rest", "__words_in", "__said")
 
 
 def _region(head: Column) -> Column:
     """How many words the region's name takes: to the first ending with a phenomenon behind it, else to the first ending."""
     words = head["words"]
     place = F.sequence(F.lit(0), F.size(words) - 1)
-    ends = F.filter(place, lambda i: F.get(words, i).isin(REGIONS))
-    followed = F.filter(ends, lambda i: F.get(words, i + 1).isin(FOLLOWING))
-    return F.coalesce(F.get(followed, F.lit(0)), F.get(ends, F.lit(0)), F.lit(-1)) + 1
+    followed = F.filter(place, lambda i: F.get(words, i).isin(REGIONS) & F.get(words, i + 1).isin(FOLLOWING))
+    ends = [F.nullif(F.array_position(words, F.lit(x)), F.lit(0)) for x in REGIONS]
+    return F.coalesce(F.get(followed, F.lit(0)) + 1, F.least(*ends).cast("int"), F.lit(0))
 
 
-def _clauses(content: Column) -> Column:
-    """The clauses of a content: what each belongs to, its kind and its words."""
-    pieces = F.filter(F.split(F.trim(content), _CUTS), lambda x: x != "")
-    timed = F.transform(pieces, lambda x: x.rlike("^FCST (?:AT )?[0-9]{4}Z"))
-    first = F.array_position(timed, F.lit(True))
-
-    def kind(x: Column) -> Column:
-        out = F.when(x.rlike(f"^{_LINE} "), "AREA").when(x.rlike(f"^{_LEVELS}"), "LEVELS")
-        for opener, name in OPENERS.items():
-            out = out.when((x == opener) | x.startswith(f"{opener} "), name)
-        return out.otherwise("PHENOMENON")
-
-    return F.transform(
-        pieces,
-        lambda x, i: F.struct(F.when((first > 0) & (i >= first - 1), "FORECAST").otherwise("PRESENT").alias("owner"), kind(x).alias("kind"), x.alias("text")),
-    )
+def _kind(piece: Column) -> Column:
+    """The kind of the clause that begins like this piece."""
+    out = F.when(piece.rlike(f"^{_LINE} "), "AREA").when(piece.rlike(f"^{_LEVELS}"), "LEVELS")
+    for opener, name in OPENERS.items():
+        out = out.when((piece == opener) | piece.startswith(f"{opener} "), name)
+    return out.otherwise("PHENOMENON")
 
 
 def with_clauses(reports: DataFrame, text: str) -> DataFrame:
-    """`reports` with __head (null for other formats), __region, __content and __clauses of a text whose blanks are single."""
-    rows = settled(reports, _head(F.col(text)).alias("__head"))
+    """`reports` with __head (null for other formats), __name, __content and __clauses of a text whose blanks are single.
+
+    A clause has what it belongs to, its kind and its words.
+    """
+    rows = _with_head(reports, text)
     rows = settled(rows, _region(F.col("__head")).alias("__region"))
     words = F.col("__head.words")
     rest = F.concat(F.lit(" "), F.array_join(F.slice(words, F.col("__region") + 1, F.size(words)), " "), F.lit(" "))
     rows = settled(rows, F.array_join(F.slice(words, F.lit(1), F.col("__region")), " ").alias("__name"), F.when(F.col("__head").isNotNull(), rest).alias("__content"))
-    return settled(rows, _clauses(F.col("__content")).alias("__clauses"))
+    rows = settled(rows, F.filter(F.split(F.trim("__content"), _CUTS), lambda x: x != "").alias("__pieces"))
+    rows = settled(rows, F.array_position(F.transform("__pieces", lambda x: x.rlike("^FCST (?:AT )?[0-9]{4}Z")), F.lit(True)).alias("__forecast"))
+    first = F.col("__forecast")
+    each = F.transform("__pieces", lambda x, i: F.struct(F.when((first > 0) & (i >= first - 1), "FORECAST").otherwise("PRESENT").alias("owner"), _kind(x).alias("kind"), x.alias("text")))
+    return settled(rows, each.alias("__clauses"))
 
 
 def clauses(reports: DataFrame, raw: str = "raw") -> DataFrame:
@@ -101,54 +97,61 @@ def clauses(reports: DataFrame, raw: str = "raw") -> DataFrame:
     return rows.select(*rest, F.posexplode("__clauses").alias("position", "__clause")).select(*rest, "position", "__clause.*")
 
 
-def fields() -> Column:
-    """All values of the columns that `with_clauses` adds; null for other formats."""
-    head, name, content, found = (F.col(x) for x in ("__head", "__name", "__content", "__clauses"))
+def with_fields(rows: DataFrame, name: str) -> DataFrame:
+    """`rows` of `with_clauses` with a column of all values, null for other formats.
+
+    What a clause says is a step, what its words say the next; the last puts the values together.
+    """
+    content, found = F.col("__content"), F.col("__clauses")
 
-    def first(kind: str, owner: str | None = None, all_of: Column = found) -> Column:
-        held = F.filter(all_of, lambda x: (x["kind"] == kind) & (F.lit(True) if owner is None else x["owner"] == owner))
+    def first(kind: str, owner: str | None = None) -> Column:
+        held = F.filter(found, lambda x: (x["kind"] == kind) & (F.lit(True) if owner is None else x["owner"] == owner))
         return F.get(held, F.lit(0))["text"]
 
-    def area(text: Column) -> Column:
+    later = F.array_join(F.transform(F.filter(found, lambda x: x["owner"] == "FORECAST"), lambda x: x["text"]), " ")
+    rows = settled(
+        rows, F.col("__name").rlike("^[A-Z]{4} .* ").alias("__coded"), p.after(content, "CNL SIGMET").alias("__ended"), c.some(later).alias("__later"), p.word(content, "TC").alias("__cyclone"), p.after(content, "VA ERUPTION").alias("__eruption"),
+        first("OBS", "PRESENT").alias("__seen"), first("FCST", "PRESENT").isNotNull().alias("__foreseen"), F.coalesce(first("AREA", "PRESENT"), first("AREA")).alias("__place"), first("AREA", "FORECAST").alias("__later_place"),
+        first("LEVELS", "FORECAST").alias("__later_levels"), first("ENTIRE").isNotNull().alias("__entire"), p.levels(content).alias("__levels"), p.top_words(content).alias("__top"), p.moved(content).alias("__moved"), p.word(content, "CB TOP").alias("__cb"),
+    )
+
+    def area(text: str) -> Column:
         return F.regexp_replace(text, f"^(?:AREA WI|WI|{_LINE}) ", "")
 
-    coded = name.rlike("^[A-Z]{4} .* ")
+    window = F.when(p.nth(F.col("__ended"), 1).contains("/"), p.nth(F.col("__ended"), 1)).when(p.nth(F.col("__ended"), 2).contains("/"), p.nth(F.col("__ended"), 2))
+    expected = p.after(F.concat(F.lit(" "), F.col("__later")), "TC CENTER")
+    rows = settled(
+        rows, window.alias("__window"), F.when(F.col("__seen").rlike("^OBS AT [0-9]{4}Z"), F.substring("__seen", 8, 5)).alias("__seen_at"), area("__place").alias("__near"), area("__later_place").alias("__later_area"),
+        c.found(F.col("__later"), "[0-9]{4}Z", 0).alias("__later_at"), expected.alias("__expected"), p.levels(F.concat(F.lit(" "), F.col("__later_levels"), F.lit(" "))).alias("__later_pair"),
+        F.when(window.isNotNull(), F.trim(F.substring_index(F.col("__ended"), "/", 1))).alias("__gone"),
+    )
+    rows = settled(rows, F.regexp_replace("__gone", " ?[0-9]+$", "").alias("__gone_id"))
+    head, region = F.col("__head"), F.col("__name")
     series, number = _identifier(head["identifier"])
-    ended = p.after(content, "CNL SIGMET")
-    window = F.when(p.nth(ended, 1).contains("/"), p.nth(ended, 1)).when(p.nth(ended, 2).contains("/"), p.nth(ended, 2))
-    gone, gone_number = _identifier(F.when(p.nth(ended, 1).contains("/"), p.nth(ended, 0)).otherwise(F.concat_ws(" ", p.nth(ended, 0), p.nth(ended, 1))))
-    cancels = p.says(content, "CNL SIGMET")
+    gone, gone_number = _identifier(F.col("__gone_id"))
     phenomenon = F.lit(None).cast("string")
     for phrase in reversed(PHENOMENA):
         phenomenon = F.when(content.startswith(f" {phrase} "), phrase).otherwise(phenomenon)
-    cyclone = p.word(content, "TC")
-    seen = first("OBS", "PRESENT")
-    seen_at = F.when(seen.rlike("^OBS AT [0-9]{4}Z"), F.substring(seen, 8, 5))
-    later = F.get(F.filter(found, lambda x: x["owner"] == "FORECAST"), F.lit(0))["text"]
-    expected = p.after(F.concat(F.lit(" "), F.array_join(F.transform(F.filter(found, lambda x: x["owner"] == "FORECAST"), lambda x: x["text"]), " ")), "TC CENTER")
-    place = F.coalesce(first("AREA", "PRESENT"), first("AREA"))
-    near = area(place)
-    radius = F.when(near.endswith(" OF CENTER"), c.number(F.regexp_extract(near, "^([0-9]+) ?NM OF CENTER$", 1)))
-    eruption = p.after(content, "VA ERUPTION")
-    return F.when(
-        head.isNotNull(),
-        F.struct(
-            series.alias("seriesName"), number.alias("number"),
-            c.day_time_of(F.substring_index(head["window"], "/", 1)).alias("validFrom"), c.day_time_of(F.substring_index(head["window"], "/", -1)).alias("validTo"),
-            head["station"].alias("issuingStation"), F.coalesce(head["code"], F.when(coded, F.substring(name, 1, 4))).alias("firCode"),
-            c.some(F.when(coded, F.substring(name, 6, 999)).otherwise(name)).alias("firName"), cancels.alias("isCancellation"),
-            F.when(cancels & window.isNotNull(), F.struct(
-                gone.alias("seriesName"), gone_number.alias("number"), c.day_time_of(F.substring_index(window, "/", 1)).alias("validFrom"), c.day_time_of(F.substring_index(window, "/", -1)).alias("validTo"),
-            )).alias("cancelled"),
-            F.coalesce(phenomenon, F.concat(F.lit("TC "), cyclone)).alias("phenomena"),
-            F.when(seen_at.isNotNull() | (seen.isNotNull() & (seen != "OBS AND")), "OBSERVED").when(first("FCST", "PRESENT").isNotNull() & later.isNull(), "FORECAST").alias("observationStatus"),
-            c.day_time_of(seen_at).alias("observedAt"), c.some(near).alias("areaDescription"), p.positions(place).alias("areaRing"), first("ENTIRE").isNotNull().alias("isEntireRegion"),
-            p.altitude_range(content).alias("altitudes"), p.tops(content).alias("tops"), p.movement(content).alias("movement"), p.says(content, "STNR").alias("isStationary"),
-            p.intensity_change(content).alias("intensityChange"), cyclone.alias("cycloneName"), F.when(cyclone.isNotNull(), p.position(content)).alias("cyclonePosition"),
-            F.when(cyclone.isNotNull(), c.number(F.substring(p.word(content, "CB TOP"), 3, 3))).alias("cbTopFl"), F.when(cyclone.isNotNull(), radius).alias("withinNm"),
-            c.day_time_of(c.found(later, "[0-9]{4}Z", 0)).alias("forecastTime"), p.position(F.concat_ws(" ", p.nth(expected, 0), p.nth(expected, 1))).alias("forecastPosition"),
-            area(first("AREA", "FORECAST")).alias("forecastArea"), p.altitude_range(F.concat(F.lit(" "), first("LEVELS", "FORECAST"), F.lit(" "))).alias("forecastAltitudes"),
-            F.when(eruption.isNotNull(), p.before(eruption, "PSN")).alias("volcanoName"), p.position(p.after(eruption, "PSN")).alias("volcanoPosition"),
-            F.trim(head["more"]).alias("additionalInfo"),
-        ),
+    cyclone, near, eruption, seen = (F.col(x) for x in ("__cyclone", "__near", "__eruption", "__seen"))
+    radius = F.when(near.endswith("NM OF CENTER"), c.number(F.rtrim(F.substring_index(near, "NM", 1))))
+
+    def ends(span: Column) -> list[Column]:
+        return [c.day_time_of(F.substring_index(span, "/", 1)).alias("validFrom"), c.day_time_of(F.substring_index(span, "/", -1)).alias("validTo")]
+
+    values = F.struct(
+        series.alias("seriesName"), number.alias("number"), *ends(head["window"]),
+        head["station"].alias("issuingStation"), F.coalesce(head["code"], F.when(F.col("__coded"), F.substring(region, 1, 4))).alias("firCode"),
+        c.some(F.when(F.col("__coded"), F.substring(region, 6, 999)).otherwise(region)).alias("firName"), F.col("__ended").isNotNull().alias("isCancellation"),
+        F.when(F.col("__window").isNotNull(), F.struct(gone.alias("seriesName"), gone_number.alias("number"), *ends(F.col("__window")))).alias("cancelled"),
+        F.coalesce(phenomenon, F.concat(F.lit("TC "), cyclone)).alias("phenomena"),
+        F.when(F.col("__seen_at").isNotNull() | (seen != "OBS AND"), "OBSERVED").when(F.col("__foreseen") & F.col("__later").isNull(), "FORECAST").alias("observationStatus"),
+        c.day_time_of(F.col("__seen_at")).alias("observedAt"), c.some(near).alias("areaDescription"), p.positions(F.col("__place")).alias("areaRing"), F.col("__entire").alias("isEntireRegion"),
+        p.altitude_range_of(F.col("__levels")).alias("altitudes"), p.tops(F.col("__top")).alias("tops"), p.movement_of(F.col("__moved")).alias("movement"), p.says(content, "STNR").alias("isStationary"),
+        p.intensity_change(content).alias("intensityChange"), cyclone.alias("cycloneName"), F.when(cyclone.isNotNull(), p.position(content)).alias("cyclonePosition"),
+        F.when(cyclone.isNotNull(), c.number(F.substring("__cb", 3, 3))).alias("cbTopFl"), F.when(cyclone.isNotNull(), radius).alias("withinNm"),
+        c.day_time_of(F.col("__later_at")).alias("forecastTime"), p.position(F.substring(F.ltrim("__expected"), 1, 12)).alias("forecastPosition"),
+        F.col("__later_area").alias("forecastArea"), p.altitude_range_of(F.col("__later_pair")).alias("forecastAltitudes"),
+        F.when(eruption.isNotNull(), p.before(eruption, "PSN")).alias("volcanoName"), p.position(p.after(eruption, "PSN")).alias("volcanoPosition"),
+        F.trim(head["more"]).alias("additionalInfo"),
     )
+    return settled(rows, F.when(head.isNotNull(), values).alias(name))

@@ -48,9 +48,17 @@ def sentence(text: Column, phrase: str) -> Column:
     return F.trim(F.get(F.split(F.get(held, F.lit(0)), f"{phrase} ", 2), F.lit(1)))
 
 
+def moved(text: Column) -> Column:
+    """The three words that follow MOV, MOVG or MOVING, with FROM or TO before them, of a text whose blanks are single."""
+    return F.regexp_extract(text, r"\bMOV(?:ING|G)? ((?:FROM |TO )?\S+(?: \S+){0,2})", 1)
+
+
 def movement(text: Column) -> Column:
-    """Direction in degrees or as a compass point, and speed in knots or kilometers an hour, from what follows MOV, MOVG or MOVING."""
-    words = F.regexp_extract(c.squeezed(text), r"\bMOV(?:ING|G)? ((?:FROM |TO )?\S+(?: \S+){0,2})", 1)
+    return movement_of(moved(c.squeezed(text)))
+
+
+def movement_of(words: Column) -> Column:
+    """Direction in degrees or as a compass point, and speed in knots or kilometers an hour, of what `moved` found."""
     toward = F.regexp_replace(words, "^(FROM|TO) ", "")
     first = F.substring_index(toward, " ", 1)
     degrees = words.startswith("FROM ") & first.rlike("^[0-9]{5,6}[A-Z]")
@@ -73,26 +81,38 @@ def altitude_ft(level: Column) -> Column:
     return F.when((F.length(digits) == 3) & ~digits.rlike("[^0-9]"), c.number(digits) * 100)
 
 
-def altitude_range(words: Column) -> Column:
-    """The levels of BTN a AND b, else of the first word a/b; null without either."""
+def levels(words: Column) -> Column:
+    """The two levels of BTN a AND b, else of the first word a/b; null without either."""
 
     def slashed(w: Column) -> Column:
         low, high = F.substring_index(w, "/", 1), F.get(F.split(w, "/"), F.lit(1))
-        return altitude_ft(high).isNotNull() & ((low == "SFC") | altitude_ft(low).isNotNull())
+        return w.contains("/") & altitude_ft(high).isNotNull() & ((low == "SFC") | altitude_ft(low).isNotNull())
 
-    tail = after(words, "BTN")
-    spoken = (nth(tail, 1) == "AND") & altitude_ft(nth(tail, 2)).isNotNull()
+    spoken = F.split(F.substring_index(F.ltrim(after(words, "BTN")), " ", 3), " ")
     joined = F.get(F.filter(F.split(words, " "), slashed), F.lit(0))
-    low = F.when(spoken, nth(tail, 0)).otherwise(F.substring_index(joined, "/", 1))
-    high = F.when(spoken, nth(tail, 2)).otherwise(F.substring_index(joined, "/", -1))
-    return F.when(low.isNotNull(), F.struct(low.alias("base"), altitude_ft(low).alias("baseFt"), high.alias("top"), altitude_ft(high).alias("topFt")))
+    named = (F.get(spoken, F.lit(1)) == "AND") & altitude_ft(F.get(spoken, F.lit(2))).isNotNull()
+    return F.when(named, F.array(F.get(spoken, F.lit(0)), F.get(spoken, F.lit(2)))).otherwise(F.split(joined, "/"))
+
+
+def altitude_range(words: Column) -> Column:
+    return altitude_range_of(levels(words))
+
+
+def altitude_range_of(pair: Column) -> Column:
+    """What `levels` found, as written and in feet."""
+    low, high = F.get(pair, F.lit(0)), F.get(pair, F.lit(1))
+    return F.when(pair.isNotNull(), F.struct(low.alias("base"), altitude_ft(low).alias("baseFt"), high.alias("top"), altitude_ft(high).alias("topFt")))
+
+
+def top_words(words: Column) -> Column:
+    """The three words behind TOPS or TOP; null without them."""
+    return F.slice(F.split(F.ltrim(F.coalesce(after(words, "TOPS"), after(words, "TOP"))), " "), 1, 3)
 
 
-def tops(words: Column) -> Column:
-    """The flight level that TOPS or TOP name, in feet, and whether ABV stands before it; null without a level."""
-    tail = F.coalesce(after(words, "TOPS"), after(words, "TOP"))
-    level = F.get(F.filter(F.slice(F.split(F.trim(tail), " "), 1, 3), lambda w: ~w.isin("ABV", "TO")), F.lit(0))
-    return F.when(level.startswith("FL"), F.struct(altitude_ft(level).alias("altitudeFt"), tail.startswith(" ABV ").alias("isAbove")))
+def tops(behind: Column) -> Column:
+    """The flight level that `top_words` name, in feet, and whether ABV stands before it; null without a level."""
+    level = F.get(F.filter(behind, lambda w: ~w.isin("ABV", "TO")), F.lit(0))
+    return F.when(level.startswith("FL"), F.struct(altitude_ft(level).alias("altitudeFt"), (F.get(behind, F.lit(0)) == "ABV").alias("isAbove")))
 
 
 def intensity_change(words: Column) -> Column:
