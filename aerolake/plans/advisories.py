@@ -103,6 +103,48 @@ def airmet_hazards(spark):
     )
 
 
+def _airmets(spark):
+    """Bulletins with wind shear, two outlook areas, and freezing levels by a range with lines or by parallels."""
+    hour = "lpad(cast(event_id % 24 as string), 2, '0')"
+    return advisories.parse_airmet(_written(spark, f"""select event_id, concat('BOSZ WA 271445 AIRMET ZULU UPDT 2 FOR ICE AND FRZLVL VALID UNTIL 272100 . LLWS POTENTIAL...MN LM', case when event_id % 3 = 0 then ' AND CSTL WTRS' else '' end, ' BOUNDED BY 70W P', event_id, '-20S Q-70W P', event_id, ' LLWS EXP. CONDS ENDG ', {hour}, '-23Z. . ',
+        'OTLK VALID ', {hour}, '00-0300Z AREA 1...ICE OH LE BOUNDED BY 40S A', event_id, '- B-40S A', event_id, ' MOD ICE BTN ', case when event_id % 5 = 0 then 'FRZLVL' else lpad(cast(event_id % 90 + 10 as string), 3, '0') end, ' AND FL', event_id % 200 + 200, '. CONDS DVLPG AFT ', {hour}, 'Z. CONDS CONTG THRU 03Z. . ',
+        'AREA 2...TURB VT BOUNDED BY C-D', event_id, '-C SEV TURB BTN FL300 AND FL400. CONDS DVLPG 00-', {hour}, 'Z. . FRZLVL...', case when event_id % 2 = 0
+        then concat('RANGING FROM ', case when event_id % 4 = 0 then 'SFC' else '020' end, '-', event_id % 100 + 100, ' ACRS AREA MULT FRZLVL BLW ', lpad(cast(event_id % 60 + 40 as string), 3, '0'), ' BOUNDED BY 10N P', event_id, '-Q-10N P', event_id, ' ', lpad(cast(event_id % 80 + 10 as string), 3, '0'), ' ALG R-S', event_id, ' SFC ALG T')
+        else concat('SFC-', lpad(cast(event_id % 30 + 10 as string), 3, '0'), ' N OF 40N LINE. 040-', event_id % 100 + 100, ' S OF 40N LINE.') end) as raw from events"""))
+
+
+@query("""select event_id, n as areaNumber, event_id % 24 as fromHour, 3 as toHour, case n when 1 then 'ICING' else 'TURBULENCE' end as hazardType, case n when 1 then 'OH,LE' else 'VT' end as states,
+    case n when 1 then concat('40S A', event_id, ',B,40S A', event_id) else concat('C,D', event_id, ',C') end as boundedBy, case when n = 1 and event_id % 5 > 0 then (event_id % 90 + 10) * 100 when n = 2 then 30000 end as baseFt, case n when 1 then (event_id % 200 + 200) * 100 else 40000 end as topFt,
+    case n when 1 then concat('MOD ICE BTN ', case when event_id % 5 = 0 then 'FRZLVL' else lpad(cast(event_id % 90 + 10 as varchar), 3, '0') end, ' AND FL', event_id % 200 + 200) else 'SEV TURB BTN FL300 AND FL400' end as description,
+    case n when 1 then event_id % 24 else 0 end as startHour, case n when 1 then 3 else event_id % 24 end as endHour, n = 1 as isAfter from events, (select unnest([1, 2]) as n) a""")
+def airmet_outlooks(spark):
+    r = _airmets(spark).select("event_id", F.explode("outlooks").alias("a"))
+    return r.select(
+        "event_id", _long("a.areaNumber", "areaNumber"), _long("a.validFrom.hour", "fromHour"), _long("a.validTo.hour", "toHour"), "a.hazardType", F.array_join("a.states", ",").alias("states"), F.array_join("a.boundedBy", ",").alias("boundedBy"),
+        _long("a.altitudes.baseFt", "baseFt"), _long("a.altitudes.topFt", "topFt"), "a.description", _long("a.conditions.startTime.hour", "startHour"), _long("a.conditions.endTime.hour", "endHour"), "a.conditions.isAfter",
+    )
+
+
+@query("select event_id, 'MN,LM' as states, event_id % 3 = 0 as coastalWaters, concat('70W P', event_id, ',20S Q,70W P', event_id) as boundedBy, 'LLWS EXP' as description, event_id % 24 as startHour, 23 as endHour from events")
+def airmet_wind_shear(spark):
+    r = _airmets(spark).select("event_id", F.explode("hazards").alias("h")).filter("h.hazardType = 'LOW_LEVEL_WIND_SHEAR'")
+    return r.select("event_id", F.array_join("h.states", ",").alias("states"), "h.coastalWaters", F.array_join("h.boundedBy", ",").alias("boundedBy"), "h.description", _long("h.conditions.startTime.hour", "startHour"), _long("h.conditions.endTime.hour", "endHour"))
+
+
+@query("""with lines as (select event_id, 'multiple' as kind, 0 as pos, (event_id % 60 + 40) * 100 as altitudeFt, concat('10N P', event_id, ',Q,10N P', event_id) as line from events where event_id % 2 = 0
+    union all select event_id, 'contour', 0, null, 'ALG T' from events where event_id % 2 = 0
+    union all select event_id, 'contour', 1, (event_id % 80 + 10) * 100, concat('ALG R-S', event_id) from events where event_id % 2 = 0
+    union all select event_id, 'contour', 0, null, concat('SFC-', lpad(cast(event_id % 30 + 10 as varchar), 3, '0'), ' N OF 40N LINE') from events where event_id % 2 = 1
+    union all select event_id, 'contour', 1, 4000, concat('040-', event_id % 100 + 100, ' S OF 40N LINE') from events where event_id % 2 = 1)
+    select *, case when event_id % 2 = 0 then concat(case when event_id % 4 = 0 then 'SFC' else '020' end, '-', event_id % 100 + 100, ' ACRS AREA') end as range, case when event_id % 4 = 2 then 2000 end as lowFt, (event_id % 100 + 100) * 100 as highFt from lines""")
+def airmet_freezing_levels(spark):
+    level = _airmets(spark).select("event_id", "freezingLevel.*")
+    contours = F.transform("contours", lambda x, i: F.struct(F.lit("contour").alias("kind"), i.alias("pos"), x["altitudeFt"].alias("altitudeFt"), x["location"].alias("line")))
+    several = F.transform("multiple", lambda x, i: F.struct(F.lit("multiple").alias("kind"), i.alias("pos"), x["belowFt"].alias("altitudeFt"), F.array_join(x["boundedBy"], ",").alias("line")))
+    r = level.select("event_id", "range", _long("rangeLowFt", "lowFt"), _long("rangeHighFt", "highFt"), F.explode(F.concat(contours, several)).alias("x"))
+    return r.select("event_id", "range", "lowFt", "highFt", "x.kind", _long("x.pos", "pos"), _long("x.altitudeFt", "altitudeFt"), "x.line")
+
+
 @query("""select event_id, event_id % 3 = 0 as isFdc, concat(event_id % 12 + 1, '/', lpad(cast(event_id % 9000 as string), 4, '0')) as number, 'ABC' as locationCode, case when event_id % 3 = 0 then 'IAP' else 'RWY' end as keyword, case when event_id % 3 = 0 then 'SOME REGIONAL' end as airportName,
     concat('PART ', event_id % 36, ' CLSD') as text, event_id % 12 + 1 as month, case when event_id % 4 > 0 then 27 end as untilYear, event_id % 4 = 1 as isEstimatedEnd, event_id % 4 = 0 as isPermanent from events""")
 def notam_domestic(spark):
