@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ...sources.text import code, flag, number, whole
+from .. import cover
 
 # Published codes and the names that they stand for.
 FACILITIES = {"A": "AIRPORT", "H": "HELIPORT", "C": "SEAPLANE_BASE", "G": "GLIDERPORT", "U": "ULTRALIGHT", "B": "BALLOONPORT"}
@@ -146,7 +147,7 @@ def airports(base: DataFrame, runway: DataFrame, ends: DataFrame, radio: DataFra
 
     An airport without a name, place, position or a known type, owner, use and status is left out.
     Joins are by site number, runway and runway end; lists are as long as one airport's. Time zones
-    need a table of zones and are left to the caller.
+    need a table of zones: see `with_time_zones`.
     """
     read = base.select("ord", _column(base, "SITE_NO").alias("SITE_NO"), *_read(base, AIRPORT))
     read = read.where(_needed("faaId", "name", "city", "country", "SITE_NO", "lat", "lon", "facilityType", "ownershipType", "useType", "status"))
@@ -154,6 +155,12 @@ def airports(base: DataFrame, runway: DataFrame, ends: DataFrame, radio: DataFra
     return nested.join(frequencies(radio).withColumnRenamed("facility", "faaId"), "faaId", "left").drop("SITE_NO")
 
 
+def with_time_zones(built: DataFrame, zones: DataFrame) -> DataFrame:
+    """Airports (faaId, lat, lon) with timezone: the name of the first zone (tzid, boundary) by name that holds them, null where none does."""
+    covered = cover.cover(zones.select(F.col("tzid").alias("timezone"), "boundary"))
+    return cover.first_holding(covered, built, ["faaId"], ["timezone"], ["timezone"])
+
+
 def navaids(table: DataFrame) -> DataFrame:
     """Navaids that are not shut down and have a name, place, position and a known type and status."""
     read = table.select("ord", *_read(table, NAVAID), number(_column(table, "FREQ")).alias("f"), *[number(_column(table, f"TACAN_DME_{c}_DECIMAL")).alias(n) for n, c in (("dLat", "LAT"), ("dLon", "LONG"))])

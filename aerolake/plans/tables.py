@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import airways, lookup, routes, spatial
+from ..operators import airways, cover, lookup, routes, spatial
 from ..operators.reports import common, feeds, metar, notam, pirep, taf, winds
 from . import formulas, views
 
@@ -133,6 +133,22 @@ def airspace_query(spark):
     return spatial.containing(views.areas(spark), asked).select(F.col("askedOrd").alias("ord"), F.col("ord").alias("area"), "type")
 
 
+_IN_ZONE = _INSIDE.replace("range(1, 9)", f"range(1, {views.CORNERS + 1})")
+
+
+@query(f"select a.ord, h.timezone from airports a left join (select ord, arg_min(timezone, zone) as timezone from (select a.ord, s.zone, s.timezone from airports a, zones s where {_IN_ZONE}) x group by ord) h on a.ord = h.ord", "airports", "zones")
+def airport_time_zone(spark):
+    """The first zone that holds each airport, by adaptive covers of the zones."""
+    zones = cover.cover(views.view(spark, "zones").selectExpr("zone", "timezone", "array(ring) as boundary"))
+    return cover.first_holding(zones, _asked(spark, "airports", "ord", "lat", "lon"), ["ord"], ["zone"], ["timezone"]).select("ord", "timezone")
+
+
+@query(f"select a.ord, s.zone from airports a, zones s where {_IN_ZONE}", "airports", "zones")
+def airport_zones(spark):
+    zones = cover.cover(views.view(spark, "zones").selectExpr("zone", "array(ring) as boundary"), few_edges=2)
+    return cover.holding(zones, _asked(spark, "airports", "ord", "lat", "lon")).select("ord", "zone")
+
+
 @query("select n.n_nationkey as asked, s.ord as area from nation n join airspace s on s.identifier = concat('A', cast(n.n_nationkey as string)) where type <> 'ARTCC'", "airspace")
 def airspace_by_airport(spark):
     asked = spark.sql("select n_nationkey as asked, concat('a', cast(n_nationkey as string)) as question from nation")

@@ -21,6 +21,22 @@ def _ring() -> str:
     return f"{{array}}({points})"
 
 
+#: Corners of an uneven ring; every fourth part of them lies on one side of a square.
+CORNERS = 64
+
+
+def _uneven_ring() -> str:
+    """The ring of the area of `zone` around lon and lat: corners on a square, drawn in by up to a third, the first again at the end."""
+
+    def corner(i: int) -> str:
+        side, t = i * 4 // CORNERS, i * 8000 // CORNERS % 2000 - 1000
+        u, v = ((t, -1000), (1000, t), (-t, 1000), (-1000, -t))[side]
+        drawn = f"(100 - (zone * {i * 7 + 3} + {i * 13}) % 34)"
+        return f"{{array}}(lon + radius * {u} * {drawn} / 1e5, lat + radius * {v} * {drawn} / 1e5)"
+
+    return f"{{array}}({', '.join(corner(i % CORNERS) for i in range(CORNERS + 1))})"
+
+
 VIEWS = {
     "airports": """select c_custkey as ord, concat('K', lpad(cast(c_custkey as string), 5, '0')) as icao, concat('F', cast(c_custkey as string)) as faaId,
         c_name as name, c_mktsegment as type, 24e0 + (c_custkey * 7919 % 25000) / 1e3 as lat, -125e0 + (c_custkey * 104729 % 58000) / 1e3 as lon,
@@ -38,6 +54,8 @@ VIEWS = {
             (n_nationkey + k) % 4 * 1500 as floorFt, case when n_regionkey = 0 then 'SFC' when n_regionkey = 1 then 'AGL' else 'MSL' end as floorReference, 8000 + (n_nationkey + k) % 7 * 2500 as ceilingFt,
             26e0 + ((n_nationkey * 3 + k) * 6131 % 21000) / 1e3 as lat, -123e0 + ((n_nationkey * 3 + k) * 92821 % 55000) / 1e3 as lon, 0.5e0 + k * 0.9e0 as radius
         from nation cross join (select 0 as k union all select 1 union all select 2) r) a""",
+    "zones": f"""select zone, timezone, {_uneven_ring()} as ring from (select n_nationkey as zone, concat('America/', n_name) as timezone, 3e0 + n_nationkey % 5 as radius,
+        26e0 + (n_nationkey * 6131 % 21000) / 1e3 as lat, -123e0 + (n_nationkey * 92821 % 55000) / 1e3 as lon from nation) z""",
     "flights": """select l_orderkey as route_id, l_linenumber as leg, 24e0 + (l_partkey * 7919 % 25000) / 1e3 as lat1, -125e0 + (l_partkey * 104729 % 58000) / 1e3 as lon1,
         24e0 + (l_suppkey * 6131 % 25000) / 1e3 as lat2, -125e0 + (l_suppkey * 92821 % 58000) / 1e3 as lon2, 120e0 + l_partkey * 37 % 380 as tas, (l_orderkey * 53 % 3600) / 1e1 as course,
         (l_suppkey * 71 % 3600) / 1e1 as windDeg, (l_partkey % 70) * 1e0 as windKt, (l_partkey * 131 % 34000) * 1e0 as altitude, 30e0 - (l_suppkey * 17 % 900) / 1e1 as oat,
