@@ -53,9 +53,17 @@ def _width(level: Column) -> Column:
     return F.lit(SIZE) / F.pow(F.lit(2.0), level)
 
 
-def _judged(cells: DataFrame, few_edges: int) -> DataFrame:
-    """Cells with the edges that their points' rays can meet, and their state; cells outside are left out."""
-    cells = settled(cells, (F.col("__x") * _width(F.col("__level"))).alias("__w"), (F.col("__y") * _width(F.col("__level"))).alias("__s"), _width(F.col("__level")).alias("__size"))
+def _cell(level: Column, x: Column, y: Column) -> Column:
+    """An open cell with its corner and width, and the edges that a ray from one of its points can meet."""
+    size = _width(level)
+    west, south = x * size, y * size
+    near = F.filter("__edges", lambda e: (e["north"] >= south) & (e["south"] <= south + size) & (e["east"] >= west))
+    return F.struct(level.alias("__level"), x.alias("__x"), y.alias("__y"), west.alias("__w"), south.alias("__s"), size.alias("__size"), F.lit("OPEN").alias("__state"), near.alias("__near"))
+
+
+def _judging(rest: list[str], few_edges: int) -> list[list]:
+    """The selections, one after another, that give cells their edges and state; cells outside are left out."""
+    kept = [*rest, "__level", "__x", "__y", "__w", "__s", "__size"]
     west, south, size, open_ = F.col("__w"), F.col("__s"), F.col("__size"), F.col("__state") == "OPEN"
     east, north = west + size, south + size
 
@@ -68,19 +76,23 @@ def _judged(cells: DataFrame, few_edges: int) -> DataFrame:
         boxed = (e["west"] <= east) & (e["east"] >= west) & (e["south"] <= north) & (e["north"] >= south)
         return boxed & (F.least(*sides) <= _NEAR) & (F.greatest(*sides) >= -_NEAR)
 
-    near = F.filter("__edges", lambda e: (e["north"] >= south) & (e["south"] <= north) & (e["east"] >= west))
-    cells = settled(cells, F.when(open_, near).otherwise(F.col("__edges")).alias("__near"))
     fold = F.size(F.filter("__near", passed)) % 2 == 1
-    cells = settled(
-        cells.drop("__edges"),
-        F.when(open_, F.filter("__near", lambda e: ~passed(e))).otherwise(F.col("__near")).alias("__edges"),
-        F.when(open_, F.col("__odd") != fold).otherwise(F.col("__odd")).alias("__parity"),
-    ).drop("__near", "__odd")
+    left = F.when(open_, F.filter("__near", lambda e: ~passed(e))).otherwise(F.col("__near"))
+    folded = F.struct(left.alias("__edges"), F.when(open_, F.col("__odd") != fold).otherwise(F.col("__odd")).alias("__odd"))
     touching = F.size(F.filter("__edges", touches))
-    whole = F.when(_odd(F.col("__edges"), F.col("__parity"), west + size / 2, south + size / 2), "INNER").otherwise("OUTER")
-    judged = F.when(~open_, F.col("__state")).when(touching == 0, whole).when((touching <= few_edges) | (F.col("__level") >= LEVELS), "EDGE").otherwise("OPEN")
-    cells = settled(cells, judged.alias("__judged")).where("__judged <> 'OUTER'")
-    return cells.drop("__state", "__w", "__s", "__size").withColumnsRenamed({"__parity": "__odd", "__judged": "__state"})
+    whole = F.when(_odd(F.col("__edges"), F.col("__odd"), west + size / 2, south + size / 2), "INNER").otherwise("OUTER")
+    state = F.when(~open_, F.col("__state")).when(touching == 0, whole).when((touching <= few_edges) | (F.col("__level") >= LEVELS), "EDGE").otherwise("OPEN")
+    return [
+        [*kept, "__state", F.explode(F.array(folded)).alias("__v")],
+        [*kept, "__state", "__v.*"],
+        [*kept, "__edges", "__odd", F.explode(F.filter(F.array(state), lambda v: v != "OUTER")).alias("__state")],
+    ]
+
+
+def _selected(rows: DataFrame, selections: list[list]) -> DataFrame:
+    for columns in selections:
+        rows = rows.select(*columns)
+    return rows
 
 
 def cover(areas: DataFrame, boundary: str = "boundary", few_edges: int = FEW_EDGES) -> DataFrame:
@@ -103,16 +115,14 @@ def cover(areas: DataFrame, boundary: str = "boundary", few_edges: int = FEW_EDG
     def reach(low: str, high: str) -> Column:
         return F.sequence(F.floor(F.col(low) / _width(F.col("__level"))), F.floor(F.col(high) / _width(F.col("__level"))))
 
+    level, x, y = F.col("__level"), F.col("__x"), F.col("__y")
     rows = rows.withColumn("__x", F.explode(reach("__west", "__east"))).withColumn("__y", F.explode(reach("__south", "__north")))
-    cells = rows.select(*rest, "__level", "__x", "__y", F.lit("OPEN").alias("__state"), F.lit(False).alias("__odd"), "__edges")
-    cells = _judged(cells, few_edges)
-    for _ in range(LEVELS):
-        x, y, level = F.col("__x"), F.col("__y"), F.col("__level")
-        quarters = F.array(*[F.struct((level + 1).alias("l"), (x * 2 + i).alias("x"), (y * 2 + j).alias("y")) for i in (0, 1) for j in (0, 1)])
-        itself = F.array(F.struct(level.alias("l"), x.alias("x"), y.alias("y")))
-        split = cells.withColumn("__cell", F.explode(F.when(F.col("__state") == "OPEN", quarters).otherwise(itself)))
-        split = split.drop("__level", "__x", "__y").select("*", F.col("__cell.l").alias("__level"), F.col("__cell.x").alias("__x"), F.col("__cell.y").alias("__y")).drop("__cell")
-        cells = _judged(split, few_edges)
+    rows = rows.select(*rest, F.lit(False).alias("__odd"), F.explode(F.array(_cell(level, x, y))).alias("__v")).select(*rest, "__odd", "__v.*")
+    judging = _judging(rest, few_edges)
+    quarters = F.array(*[_cell(level + 1, x * 2 + i, y * 2 + j) for i in (0, 1) for j in (0, 1)])
+    itself = F.array(F.struct("__level", "__x", "__y", "__w", "__s", "__size", "__state", F.col("__edges").alias("__near")))
+    split = F.explode(F.when(F.col("__state") == "OPEN", quarters).otherwise(itself)).alias("__v")
+    cells = _selected(rows, judging + LEVELS * [[*rest, "__odd", split], [*rest, "__odd", "__v.*"], *judging])
     inner = F.col("__state") == "INNER"
     return cells.select(*rest, "__level", "__x", "__y", inner.alias("__inner"), F.when(~inner, F.col("__odd")).alias("__odd"), F.when(~inner, F.col("__edges")).alias("__edges"))
 
