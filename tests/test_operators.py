@@ -33,6 +33,7 @@ def functions(spark):
         ("format_distance(12.345D, 'nm')", "12.3 nm"),
         ("format_qnh(29.92D, 'inHg')", "29.92 inHg"),
         ("holding_pattern_entry(90D, 270D)", "parallel"),
+        ("holding_pattern_entry(148.4D, 328.4D)", "direct"),
         ("load_factor(60D)", pytest.approx(2)),
         ("cast(airac_date(24, 1) as string)", "2024-01-25"),
         ("is_daytime(40D, -75D, timestamp'2024-06-21 17:00:00')", True),
