@@ -17,7 +17,7 @@ SHIFTS = {
     "orders": [{"o_orderkey": 46_656, "o_custkey": 0}, {"o_orderkey": 466_560, "o_custkey": 99_900}],
     "lineitem": [{"l_orderkey": 466_560, "l_partkey": 999_900}],
 }
-NAMES = ["airport_by_id", "fix_by_identifier", "route_distance", "airway_build"]
+NAMES = ["airport_by_id", "fix_by_identifier", "route_distance", "airway_build", "procedure_build", "procedure_legs", "procedure_by_runway", "procedure_by_type", "procedure_by_approach_type"]
 
 
 @pytest.fixture(scope="module")
