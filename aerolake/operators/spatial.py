@@ -1,13 +1,14 @@
 """Spatial joins as equi-joins on grid cells.
 
 A nested-loop join compares every question with every row. Here each side is laid out on a grid of
-one-degree rows and columns: the data set's rows in the cell that holds them (points) or in all
+rows and columns: the data set's rows in the cell that holds them (points) or in all
 cells that their box touches (areas), the question in its own cell or in those within reach, so
 Catalyst sees an equi-join that shuffles or broadcasts like any other and AQE splits hot cells.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -19,6 +20,10 @@ from .lookup import first_n
 
 RADIUS_NM = 30.0
 NEAREST_LIMIT = 10
+#: The finest of the grids that points are laid on has 2^FINEST cells to 360 degrees: a third of a mile each.
+FINEST = 16
+#: Miles of a degree of the sphere that distances are taken on, and a little more.
+NM_PER_DEGREE = 60.041
 #: Area boxes over more cells than this are matched by latitude row alone: few, but wide.
 WIDE_CELLS = 256
 
@@ -27,6 +32,30 @@ def _floor(c: Column) -> Column:
     return F.floor(c).cast("int")
 
 
+def _cell(c: Column, half: float, level: Column) -> Column:
+    """Number of the cell that holds a coordinate, of 2^level cells to 360 degrees."""
+    return F.floor((c + half) * F.pow(F.lit(2.0), level) / 360.0).cast("int")
+
+
+def _column(lon: Column, level: Column) -> Column:
+    return F.pmod(_cell(lon, 180.0, level), F.pow(F.lit(2.0), level).cast("int"))
+
+
+def _finest_crowded(rows: DataFrame, asked: DataFrame, coarsest: int, least: int) -> DataFrame:
+    """(__fy, __fx, __crowded): for each finest cell with a question the finest level at which the cell around it holds `least` rows."""
+    fine = F.lit(FINEST)
+    levels = F.explode(F.sequence(F.lit(coarsest), fine)).alias("m")
+
+    def above(cells: DataFrame, *more: str) -> DataFrame:
+        spread = cells.select("__fy", "__fx", *more, levels)
+        step = F.pow(F.lit(2.0), fine - F.col("m"))
+        return spread.select("*", *[F.floor(F.col(f"__f{a}") / step).cast("int").alias(a) for a in ("y", "x")])
+
+    held = above(rows.groupBy("__fy", "__fx").agg(F.count(F.lit(1)).alias("n")), "n").groupBy("m", "y", "x").agg(F.sum("n").alias("n"))
+    wanted = above(asked.select("__fy", "__fx").distinct())
+    return wanted.join(held.where(F.col("n") >= least).drop("n"), ["m", "y", "x"]).groupBy("__fy", "__fx").agg(F.max("m").alias("__crowded"))
+
+
 def nearest(
     data: DataFrame,
     asked: DataFrame,
@@ -40,24 +69,51 @@ def nearest(
     `key` names a question; `data` needs ord, lat and lon. The radius holds for the raw distance;
     rows rank by the distance rounded to hundredths, then by input order. Columns of the question
     come first; lat and lon of the data set are rowLat and rowLon.
+
+    The smallest cell around a question that holds `limit` rows bounds how far it must look: to the
+    cell's farthest corner, or to the radius. So what a question meets follows from the limit, not
+    from how many rows lie within the radius. Of rows at one point only the first `limit` can be found.
     """
     register(data.sparkSession, geo.FUNCTIONS, "geo")
     if where is not None:
         data = data.where(where)
-    rows = data.withColumnsRenamed({"lat": "rowLat", "lon": "rowLon"}).withColumn("__y", _floor(F.col("rowLat"))).withColumn("__x", _floor(F.col("rowLon")))
+    fine = F.lit(FINEST)
+    rows = first_n(data.where("lat is not null and lon is not null"), ["lat", "lon"], ["ord"], limit).drop("rank").withColumnsRenamed({"lat": "rowLat", "lon": "rowLon"})
     reach = radius_nm / 60.0 + 1e-9
-    # a parallel shortens with latitude: the widest column reach is at the far edge of the band
-    edge = F.least(F.abs(F.col("lat")) + reach, F.lit(89.9))
-    columns = F.least(F.lit(reach) / F.cos(F.radians(edge)) * 1.02, F.lit(180.0))
-    low, high = _floor(F.col("lon") - columns), _floor(F.col("lon") + columns)
-    cells = asked.withColumn("__y", F.explode(F.sequence(_floor(F.col("lat") - reach), _floor(F.col("lat") + reach))))
-    span = F.when(high - low >= 360, F.sequence(F.lit(-180), F.lit(179))).otherwise(F.sequence(low, high))
-    wrapped = F.array_distinct(F.transform(span, lambda x: ((x + 180) % 360 + 360) % 360 - 180))
-    cells = cells.withColumn("__x", F.explode(wrapped))
-    met = cells.join(rows, ["__y", "__x"]).drop("__y", "__x")
-    raw = geo_distance("lat", "lon", "rowLat", "rowLon")
-    met = met.withColumn("__raw", raw).where(F.col("__raw") <= radius_nm)
-    met = met.withColumn("distanceNm", F.floor(F.col("__raw") * 100 + 0.5) / 100).drop("__raw")
+    coarsest = min(FINEST, max(0, math.floor(math.log2(360.0 / reach)) - 1))
+    finest = {"__fy": _cell(F.col("lat"), 90.0, fine), "__fx": _column(F.col("lon"), fine)}
+    placed = rows.select(_cell(F.col("rowLat"), 90.0, fine).alias("__fy"), _column(F.col("rowLon"), fine).alias("__fx"))
+    crowded = _finest_crowded(placed, asked.where("lat is not null and lon is not null").withColumns(finest), coarsest, limit)
+    cells = asked.withColumns(finest).join(crowded, ["__fy", "__fx"], "left").drop("__fy", "__fx")
+
+    # a path that climbs and turns evenly to the cell's farthest corner is no shorter than the great circle
+    size = F.lit(360.0) / F.pow(F.lit(2.0), F.col("__crowded"))
+    south, west = _cell(F.col("lat"), 90.0, F.col("__crowded")) * size - 90.0, _cell(F.col("lon"), 180.0, F.col("__crowded")) * size - 180.0
+    up, along = F.greatest(F.col("lat") - south, south + size - F.col("lat")), F.greatest(F.col("lon") - west, west + size - F.col("lon"))
+    widest = F.cos(F.radians(F.when((south < 0) & (south + size > 0), 0.0).otherwise(F.least(F.abs(south), F.abs(south + size)))))
+    # one hundredth and more is added, as rows of one rounded distance rank by their order
+    corner = F.sqrt(up * up + along * along * widest * widest) * NM_PER_DEGREE + 0.05
+    cells = cells.withColumn("__within", F.coalesce(F.least(corner, F.lit(float(radius_nm))), F.lit(float(radius_nm))))
+    tall = F.col("__within") / 60.0 + 1e-9
+    # a parallel shortens with latitude: the widest column reach is at the far edge of the band, which may hold a pole
+    edge = F.abs(F.col("lat")) + tall
+    columns = F.when(edge >= 90.0, 180.0).otherwise(F.least(tall / F.cos(F.radians(edge)) * 1.02, F.lit(180.0)))
+    cells = cells.withColumn("__tall", tall).withColumn("__wide", columns)
+    # cells as large as the reach or larger: at most three to a side
+    level = F.least(fine, F.greatest(F.floor(F.log2(F.lit(360.0) / F.greatest("__tall", "__wide"))), F.lit(0))).cast("int")
+    cells = cells.withColumn("__m", level)
+    m = F.col("__m")
+    low, high = _cell(F.col("lon") - F.col("__wide"), 180.0, m), _cell(F.col("lon") + F.col("__wide"), 180.0, m)
+    around = F.pow(F.lit(2.0), m).cast("int")
+    xs = F.array_distinct(F.transform(F.sequence(low, F.least(high, low + around - 1)), lambda x: F.pmod(x, around)))
+    ys = F.sequence(_cell(F.col("lat") - F.col("__tall"), 90.0, m), _cell(F.col("lat") + F.col("__tall"), 90.0, m))
+    used = cells.select("__m").distinct()
+    cells = cells.withColumn("__y", F.explode(ys)).withColumn("__x", F.explode(xs)).drop("__crowded", "__tall", "__wide")
+    laid = rows.withColumn("__m", F.explode(F.sequence(F.lit(0), fine))).join(F.broadcast(used), "__m", "left_semi")
+    laid = laid.withColumns({"__y": _cell(F.col("rowLat"), 90.0, m), "__x": _column(F.col("rowLon"), m)})
+    met = cells.join(laid, ["__m", "__y", "__x"]).drop("__m", "__y", "__x")
+    met = met.withColumn("__raw", geo_distance("lat", "lon", "rowLat", "rowLon")).where(F.col("__raw") <= F.col("__within"))
+    met = met.withColumn("distanceNm", F.floor(F.col("__raw") * 100 + 0.5) / 100).drop("__raw", "__within")
     return first_n(met, key, ["distanceNm", "ord"], limit)
 
 
