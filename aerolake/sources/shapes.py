@@ -11,6 +11,7 @@ from __future__ import annotations
 import os
 import struct
 import sys
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -24,9 +25,9 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])  # workers need not have this package
 
-#: Bytes of geometry in a partition that is read, and in a file that is written.
+#: Bytes of geometry in a partition that is read, and of geometry and attributes in a file that is written.
 SPLIT = 32 << 20
-FILE = 64 << 20
+FILE = 32 << 20
 #: Records of a batch.
 _BATCH = 1000
 
@@ -209,34 +210,71 @@ def _record(shape: list | None) -> tuple[bytes, list[float] | None]:
     return struct.pack("<i4d2i", _POLYGONS[0], *box, len(found), len(xy)) + begin.astype("<i4").tobytes() + xy.astype("<f8").tobytes(), box
 
 
-def _table(names: list[str], rows: list[list[str | None]]) -> bytes:
-    cells = [[(v or "").encode() for v in column] for column in rows]
-    sizes = [max([1, *map(len, column)]) for column in cells]
-    if any(n > _WIDEST for n in sizes):
-        raise ValueError(f"an attribute is longer than {_WIDEST} bytes")
-    fields = b"".join(name.encode("ascii").ljust(11, b"\0") + b"C" + bytes(4) + bytes([size]) + bytes(15) for name, size in zip(names, sizes))
-    n = len(cells[0]) if cells else 0
-    head = struct.pack("<4BIHH20x", 3, 100, 1, 1, n, 33 + len(fields), 1 + sum(sizes))
-    return head + fields + b"\r" + b"".join(b" " + b"".join(c[i].ljust(size) for c, size in zip(cells, sizes)) for i in range(n)) + b"\x1a"
+class _Cells:
+    """Values of one attribute as their bytes, one after another, and where each ends."""
 
+    def __init__(self):
+        self.text, self.ends, self.widest = bytearray(), array("q"), 1
 
-def _write_file(system: fs.FileSystem, stem: str, names: list[str], rows: list[list[str | None]], shapes: list[list | None]) -> int:
-    records = [_record(shape) for shape in shapes]
-    sizes = np.array([len(r) for r, _ in records], np.int64)
-    places = 100 + np.cumsum(np.append(0, sizes + 8))
-    boxes = np.array([box for _, box in records if box], np.float64).reshape(-1, 4)
-    body = b"".join(struct.pack(">2i", n + 1, len(r) // 2) + r for n, (r, _) in enumerate(records))
-    index = np.stack([places[:-1] // 2, sizes // 2], 1).astype(">i4").tobytes()
-    for ending, content in ((".dbf", _table(names, rows)), (".shx", _header(100 + len(index), boxes) + index), (".shp", _header(100 + len(body), boxes) + body)):
-        with system.open_output_stream(stem + ending) as out:
-            out.write(content)
-    return len(records)
+    def add(self, value: str | None) -> int:
+        cell = (value or "").encode()
+        self.text += cell
+        self.ends.append(len(self.text))
+        self.widest = max(self.widest, len(cell))
+        return len(cell)
+
+    def padded(self, first: int, last: int) -> np.ndarray:
+        """Values first to last as rows of bytes of one width, blanks behind them."""
+        bounds = np.frombuffer(self.ends, np.int64)
+        bounds = np.append(bounds[first - 1] if first else 0, bounds[first:last])
+        starts, lengths = bounds[:-1], np.diff(bounds)
+        out = np.full((last - first, self.widest), ord(" "), np.uint8)
+        row = np.repeat(np.arange(last - first), lengths)
+        out[row, np.arange(bounds[0], bounds[-1]) - starts[row]] = np.frombuffer(self.text, np.uint8)[bounds[0] : bounds[-1]]
+        return out
+
+
+class _File:
+    """A file that is being put together, as the bytes that it will have rather than as values."""
+
+    def __init__(self, names: list[str]):
+        self.names, self.cells, self.body, self.sizes, self.boxes, self.size = names, [_Cells() for _ in names], bytearray(), array("q"), array("d"), 0
+
+    def add(self, values: list[str | None], shape: list | None) -> None:
+        record, box = _record(shape)
+        self.sizes.append(len(record))
+        self.body += struct.pack(">2i", len(self.sizes), len(record) // 2) + record
+        self.boxes.extend(box or ())
+        self.size += len(record) + 8 + sum(c.add(v) for c, v in zip(self.cells, values))
+
+    def table(self) -> Iterator[bytes]:
+        sizes = [c.widest for c in self.cells]
+        if any(n > _WIDEST for n in sizes):
+            raise ValueError(f"an attribute is longer than {_WIDEST} bytes")
+        fields = b"".join(name.encode("ascii").ljust(11, b"\0") + b"C" + bytes(4) + bytes([size]) + bytes(15) for name, size in zip(self.names, sizes))
+        n = len(self.sizes)
+        yield struct.pack("<4BIHH20x", 3, 100, 1, 1, n, 33 + len(fields), 1 + sum(sizes)) + fields + b"\r"
+        for first in range(0, n, _BATCH):
+            last = min(n, first + _BATCH)
+            yield np.concatenate([np.full((last - first, 1), ord(" "), np.uint8), *[c.padded(first, last) for c in self.cells]], 1).tobytes()
+        yield b"\x1a"
+
+    def save(self, system: fs.FileSystem, stem: str) -> int:
+        sizes = np.frombuffer(self.sizes, np.int64)
+        places = 100 + np.cumsum(np.append(0, sizes + 8))
+        boxes = np.frombuffer(self.boxes, np.float64).reshape(-1, 4)
+        index = np.stack([places[:-1] // 2, sizes // 2], 1).astype(">i4").tobytes()
+        for ending, content in ((".dbf", self.table()), (".shx", (_header(100 + len(index), boxes), index)), (".shp", (_header(100 + len(self.body), boxes), self.body))):
+            with system.open_output_stream(stem + ending) as out:
+                for part in content:
+                    out.write(part)
+        return len(sizes)
 
 
 def write(features: DataFrame, path: str, file: int = FILE) -> int:
     """Write features to a folder: text columns of names of ten ASCII characters at most, and polygons. Returns their number.
 
-    Every task writes files of its own, a new one after each `file` bytes of points, whose names
+    Every task writes files of its own, a new one after each `file` bytes of geometry and attributes, whose names
     depend on the partition alone: a task that is run again writes the same files again. Outlines
     must run clockwise and holes counterclockwise.
     """
@@ -247,21 +285,16 @@ def write(features: DataFrame, path: str, file: int = FILE) -> int:
     def save(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, place = _opened(path)
         system.create_dir(place)
-        part, number, written, size = TaskContext.get().partitionId(), 0, 0, 0
-        rows: list[list[str | None]] = [[] for _ in names]
-        shapes: list[list | None] = []
+        part, number, written, growing = TaskContext.get().partitionId(), 0, 0, _File(names)
         for batch in batches:
             columns = [batch.column(c).to_pylist() for c in names]
             for n, shape in enumerate(batch.column("polygons")):
-                shapes.append(shape.as_py())
-                for values, column in zip(rows, columns):
-                    values.append(column[n])
-                size += 16 * sum(len(ring) for polygon in shapes[-1] or [] for ring in polygon)
-                if size >= file:
-                    written += _write_file(system, f"{place}/part-{part:05d}-{number:04d}", names, rows, shapes)
-                    rows, shapes, size, number = [[] for _ in names], [], 0, number + 1
-        if shapes:
-            written += _write_file(system, f"{place}/part-{part:05d}-{number:04d}", names, rows, shapes)
+                growing.add([column[n] for column in columns], shape.as_py())
+                if growing.size >= file:
+                    written += growing.save(system, f"{place}/part-{part:05d}-{number:04d}")
+                    growing, number = _File(names), number + 1
+        if growing.sizes:
+            written += growing.save(system, f"{place}/part-{part:05d}-{number:04d}")
         yield pa.RecordBatch.from_arrays([pa.array([written], pa.int64())], ["n"])
 
     return features.mapInArrow(save, "n long").groupBy().sum("n").first()[0] or 0

@@ -80,6 +80,13 @@ def test_refuses_other_geometry_and_long_names(spark, tmp_path):
         shapes.read(spark, str(tmp_path))
 
 
+def test_attributes_fill_a_file_too(spark, tmp_path):
+    given = [(str(i), "n" * (i % 200), None) for i in range(2500)]
+    assert shapes.write(spark.createDataFrame(given, SCHEMA).coalesce(1), str(tmp_path / "a"), file=150_000) == 2500
+    assert len(list((tmp_path / "a").glob("*.shp"))) == 2
+    assert rows(shapes.read(spark, str(tmp_path / "a"))) == sorted((int(a), b or None, c) for a, b, c in given)
+
+
 def test_empty(spark, tmp_path):
     assert shapes.write(spark.createDataFrame([], SCHEMA), str(tmp_path / "e")) == 0
 
