@@ -38,10 +38,11 @@ def split_bulletin(bulletins: DataFrame, raw: str = "raw") -> DataFrame:
     return bulletins.select(*rest, F.posexplode(each).alias("item", raw))
 
 
-def _with_others(rows: DataFrame, name: str) -> DataFrame:
-    """`rows` of __text and __words with a column of the values of convective and domestic advisories, and those that no format is needed for.
+def _with_others(rows: DataFrame, prefix: str, foreign: Column, shared: list[str]) -> DataFrame:
+    """`rows` of __text and __words with a column, named with the prefix, for each value of convective and domestic advisories.
 
-    The phrases that hold a value are a step, the values the next.
+    Those that no format is needed for are among them; the shared ones, which another reader gives too, are left
+    null where the advisory is foreign. The phrases that hold a value are a step, the values the next.
     """
     text, words = F.col("__text"), F.col("__words")
     ash, expected = after(words, "OBS AT"), F.coalesce(after(words, "FCST AT"), after(words, "FCST"))
@@ -61,7 +62,8 @@ def _with_others(rows: DataFrame, name: str) -> DataFrame:
         "__ash": F.when(says(words, "VOLCANIC ASH", "VA CLD"), F.slice(F.split(F.ltrim(ash), " "), 1, 2)),
         "__expected_ash": F.when(says(words, "VOLCANIC ASH", "VA CLD"), F.slice(F.split(F.ltrim(expected), " "), 1, 2)),
     }
-    rows = settled(rows, *[v.alias(k) for k, v in parts.items()])
+    own = {"__until", "__d1", "__d2", "__d3", "__d4", "__eruption_of", "__pair", "__moving", "__expected_ash"}  # what only shared values need
+    rows = settled(rows, *[(F.when(~foreign, v) if k in own else v).alias(k) for k, v in parts.items()])
 
     def behind(tail: str) -> Column:
         """The levels that stand behind a time."""
@@ -79,43 +81,43 @@ def _with_others(rows: DataFrame, name: str) -> DataFrame:
             F.when(says(words, "VOLCANIC ASH", "VA CLD", "VA ERUPTION"), "VOLCANIC_ASH"),
         )
     )
-    values = F.struct(
-        F.when(convective, "CONVECTIVE").when(text.rlike(r"\bSIGMET\b"), "NON_CONVECTIVE").alias("format"),
-        F.when(convective, c.number(c.found(text, _CONVECTIVE, 1))).otherwise(c.number(F.col("__d2"))).alias("number"),
-        F.when(convective, F.coalesce(c.found(text, _CONVECTIVE, 2), c.found(text, r"SIG([ECW])\b"))).alias("region"),
-        F.when(~convective, F.coalesce("__d1", c.found(text, r"CANCEL SIGMET\s+([A-Z0-9]+)"))).alias("seriesName"),
-        c.day_time_of(F.when(F.col("__d4").isNotNull(), F.col("__d3"))).alias("validFrom"),
-        c.day_time_of(F.coalesce("__d4", "__until")).alias("validTo"),
-        says(words, "CANCEL SIGMET", "CNL SIGMET").alias("isCancellation"),
-        F.coalesce(text.contains("CONVECTIVE SIGMET...NONE"), F.lit(False)).alias("isNone"),
-        _states(F.coalesce(c.found(text, r"(?:\d{4}Z?\s+|^)((?:[A-Z]{2}\s+)+(?:AND\s+)?(?:[A-Z]{2}\s+)*(?:CSTL\s+WTRS\s+)?)FROM\b"), F.lit(""))).alias("states"),
-        says(words, "CSTL WTRS").alias("coastalWaters"),
-        area_points(words).alias("areaPoints"),
-        F.when(says(words, "TS"), F.when(storm.contains(" AREA "), "AREA").when(storm.contains(" LINE "), "LINE").when(storm.contains(" ISOL "), "ISOLATED")).alias("thunderstormType"),
-        says(words, "SEV TS", "SEV EMBD TS").alias("isSevere"),
-        says(words, "EMBD").alias("isEmbedded"),
-        F.when(says(words, "NM WIDE"), c.number(F.substring_index(before(words, "NM WIDE"), " ", -1))).alias("lineWidthNm"),
-        tops(F.col("__behind_top")).alias("tops"),
-        says(words, "TORNADO", "TORNADOS", "TORNADOES").alias("hasTornadoes"),
-        hail_inches(F.col("__hail")).alias("hailSizeIn"),
-        c.number(F.rtrim(F.coalesce(word(words, "WIND GUSTS TO"), word(words, "WIND GUST TO")), F.lit("KT"))).alias("windGustsKt"),
-        hazards.alias("hazards"),
-        says(words, "OCNL SEV").alias("isOccasional"),
-        altitude_range_of(F.col("__pair")).alias("altitudes"),
-        sentence(text, "DUE TO").alias("cause"),
-        c.number(F.rtrim(word(words, "VIS BLW"), F.lit("SM"))).alias("visibilityBelowSm"),
-        movement_of(F.col("__moving")).alias("movement"),
-        intensity_change(words).alias("intensityChange"),
-        F.when(F.col("__volcano").isNotNull(), F.trim(F.get(F.split("__eruption_of", volcano, 2), F.lit(0)))).alias("volcanoName"),
-        c.lat_lon(F.col("__volcano")).alias("volcanoPosition"),
-        altitude_range_of(F.col("__ash_pair")).alias("ashCloudAltitudes"),
-        F.when(F.col("__expected_pair").isNotNull(), c.day_time_of(F.get("__expected_ash", F.lit(0)))).alias("forecastTime"),
-        altitude_range_of(F.col("__expected_pair")).alias("forecastAltitudes"),
-        c.day_time_of(F.col("__beyond")).alias("continuingBeyond"),
-        c.day_time_of(F.col("__by")).alias("endingBy"),
-        F.when(F.col("__outlook").isNotNull(), F.struct(c.day_time_of(F.get("__outlook", F.lit(0))).alias("validFrom"), c.day_time_of(F.get("__outlook", F.lit(1))).alias("validTo"))).alias("outlook"),
-    )
-    return settled(rows, values.alias(name))
+    values = {
+        "format": F.when(convective, "CONVECTIVE").when(text.rlike(r"\bSIGMET\b"), "NON_CONVECTIVE"),
+        "number": F.when(convective, c.number(c.found(text, _CONVECTIVE, 1))).otherwise(c.number(F.col("__d2"))),
+        "region": F.when(convective, F.coalesce(c.found(text, _CONVECTIVE, 2), c.found(text, r"SIG([ECW])\b"))),
+        "seriesName": F.when(~convective, F.coalesce("__d1", c.found(text, r"CANCEL SIGMET\s+([A-Z0-9]+)"))),
+        "validFrom": c.day_time_of(F.when(F.col("__d4").isNotNull(), F.col("__d3"))),
+        "validTo": c.day_time_of(F.coalesce("__d4", "__until")),
+        "isCancellation": says(words, "CANCEL SIGMET", "CNL SIGMET"),
+        "isNone": F.coalesce(text.contains("CONVECTIVE SIGMET...NONE"), F.lit(False)),
+        "states": _states(F.coalesce(c.found(text, r"(?:\d{4}Z?\s+|^)((?:[A-Z]{2}\s+)+(?:AND\s+)?(?:[A-Z]{2}\s+)*(?:CSTL\s+WTRS\s+)?)FROM\b"), F.lit(""))),
+        "coastalWaters": says(words, "CSTL WTRS"),
+        "areaPoints": area_points(words),
+        "thunderstormType": F.when(says(words, "TS"), F.when(storm.contains(" AREA "), "AREA").when(storm.contains(" LINE "), "LINE").when(storm.contains(" ISOL "), "ISOLATED")),
+        "isSevere": says(words, "SEV TS", "SEV EMBD TS"),
+        "isEmbedded": says(words, "EMBD"),
+        "lineWidthNm": F.when(says(words, "NM WIDE"), c.number(F.substring_index(before(words, "NM WIDE"), " ", -1))),
+        "tops": tops(F.col("__behind_top")),
+        "hasTornadoes": says(words, "TORNADO", "TORNADOS", "TORNADOES"),
+        "hailSizeIn": hail_inches(F.col("__hail")),
+        "windGustsKt": c.number(F.rtrim(F.coalesce(word(words, "WIND GUSTS TO"), word(words, "WIND GUST TO")), F.lit("KT"))),
+        "hazards": hazards,
+        "isOccasional": says(words, "OCNL SEV"),
+        "altitudes": altitude_range_of(F.col("__pair")),
+        "cause": sentence(text, "DUE TO"),
+        "visibilityBelowSm": c.number(F.rtrim(word(words, "VIS BLW"), F.lit("SM"))),
+        "movement": movement_of(F.col("__moving")),
+        "intensityChange": intensity_change(words),
+        "volcanoName": F.when(F.col("__volcano").isNotNull(), F.trim(F.get(F.split("__eruption_of", volcano, 2), F.lit(0)))),
+        "volcanoPosition": c.lat_lon(F.col("__volcano")),
+        "ashCloudAltitudes": altitude_range_of(F.col("__ash_pair")),
+        "forecastTime": F.when(F.col("__expected_pair").isNotNull(), c.day_time_of(F.get("__expected_ash", F.lit(0)))),
+        "forecastAltitudes": altitude_range_of(F.col("__expected_pair")),
+        "continuingBeyond": c.day_time_of(F.col("__beyond")),
+        "endingBy": c.day_time_of(F.col("__by")),
+        "outlook": F.when(F.col("__outlook").isNotNull(), F.struct(c.day_time_of(F.get("__outlook", F.lit(0))).alias("validFrom"), c.day_time_of(F.get("__outlook", F.lit(1))).alias("validTo"))),
+    }
+    return settled(rows, *[(F.when(~foreign, v) if k in shared else v).alias(f"{prefix}{k}") for k, v in values.items()])
 
 
 #: Columns of `parse_sigmet`; those of the second line come from either reader, those of the last from the international one alone.
@@ -132,18 +134,18 @@ def parse_sigmet(reports: DataFrame, raw: str = "raw") -> DataFrame:
     rest = [x for x in reports.columns if x != raw]
     rows = international.with_clauses(settled(reports, c.squeezed(F.col(raw)).alias("__text")), "__text")
     rows = settled(rows, F.coalesce(F.col("__content"), said(F.col("__text"))).alias("__words"))
-    rows = international.with_fields(_with_others(rows, "__o"), "__i")
     one, both, own = (line.split() for line in _SIGMET.split("\n"))
-    abroad = F.col("__i").isNotNull()
-    tops_ = F.col("__o.tops")
+    abroad = F.col("__head").isNotNull()
+    rows = international.with_fields(_with_others(rows, "__o_", abroad, both), "__i_")
+    tops_ = F.col("__o_tops")
     return rows.select(
         *rest,
         F.col("__text").alias("raw"),
-        F.when(abroad, "INTERNATIONAL").otherwise(F.col("__o.format")).alias("format"),
-        *[F.when(abroad, F.col(f"__i.{x}")).otherwise(F.col(f"__o.{x}")).alias(x) for x in both],
-        *[F.col(f"__o.{x}").alias(x) for x in one],
-        *[F.col(f"__i.{x}").alias(x) for x in own],
+        F.when(abroad, "INTERNATIONAL").otherwise(F.col("__o_format")).alias("format"),
+        *[F.coalesce(f"__i_{x}", f"__o_{x}").alias(x) for x in both],
+        *[F.col(f"__o_{x}").alias(x) for x in one],
+        *[F.col(f"__i_{x}").alias(x) for x in own],
         tops_["altitudeFt"].alias("topsFt"),
         F.coalesce(tops_["isAbove"], F.lit(False)).alias("topsAbove"),
-        F.when(~abroad & F.col("__o.format").isNull(), F.lit("no SIGMET")).alias("error"),
+        F.when(~abroad & F.col("__o_format").isNull(), F.lit("no SIGMET")).alias("error"),
     )

@@ -66,11 +66,13 @@ def _region(head: Column) -> Column:
 
 
 def _kind(piece: Column) -> Column:
-    """The kind of the clause that begins like this piece."""
-    out = F.when(piece.rlike(f"^{_LINE} "), "AREA").when(piece.rlike(f"^{_LEVELS}"), "LEVELS")
+    """The kind of the clause that begins like this piece: by its first word, or by two."""
+    single = F.create_map(*[F.lit(x) for item in OPENERS.items() if " " not in item[0] for x in item])
+    out = F.try_element_at(single, F.substring_index(piece, " ", 1))
     for opener, name in OPENERS.items():
-        out = out.when((piece == opener) | piece.startswith(f"{opener} "), name)
-    return out.otherwise("PHENOMENON")
+        if " " in opener:
+            out = F.coalesce(out, F.when((piece == opener) | piece.startswith(f"{opener} "), name))
+    return F.coalesce(out, F.when(piece.rlike(f"^{_LINE} "), "AREA"), F.when(piece.rlike(f"^{_LEVELS}"), "LEVELS"), F.lit("PHENOMENON"))
 
 
 def with_clauses(reports: DataFrame, text: str) -> DataFrame:
@@ -97,18 +99,25 @@ def clauses(reports: DataFrame, raw: str = "raw") -> DataFrame:
     return rows.select(*rest, F.posexplode("__clauses").alias("position", "__clause")).select(*rest, "position", "__clause.*")
 
 
-def with_fields(rows: DataFrame, name: str) -> DataFrame:
-    """`rows` of `with_clauses` with a column of all values, null for other formats.
+def with_fields(rows: DataFrame, prefix: str) -> DataFrame:
+    """`rows` of `with_clauses` with a column, named with the prefix, for each value, null for other formats.
 
     What a clause says is a step, what its words say the next; the last puts the values together.
     """
-    content, found = F.col("__content"), F.col("__clauses")
+    content, said, start = F.col("__content"), F.col("__clauses.text"), F.col("__start")
 
-    def first(kind: str, owner: str | None = None) -> Column:
-        held = F.filter(found, lambda x: (x["kind"] == kind) & (F.lit(True) if owner is None else x["owner"] == owner))
-        return F.get(held, F.lit(0))["text"]
+    def among(kinds: Column) -> Column:
+        return F.slice(kinds, start, F.size(kinds))
 
-    later = F.array_join(F.transform(F.filter(found, lambda x: x["owner"] == "FORECAST"), lambda x: x["text"]), " ")
+    def first(kind: str, owner: str | None = None) -> Column:
+        """The first clause of a kind, among all, those before the forecast or those of it."""
+        if owner == "FORECAST":
+            return F.get(among(said), F.array_position(among(F.col("__clauses.kind")), F.lit(kind)).cast("int") - 1)
+        at = F.array_position("__clauses.kind", F.lit(kind)).cast("int")
+        return F.get(said, (at if owner is None else F.when(at < start, at)) - 1)
+
+    later = F.array_join(among(said), " ")
+    rows = settled(rows, F.when(F.col("__forecast") > 0, F.col("__forecast").cast("int")).otherwise(F.size("__clauses") + 1).alias("__start"))
     rows = settled(
         rows, F.col("__name").rlike("^[A-Z]{4} .* ").alias("__coded"), p.after(content, "CNL SIGMET").alias("__ended"), c.some(later).alias("__later"), p.word(content, "TC").alias("__cyclone"), p.after(content, "VA ERUPTION").alias("__eruption"),
         first("OBS", "PRESENT").alias("__seen"), first("FCST", "PRESENT").isNotNull().alias("__foreseen"), F.coalesce(first("AREA", "PRESENT"), first("AREA")).alias("__place"), first("AREA", "FORECAST").alias("__later_place"),
@@ -138,7 +147,7 @@ def with_fields(rows: DataFrame, name: str) -> DataFrame:
     def ends(span: Column) -> list[Column]:
         return [c.day_time_of(F.substring_index(span, "/", 1)).alias("validFrom"), c.day_time_of(F.substring_index(span, "/", -1)).alias("validTo")]
 
-    values = F.struct(
+    values = [
         series.alias("seriesName"), number.alias("number"), *ends(head["window"]),
         head["station"].alias("issuingStation"), F.coalesce(head["code"], F.when(F.col("__coded"), F.substring(region, 1, 4))).alias("firCode"),
         c.some(F.when(F.col("__coded"), F.substring(region, 6, 999)).otherwise(region)).alias("firName"), F.col("__ended").isNotNull().alias("isCancellation"),
@@ -153,5 +162,6 @@ def with_fields(rows: DataFrame, name: str) -> DataFrame:
         F.col("__later_area").alias("forecastArea"), p.altitude_range_of(F.col("__later_pair")).alias("forecastAltitudes"),
         F.when(eruption.isNotNull(), p.before(eruption, "PSN")).alias("volcanoName"), p.position(p.after(eruption, "PSN")).alias("volcanoPosition"),
         F.trim(head["more"]).alias("additionalInfo"),
-    )
-    return settled(rows, F.when(head.isNotNull(), values).alias(name))
+    ]
+    names = rows.select(*values).columns
+    return settled(rows, *[F.when(head.isNotNull(), v).alias(f"{prefix}{n}") for n, v in zip(names, values)])
