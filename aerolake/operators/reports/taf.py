@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..steps import settled
 from . import common as c
 
 _HEAD = rf"^TAF\s(?:(AMD|COR)\s)?(\S+)\s(\d{{2}})(\d{{2}})(\d{{2}})Z\s(\d{{2}})(\d{{2}})/(\d{{2}})(\d{{2}})(?:\s(.*))?$"
@@ -33,8 +34,8 @@ def _layers(text: Column, first: str) -> Column:
     return F.transform(found, layer)
 
 
-def _group(g: Column) -> Column:
-    """A forecast group from the groups of its text."""
+def _values(g: Column) -> list[Column]:
+    """The values of a forecast group from the groups of its text."""
 
     def part(n: int) -> Column:
         return c.some(F.get(g, F.lit(n - 1)))
@@ -44,7 +45,7 @@ def _group(g: Column) -> Column:
     sky = c.sky(F.coalesce(part(10), F.lit("")), cavok, "SKC")
     shear = r"^WS(\d{3})/(\d{3})(\d{2,3})KT$"
     fm = part(1)
-    return F.struct(
+    return [
         F.when(fm.isNotNull(), "FM").otherwise(part(3)).alias("changeType"),
         c.number(F.substring(part(2), 5, 2)).alias("probability"),
         F.coalesce(c.day_time(F.substring(fm, 1, 2), F.substring(fm, 3, 2), F.substring(fm, 5, 2)), _period(part(4), 1)).alias("start"),
@@ -65,12 +66,25 @@ def _group(g: Column) -> Column:
         ).alias("windShear"),
         _layers(F.coalesce(part(12), F.lit("")), "5").alias("turbulence"),
         _layers(F.coalesce(part(12), F.lit("")), "6").alias("icing"),
-    )
+    ]
 
 
-def _rated(x: Column) -> Column:
+def _category(x: Column | dict[str, Column]) -> Column:
     seen = x["visibility"]
-    return x.withField("flightCategory", c.flight_category(seen["visibilitySm"], F.coalesce(seen["isLessThan"], F.lit(False)), x["sky"], x["isCavok"]))
+    return c.flight_category(seen["visibilitySm"], F.coalesce(seen["isLessThan"], F.lit(False)), x["sky"], x["isCavok"])
+
+
+def _with_texts(reports: DataFrame, raw: str) -> DataFrame:
+    """`reports` with __text, the groups __g of its head, __cancelled, and __texts of its forecast groups."""
+    rows = settled(reports, c.squeezed(F.col(raw)).alias("__text"))
+    rows = settled(rows, c.groups(F.col("__text"), _HEAD, 10).alias("__g"))
+    body = F.coalesce(c.some(F.get("__g", F.lit(9))), F.lit(""))
+    # a group begins at each change word, but TEMPO right after a probability belongs to it
+    cut = F.regexp_replace(body, rf"\s({_START}){c.END}", "\x01$1")
+    cut = F.regexp_replace(cut, r"(^|\x01)(PROB[34]0)\x01TEMPO", "$1$2 TEMPO")
+    rows = settled(rows, body.rlike(r"^CNL(\s|$)").alias("__cancelled"))
+    texts = F.when(F.col("__cancelled") | F.col("__g").isNull(), F.array().cast("array<string>")).otherwise(F.filter(F.split(cut, "\x01"), lambda t: t != ""))
+    return settled(rows, texts.alias("__texts"))
 
 
 def parse(reports: DataFrame, raw: str = "raw") -> DataFrame:
@@ -79,20 +93,13 @@ def parse(reports: DataFrame, raw: str = "raw") -> DataFrame:
     Each step's results are columns of the next: an expression that is looked at twice runs once.
     """
     kept = [x for x in reports.columns if x != raw]
-    rows = reports.select(*kept, c.squeezed(F.col(raw)).alias("__text"))
-    rows = rows.withColumn("__g", c.groups(F.col("__text"), _HEAD, 10))
+    rows = settled(_with_texts(reports, raw), F.transform("__texts", lambda t: c.groups(t, _GROUP, 12)).alias("__groups"))
+    rows = settled(rows, F.transform("__groups", lambda g: F.struct(*_values(g))).alias("__forecast"))
+    rows = settled(rows, F.transform("__forecast", lambda x: x.withField("flightCategory", _category(x))).alias("__rated"))
 
     def part(n: int) -> Column:
         return c.some(F.get("__g", F.lit(n - 1)))
 
-    body = F.coalesce(part(10), F.lit(""))
-    # a group begins at each change word, but TEMPO right after a probability belongs to it
-    cut = F.regexp_replace(body, rf"\s({_START}){c.END}", "\x01$1")
-    cut = F.regexp_replace(cut, r"(^|\x01)(PROB[34]0)\x01TEMPO", "$1$2 TEMPO")
-    rows = rows.withColumn("__cancelled", body.rlike(r"^CNL(\s|$)"))
-    texts = F.when(F.col("__cancelled") | F.col("__g").isNull(), F.array().cast("array<string>")).otherwise(F.filter(F.split(cut, "\x01"), lambda t: t != ""))
-    rows = rows.withColumn("__groups", F.transform(texts, lambda t: c.groups(t, _GROUP, 12)))
-    rows = rows.withColumn("__forecast", F.transform("__groups", _group))
     minute = F.lit("0")
     return rows.select(
         *kept,
@@ -104,7 +111,7 @@ def parse(reports: DataFrame, raw: str = "raw") -> DataFrame:
         F.col("__cancelled").alias("isCancelled"),
         c.day_time(part(6), part(7), minute).alias("validFrom"),
         c.day_time(part(8), part(9), minute).alias("validTo"),
-        F.transform("__forecast", _rated).alias("forecast"),
+        F.col("__rated").alias("forecast"),
         F.when(F.col("__g").isNull(), F.lit("no TAF header with issue time and validity")).alias("error"),
     )
 
@@ -112,3 +119,17 @@ def parse(reports: DataFrame, raw: str = "raw") -> DataFrame:
 def groups(parsed: DataFrame) -> DataFrame:
     """One row per forecast group, with its position."""
     return parsed.select("stationId", F.posexplode("forecast").alias("pos", "g")).select("stationId", "pos", "g.*")
+
+
+def forecasts(reports: DataFrame, raw: str = "raw") -> DataFrame:
+    """One row per forecast group of each report, with its position from 0 and its values, as `parse` lists them.
+
+    Groups are rows before they are read, and values that nothing uses are not read.
+    """
+    kept = [x for x in reports.columns if x != raw]
+    rows = _with_texts(reports, raw).select(*kept, F.posexplode("__texts").alias("pos", "__said"))
+    rows = settled(rows, c.groups(F.col("__said"), _GROUP, 12).alias("__parts"))
+    values = _values(F.col("__parts"))
+    names = rows.select(*values).columns
+    rows = settled(rows, *values).drop("__said", "__parts")
+    return settled(rows, _category({n: F.col(n) for n in names}).alias("flightCategory"))

@@ -107,3 +107,11 @@ def test_routes(spark):
 def test_advisories(spark):
     read = _read(spark, advisories.parse_sigmet, "CONVECTIVE SIGMET 45C\nVALID UNTIL 2055Z\nTX OK\nFROM 30NW OKC-40S TUL-30W DFW-30NW OKC\nAREA SEV TS MOV FROM 26025KT. TOPS ABV FL450.")
     assert len(read) == 1
+
+
+def test_forecast_groups_are_what_the_reports_list(spark):
+    said = ["TAF KJFK 121130Z 1212/1318 31015KT P6SM SCT040 FM121800 28012G20KT 3SM BR OVC008 PROB30 TEMPO 1220/1222 1/2SM FG VV002", "TAF KABC 121130Z 1212/1318 CNL", "no forecast"]
+    rows = spark.createDataFrame(list(enumerate(said)), "n int, raw string")
+    listed = [(r["n"], i, g.asDict(recursive=True)) for r in taf.parse(rows).orderBy("n").collect() for i, g in enumerate(r["forecast"] or [])]
+    found = [r.asDict(recursive=True) for r in taf.forecasts(rows).orderBy("n", "pos").collect()]
+    assert [(r.pop("n"), r.pop("pos"), r) for r in found] == listed and len(listed) == 3
