@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..steps import settled
 from . import common as c
 
 # fixed values: the fields of a pilot report
@@ -69,11 +70,11 @@ def _sky(text: Column) -> Column:
 
 
 def _columns(text: Column, f: Column) -> list[Column]:
-    """All that a report says, from its text and the map of its fields."""
+    """All that a report says, from its text, the map of its fields, and the fields as columns of their own."""
     kind = c.found(text, r"(?:^|\s)(UUA|UA)(?=\s|/|$)")
 
     def field(name: str) -> Column:
-        return c.some(f[name])
+        return F.col(f"__{name}")
 
     where, level, temperature = field("OV"), field("FL"), field("TA")
     air = r"^(\d{3})(\d{2,3})(?:KT)?$"
@@ -108,6 +109,10 @@ def _columns(text: Column, f: Column) -> list[Column]:
 def parse(reports: DataFrame, raw: str = "raw") -> DataFrame:
     """`reports` with the columns of each report; `error` says why one cannot be read."""
     rest = [x for x in reports.columns if x != raw]
-    rows = reports.select(*rest, c.squeezed(F.col(raw)).alias("__text"))
-    rows = rows.withColumn("__fields", fields(F.coalesce("__text", F.lit(""))))
-    return rows.select(*rest, *_columns(F.col("__text"), F.col("__fields")))
+    rows = settled(reports, c.squeezed(F.col(raw)).alias("__text"))
+    rows = settled(rows, fields(F.coalesce("__text", F.lit(""))).alias("__fields"))
+    rows = settled(rows, *[c.some(F.col("__fields")[name]).alias(f"__{name}") for name in _FIELDS])
+    values = _columns(F.col("__text"), F.col("__fields"))
+    names = rows.select(*values).columns
+    rows = settled(rows, *[v.alias(f"__v_{n}") for n, v in zip(names, values)])
+    return rows.select(*rest, *[F.col(f"__v_{n}").alias(n) for n in names])
