@@ -23,7 +23,19 @@ HAZARDS = {
 OPENERS = {
     rf"AIRMET (?:{'|'.join(HAZARDS)})\b": "HAZARD", r"LLWS POTENTIAL\b": "SHEAR", r"OTLK VALID\b": "OUTLOOK", r"AREA \d+ ?\.{3}": "AREA", r"FRZLVL ?\.{3}": "FREEZING", r"NO SIGNIFICANT\b": "NIL",
 }
-_CUTS = "|".join(rf"(?=\b{x})" for x in OPENERS)
+_CUTS = rf"\b(?={'|'.join(OPENERS)})"
+
+
+_HEAD = r"\bAIRMET (SIERRA|TANGO|ZULU) (?:UPDT (\d+) )?FOR (.+?) VALID UNTIL (\d{4,6})"
+# fixed values: the values of an outlook's area
+_OUTLOOK = ("hazardType", "states", "boundedBy", "altitudes", "condition", "description", "conditions")
+
+#: What a section says, by name: a struct, or columns.
+Values = Column | dict[str, Column]
+
+
+def _with_head(rows: DataFrame) -> DataFrame:
+    return settled(rows, c.found(F.col("__text"), _HEAD, 0).alias("__head"))
 
 
 def _section(text: Column, outlook: Column) -> Column:
@@ -72,7 +84,7 @@ def _spans(tail: Column) -> dict[str, Column]:
     }
 
 
-def _times(x: Column) -> dict[str, Column]:
+def _times(x: Values) -> dict[str, Column]:
     """What `_spans` wrote, as times."""
 
     def end(parts: str, n: int) -> Column:
@@ -84,7 +96,7 @@ def _times(x: Column) -> dict[str, Column]:
     }
 
 
-def _conditions(x: Column) -> Column:
+def _conditions(x: Values) -> Column:
     """DEVELOPING, CONTINUING or ENDING with all its times, and the start and end that they come to."""
     status, t = x["status"], x["times"]
     named = F.when(status == "DVLPG", "DEVELOPING").when(status == "CONTG", "CONTINUING").when(status == "ENDG", "ENDING")
@@ -110,7 +122,7 @@ def _condition(words: Column) -> Column:
     )
 
 
-def _description(x: Column) -> Column:
+def _description(x: Values) -> Column:
     """The condition with the levels of turbulence or ice, and the freezing levels named with them."""
     pair, freezing = x["pair"], word(x["said"], "FRZLVL")
     layer = x["condition"].isin("MOD TURB", "SEV TURB", "MOD ICE", "SEV ICE")
@@ -122,73 +134,108 @@ def _description(x: Column) -> Column:
     ).otherwise(x["condition"])
 
 
-def _area(x: Column) -> Column:
+def _area(x: Values) -> list[Column]:
     """The values of a hazard, of wind shear or of an outlook's area."""
     named = F.when(x["kind"] == "SHEAR", "LOW_LEVEL_WIND_SHEAR")
     for written, name in HAZARDS.items():
         named = F.when(x["written"] == written, name).otherwise(named)
-    return F.struct(
-        x["kind"].alias("kind"),
-        x["number"].alias("areaNumber"),
-        F.get(x["window"], F.lit(0)).alias("from"),
-        F.get(x["window"], F.lit(1)).alias("to"),
-        F.struct(
-            named.alias("hazardType"),
-            F.filter(F.split(F.regexp_replace(x["where"], r"\b(AND|CSTL|WTRS)\b", " "), r"[\s,]+"), lambda s: s.rlike("^[A-Z]{2,3}$")).alias("states"),
-            F.coalesce(x["where"].rlike(r"\bCSTL WTRS\b|\bAND CSTL\b"), F.lit(False)).alias("coastalWaters"),
-            area_points(x["said"]).alias("areaPoints"),
-            _points(x["said"]).alias("boundedBy"),
-            altitude_range_of(x["pair"]).alias("altitudes"),
-            x["condition"].alias("condition"),
-            _description(x).alias("description"),
-            sentence(x["text"], "DUE TO").alias("cause"),
-            _conditions(x).alias("conditions"),
-            x["text"].alias("raw"),
-        ).alias("values"),
-    )
+    return [
+        named.alias("hazardType"),
+        F.filter(F.split(F.regexp_replace(x["where"], r"\b(AND|CSTL|WTRS)\b", " "), r"[\s,]+"), lambda s: s.rlike("^[A-Z]{2,3}$")).alias("states"),
+        F.coalesce(x["where"].rlike(r"\bCSTL WTRS\b|\bAND CSTL\b"), F.lit(False)).alias("coastalWaters"),
+        area_points(x["said"]).alias("areaPoints"),
+        _points(x["said"]).alias("boundedBy"),
+        altitude_range_of(x["pair"]).alias("altitudes"),
+        x["condition"].alias("condition"),
+        _description(x).alias("description"),
+        sentence(x["text"], "DUE TO").alias("cause"),
+        _conditions(x).alias("conditions"),
+        x["text"].alias("raw"),
+    ]
+
+
+def _heading(s: Column) -> list[Column]:
+    """Of a section: its kind, text and words, the states, the outlook's times, and the hazard and number as written."""
+    kinds = "|".join(HAZARDS)
+    # the states stand between the stops behind the heading, or an area's kind, and the points
+    behind = F.get(F.split(s["text"], r"\.{3} ?", 2), F.lit(1))
+    where = F.substring_index(F.substring_index(F.regexp_replace(behind, rf"^(?:{kinds}) ", ""), " FROM ", 1), " BOUNDED BY ", 1)
+    return [
+        s["kind"].alias("kind"), s["text"].alias("text"), said(s["text"]).alias("said"), where.alias("where"), F.split(s["valid"], "-").alias("window"),
+        F.regexp_extract(s["text"], rf"^(?:AIRMET |AREA \d+ ?\.{{3}} ?)({kinds})\b", 1).alias("written"), c.number(F.regexp_extract(s["text"], r"^AREA (\d+)", 1)).alias("number"),
+    ]
+
+
+def _phrases(x: Values) -> list[Column]:
+    """What follows CONDS, the two levels, or for a hazard of turbulence that lies below one, nothing and that one, and the weather."""
+    top = word(x["said"], "TURB BLW")
+    pair = F.coalesce(levels(x["said"]), F.when((x["kind"] == "HAZARD") & altitude_ft(top).isNotNull(), F.array(F.lit(None).cast("string"), top)))
+    return [after(x["said"], "CONDS").alias("tail"), pair.alias("pair"), _condition(x["said"]).alias("condition")]
+
+
+#: Steps by which a section is read; each gives names to the next.
+_STEPS = [_heading, _phrases, lambda x: [v.alias(k) for k, v in _spans(x["tail"]).items()], lambda x: [F.struct(*[v.alias(k) for k, v in _times(x).items()]).alias("times")]]
+
+
+def _owned(s: Column) -> Column:
+    """Whether a section is a hazard, a potential of wind shear, or an area of an outlook."""
+    return s["kind"].isin("HAZARD", "SHEAR") | ((s["kind"] == "AREA") & s["valid"].isNotNull())
 
 
 def _with_areas(rows: DataFrame) -> DataFrame:
     """__areas: the hazards, potentials of wind shear and outlook areas among the __sections."""
-    kinds = "|".join(HAZARDS)
-
-    def where(s: Column) -> Column:
-        """The states: what stands between the stops behind the heading, or an area's kind, and the points."""
-        behind = F.get(F.split(s["text"], r"\.{3} ?", 2), F.lit(1))
-        return F.substring_index(F.substring_index(F.regexp_replace(behind, rf"^(?:{kinds}) ", ""), " FROM ", 1), " BOUNDED BY ", 1)
-
-    def pair(x: Column) -> Column:
-        """The two levels, or for a hazard of turbulence that lies below one, nothing and that one."""
-        top = word(x["said"], "TURB BLW")
-        return F.coalesce(levels(x["said"]), F.when((x["kind"] == "HAZARD") & altitude_ft(top).isNotNull(), F.array(F.lit(None).cast("string"), top)))
-
-    def fields(x: Column, *names: str) -> list[Column]:
-        return [x[n].alias(n) for n in names]
-
-    owned = F.filter("__sections", lambda s: s["kind"].isin("HAZARD", "SHEAR") | ((s["kind"] == "AREA") & s["valid"].isNotNull()))
-    first = F.transform(
-        owned,
-        lambda s: F.struct(
-            *fields(s, "kind", "text"), said(s["text"]).alias("said"), where(s).alias("where"), F.split(s["valid"], "-").alias("window"),
-            F.regexp_extract(s["text"], rf"^(?:AIRMET |AREA \d+ ?\.{{3}} ?)({kinds})\b", 1).alias("written"), c.number(F.regexp_extract(s["text"], r"^AREA (\d+)", 1)).alias("number"),
-        ),
-    )
-    kept = ["kind", "text", "said", "where", "window", "written", "number"]
-    rows = settled(rows, first.alias("__a"))
-    second = F.transform("__a", lambda x: F.struct(*fields(x, *kept), after(x["said"], "CONDS").alias("tail"), pair(x).alias("pair"), _condition(x["said"]).alias("condition")))
-    rows = settled(rows, second.alias("__b"))
-    kept += ["pair", "condition"]
-    third = F.transform("__b", lambda x: F.struct(*fields(x, *kept), *[v.alias(k) for k, v in _spans(x["tail"]).items()]))
-    rows = settled(rows, third.alias("__c"))
-    kept += ["status", "isAfter"]
-    fourth = F.transform("__c", lambda x: F.struct(*fields(x, *kept), F.struct(*[v.alias(k) for k, v in _times(x).items()]).alias("times")))
-    rows = settled(rows, fourth.alias("__d"))
-    return settled(rows, F.transform("__d", _area).alias("__areas")).drop("__a", "__b", "__c", "__d")
+    given, known = F.filter("__sections", _owned), []
+    for n, step in enumerate(_STEPS):
+        read = F.transform(given, lambda x: F.struct(*[x[k].alias(k) for k in known], *step(x)))  # noqa: B023
+        rows = settled(rows, read.alias(f"__a{n}"))
+        given = F.col(f"__a{n}")
+        known = rows.schema[f"__a{n}"].dataType.elementType.names
+
+    def area(x: Column) -> Column:
+        return F.struct(x["kind"].alias("kind"), x["number"].alias("areaNumber"), F.get(x["window"], F.lit(0)).alias("from"), F.get(x["window"], F.lit(1)).alias("to"), F.struct(*_area(x)).alias("values"))
+
+    return settled(rows, F.transform(given, area).alias("__areas")).drop(*[f"__a{n}" for n in range(len(_STEPS))])
+
+
+def _area_rows(reports: DataFrame, raw: str, kinds: list[str]) -> tuple[DataFrame, list[str]]:
+    """One row for each section of the kinds given, in order from 0, its values columns, and their names.
+
+    Sections are rows before they are read, and what nothing uses is not read.
+    """
+    kept = [x for x in reports.columns if x != raw]
+    rows = _with_head(settled(reports, c.squeezed(F.col(raw)).alias("__text")))
+    rows = _with_sections(rows, F.col("__text"))
+    held = F.filter("__sections", lambda s: _owned(s) & s["kind"].isin(kinds))
+    rows = settled(rows, held.alias("__held")).select(*kept, "__head", F.posexplode("__held").alias("pos", "__s"))
+    x: dict[str, Column] = {}
+    for step in _STEPS:
+        made = step(x or F.col("__s"))
+        names = rows.select(*made).columns
+        rows = settled(rows, *[v.alias(f"__{n}") for n, v in zip(names, made)])
+        x |= {n: F.col(f"__{n}") for n in names}
+    values = _area(x)
+    names = rows.select(*values).columns
+    return settled(rows, *[v.alias(n) for n, v in zip(names, values)]), names
+
+
+def hazards(reports: DataFrame, raw: str = "raw") -> DataFrame:
+    """One row per hazard or potential of wind shear of each bulletin: series, updateNumber, pos, and the values that `parse_airmet` lists."""
+    kept = [x for x in reports.columns if x != raw]
+    rows, names = _area_rows(reports, raw, ["HAZARD", "SHEAR"])
+    return rows.select(*kept, c.found(F.col("__head"), _HEAD, 1).alias("series"), c.number(c.found(F.col("__head"), _HEAD, 2)).alias("updateNumber"), "pos", *names)
+
+
+def outlooks(reports: DataFrame, raw: str = "raw") -> DataFrame:
+    """One row per outlook area of each bulletin: pos, areaNumber, validFrom, validTo, and the values that `parse_airmet` lists."""
+    kept = [x for x in reports.columns if x != raw]
+    rows, names = _area_rows(reports, raw, ["AREA"])
+    ends = [c.day_time_of(F.get("__window", F.lit(n))).alias(name) for n, name in enumerate(("validFrom", "validTo"))]
+    return rows.select(*kept, "pos", F.col("__number").alias("areaNumber"), *ends, *[n for n in names if n in _OUTLOOK])
 
 
 def _with_freezing(rows: DataFrame) -> DataFrame:
     """__freezing of the last section of freezing levels: the range over the area, contours, and areas of several levels."""
-    lines = r"(?= MULT FRZLVL )|(?= (?:SFC|\d{3}) ALG )|(?= (?:SFC|\d{3})-\d{3} [NS] OF )"
+    lines = r"(?= (?:MULT FRZLVL |(?:SFC|\d{3}) ALG |(?:SFC|\d{3})-\d{3} [NS] OF ))"
     body = F.get(F.split(F.element_at(F.filter("__sections", lambda s: s["kind"] == "FREEZING"), -1)["text"], r"^FRZLVL ?\.{3}", 2), F.lit(1))
     rows = settled(rows, F.transform(F.split(said(F.when(F.size(F.filter("__sections", lambda s: s["kind"] == "FREEZING")) > 0, body)), lines), lambda p: F.trim(p)).alias("__lines"))
 
@@ -229,9 +276,8 @@ def _with_freezing(rows: DataFrame) -> DataFrame:
 def parse_airmet(reports: DataFrame, raw: str = "raw") -> DataFrame:
     """The values of each bulletin, empty lists and nulls where it has none; error where its series is none."""
     rest = [x for x in reports.columns if x != raw]
-    head = r"\bAIRMET (SIERRA|TANGO|ZULU) (?:UPDT (\d+) )?FOR (.+?) VALID UNTIL (\d{4,6})"
     rows = settled(reports, c.squeezed(F.col(raw)).alias("__text"))
-    rows = settled(rows, c.found(F.col("__text"), head, 0).alias("__head"), c.found(F.col("__text"), r"\b[A-Z]{3,4} WA \d{6}\b", 0).alias("__office"))
+    rows = settled(_with_head(rows), c.found(F.col("__text"), r"\b[A-Z]{3,4} WA \d{6}\b", 0).alias("__office"))
     rows = _with_freezing(_with_areas(_with_sections(rows, F.col("__text"))))
     first, office, areas = F.col("__head"), F.col("__office"), F.col("__areas")
 
@@ -240,17 +286,16 @@ def parse_airmet(reports: DataFrame, raw: str = "raw") -> DataFrame:
 
     def outlook(a: Column) -> Column:
         v = a["values"]
-        names = ("hazardType", "states", "boundedBy", "altitudes", "condition", "description", "conditions")
-        return F.struct(a["areaNumber"].alias("areaNumber"), c.day_time_of(a["from"]).alias("validFrom"), c.day_time_of(a["to"]).alias("validTo"), *[v[n].alias(n) for n in names])
+        return F.struct(a["areaNumber"].alias("areaNumber"), c.day_time_of(a["from"]).alias("validFrom"), c.day_time_of(a["to"]).alias("validTo"), *[v[n].alias(n) for n in _OUTLOOK])
 
     return rows.select(
         *rest,
         F.col("__text").alias("raw"),
-        c.found(first, head, 1).alias("series"),
-        c.number(c.found(first, head, 2)).alias("updateNumber"),
-        c.found(first, head, 3).alias("purposes"),
-        F.transform(F.split(c.found(first, head, 3), r"\s+AND\s+"), lambda p: F.trim(p)).alias("products"),
-        c.day_time_of(c.found(first, head, 4)).alias("validUntil"),
+        c.found(first, _HEAD, 1).alias("series"),
+        c.number(c.found(first, _HEAD, 2)).alias("updateNumber"),
+        c.found(first, _HEAD, 3).alias("purposes"),
+        F.transform(F.split(c.found(first, _HEAD, 3), r"\s+AND\s+"), lambda p: F.trim(p)).alias("products"),
+        c.day_time_of(c.found(first, _HEAD, 4)).alias("validUntil"),
         F.substring_index(office, " ", 1).alias("issuingOffice"),
         c.day_time_of(F.substring_index(office, " ", -1)).alias("issuedAt"),
         F.transform(F.filter(areas, lambda a: a["kind"] != "AREA"), lambda a: a["values"]).alias("hazards"),

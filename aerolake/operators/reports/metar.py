@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..steps import settled
 from . import common as c
 from . import remarks as groups
 
@@ -49,9 +50,8 @@ def _signed_tenths(text: Column) -> Column:
     return F.when(F.substring(text, 1, 1) == "1", -value).otherwise(value)
 
 
-def remarks(text: Column, hour: Column, cut: Column) -> Column:
-    """The groups of a remarks section, coded ones and those of its clauses; groups that are missing are null."""
-    t = F.concat(F.lit(" "), text, F.lit(" "))
+def remarks(text: Column, t: Column, hour: Column, cut: Column) -> list[Column]:
+    """The groups of a remarks section, coded ones and those of its clauses; groups that are missing are null. t is the text between blanks."""
 
     def code(pattern: str, group: int = 1) -> Column:
         return c.found(t, rf"\s{pattern}(?=\s)", group)
@@ -63,7 +63,7 @@ def remarks(text: Column, hour: Column, cut: Column) -> Column:
     peak = r"PK\s+WND\s+(\d{3})(\d{2,3})/(\d{2})?(\d{2})"
     shift = r"WSHFT\s+(\d{2})?(\d{2})(\s+FROPA)?"
     peak_hour = F.coalesce(c.number(code(peak, 3)), hour)
-    return F.struct(
+    return [
         text.alias("raw"),
         code(r"(AO[12])").alias("stationType"),
         F.when(pressure >= 500, 900 + pressure / 10).otherwise(1000 + pressure / 10).alias("seaLevelPressureHpa"),
@@ -92,10 +92,10 @@ def remarks(text: Column, hour: Column, cut: Column) -> Column:
         F.array_distinct(F.regexp_extract_all(t, F.lit(r"\s(RVRNO|PWINO|PNO|FZRANO|TSNO|VISNO|CHINO|SLPNO)(?=\s)"), F.lit(1))).alias("sensorStatus"),
         t.rlike(r"\s\$\s").alias("isMaintenanceNeeded"),
         *groups.details(cut, hour),
-    )
+    ]
 
 
-def _fields(text: Column, g: Column, rest: Column, cut: Column) -> list[Column]:
+def _fields(text: Column, g: Column, rest: Column, spaced: Column, cut: Column) -> list[Column]:
     """All that an observation says, from the groups of its body and its remarks."""
 
     def part(n: int) -> Column:
@@ -124,21 +124,37 @@ def _fields(text: Column, g: Column, rest: Column, cut: Column) -> list[Column]:
         F.when(altimeter.startswith("A"), value / 100).alias("altimeterInHg"),
         F.when(altimeter.startswith("Q"), value).alias("altimeterHpa"),
         F.coalesce(part(18).rlike(r"(^|\s)NOSIG(\s|$)"), F.lit(False)).alias("isNoSignificantChange"),
-        F.when(rest.isNotNull(), remarks(rest, c.number(part(4)), cut)).alias("remarks"),
+        F.when(rest.isNotNull(), F.struct(*remarks(rest, spaced, c.number(part(4)), cut))).alias("remarks"),
     ]
 
 
+def _with_parts(reports: DataFrame, raw: str) -> DataFrame:
+    """`reports` with __text, its __halves, the groups __g of the body, and the remarks' text between blanks and clauses."""
+    rows = settled(reports, F.trim(raw).alias("__text"))
+    rows = settled(rows, F.split("__text", r"\sRMK\s", 2).alias("__halves"))
+    body, rest = F.get("__halves", F.lit(0)), F.get("__halves", F.lit(1))
+    return settled(rows, c.groups(body, _BODY, _GROUPS).alias("__g"), F.concat(F.lit(" "), rest, F.lit(" ")).alias("__spaced"), groups.clauses(rest).alias("__cut"))
+
+
 def parse(reports: DataFrame, raw: str = "raw") -> DataFrame:
     """`reports` with the columns of each observation; `error` says why one cannot be read.
 
     Each step's results are columns of the next: an expression that is looked at twice runs once.
     """
     kept = [x for x in reports.columns if x != raw]
-    rows = reports.select(*kept, F.trim(raw).alias("__text"))
-    rows = rows.withColumn("__halves", F.split("__text", r"\sRMK\s", 2))
-    rows = rows.withColumn("__g", c.groups(F.get("__halves", F.lit(0)), _BODY, _GROUPS))
-    rows = rows.withColumn("__cut", groups.clauses(F.get("__halves", F.lit(1))))
-    rows = rows.select(*kept, "__g", *_fields(F.col("__text"), F.col("__g"), F.get("__halves", F.lit(1)), F.col("__cut")))
+    rows = _with_parts(reports, raw)
+    rows = rows.select(*kept, "__g", *_fields(F.col("__text"), F.col("__g"), F.get("__halves", F.lit(1)), F.col("__spaced"), F.col("__cut")))
     category = c.flight_category(F.col("visibility.visibilitySm"), F.coalesce("visibility.isLessThan", F.lit(False)), F.col("sky"), F.col("isCavok"))
     error = F.when(F.col("__g").isNull(), F.lit("no station and observation time"))
     return rows.withColumn("flightCategory", category).withColumn("error", error).drop("__g")
+
+
+def parse_remarks(reports: DataFrame, raw: str = "raw") -> DataFrame:
+    """`reports` with the fields of `remarks` as columns of their own, null without remarks; those that nothing uses are not read."""
+    kept = [x for x in reports.columns if x != raw]
+    rows = _with_parts(reports, raw)
+    rest = F.get("__halves", F.lit(1))
+    values = remarks(rest, F.col("__spaced"), c.number(c.some(F.get("__g", F.lit(3)))), F.col("__cut"))
+    names = rows.select(*values).columns
+    made = settled(rows.select(*kept, "__halves", "__g", "__spaced", "__cut"), *[F.when(rest.isNotNull(), v).alias(n) for n, v in zip(names, values)])
+    return made.select(*kept, *names)

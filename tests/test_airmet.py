@@ -83,3 +83,14 @@ def test_sections_as_rows(spark):
     rows = airmet.sections(spark.createDataFrame([("a", SAID["ice"])], "kind_of string, raw string")).orderBy("place").collect()
     assert [r["kind"] for r in rows] == ["HEAD", "HAZARD", "OUTLOOK", "AREA", "AREA", "FREEZING"]
     assert [r["valid"] for r in rows] == [None, None] + ["2100-0300Z"] * 4
+
+
+def test_rows_are_what_the_bulletins_list(spark):
+    rows = spark.createDataFrame(list(SAID.items()), "name string, raw string")
+    listed = {r["name"]: r.asDict(recursive=True) for r in advisories.parse_airmet(rows).collect()}
+    for made, column in ((airmet.hazards(rows), "hazards"), (airmet.outlooks(rows), "outlooks")):
+        found = {}
+        for r in made.orderBy("name", "pos").collect():
+            r = r.asDict(recursive=True)
+            found.setdefault(r["name"], []).append({k: r[k] for k in listed[r["name"]][column][0]})
+        assert found == {name: r[column] for name, r in listed.items() if r[column]} and found

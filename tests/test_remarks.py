@@ -52,3 +52,11 @@ def test_no_remarks_and_empty_ones(said):
     none, empty, blanks = said(None, "", "   AO1    $ ")
     assert none is None and empty is None
     assert blanks.stationType == "AO1" and blanks.isMaintenanceNeeded and blanks.lightning == [] and blanks.variableVisibility is None
+
+
+def test_columns_are_the_fields_of_the_remarks(spark):
+    rows = spark.createDataFrame([(1, "METAR KABC 011200Z 10SM CLR RMK AO2 PK WND 28045/15 TSB10E25 SLP012 $"), (2, "METAR KABC 011200Z 10SM CLR")], "n int, raw string")
+    whole = {r["n"]: r["remarks"] for r in metar.parse(rows).collect()}
+    columns = {r["n"]: r.asDict() for r in metar.parse_remarks(rows).collect()}
+    assert {k: v for k, v in columns[1].items() if k != "n"} == whole[1].asDict()
+    assert whole[2] is None and all(v is None for k, v in columns[2].items() if k != "n")

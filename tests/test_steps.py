@@ -45,3 +45,21 @@ def test_kinds_and_fields(spark):
     whole = procedures.build(lines, fields=["fixIdentifier", "seq"]).collect()
     assert [(r["type"], [tuple(g) for g in r["transitions"][0]["legs"]]) for r in whole] == [("SID", [("FIX1",)])]
     assert procedures.build(lines, kinds=["STAR", "IAP"]).count() == 0
+
+
+@pytest.mark.parametrize(
+    "name, unused",
+    [("sigmet_international", "SEV DUST/SANDSTORM"), ("sigmet_convective", "SEV DUST/SANDSTORM"), ("taf_groups", "^WS("), ("metar_remark_groups", "PRESRR")],
+)
+def test_queries_read_only_what_they_return(spark, name, unused):
+    assert unused not in _plan(plans.QUERIES[name](spark, SMALL))
+
+
+@pytest.mark.parametrize("name", ["airmet_wind_shear", "airmet_hazards", "airmet_outlooks"])
+def test_sections_are_rows_before_they_are_read(spark, name):
+    above = _plan(plans.QUERIES[name](spark, SMALL)).split("Generate posexplode")
+    assert len(above) == 2 and "transform(" not in above[0].replace("transform(split(", "")
+
+
+def test_a_field_of_a_pilot_report_is_looked_up_once(spark):
+    assert _plan(plans.QUERIES["pirep_tight"](spark, SMALL)).count("[OV]") <= 2
