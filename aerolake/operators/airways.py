@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .lookup import first_n
-
 
 def by_fix(airways: DataFrame, asked: DataFrame, question: str = "ident") -> DataFrame:
     """Every airway and waypoint index with each identifier."""
@@ -29,16 +27,17 @@ def _slice_between(waypoints: Column, entry: Column, exit_: Column) -> Column:
 def expand(airways: DataFrame, asked: DataFrame, key: list[str], designation: str = "designation", entry: str = "entryFix", exit_: str = "exitFix") -> DataFrame:
     """The stretch between two fixes for each question: of the first airway of that name that has it.
 
-    Questions whose entry and exit are the same or missing give no row. Airways are found by
-    their name and either fix, so a question meets only those that hold both. Distances to the next
-    waypoint stay those of the airway's own direction.
+    Questions whose entry and exit are the same or missing give no row. Waypoints are dealt once, by
+    airway name and fix, and meet the questions' ends there; only what has met goes on. Distances to
+    the next waypoint stay those of the airway's own direction.
     """
-    points = airways.select(F.upper("designation").alias("__name"), "ord", F.posexplode("waypoints").alias("__at", "__w")).withColumn("__fix", F.upper("__w.identifier"))
+    points = airways.select(F.upper("designation").alias("__name"), "ord", F.posexplode("waypoints").alias("__at", "__w"))
+    points = points.select("__name", F.upper("__w.identifier").alias("__fix"), "ord", "__at")
     ends = asked.select(*key, F.upper(designation).alias("__name"), F.upper(entry).alias("__in"), F.upper(exit_).alias("__out"))
-    first = points.groupBy("__name", "__fix", "ord").agg(F.min("__at").alias("__first"), F.max("__at").alias("__last"))
-    entered = ends.join(first.select("__name", F.col("__fix").alias("__in"), "ord", F.col("__first").alias("__from")), ["__name", "__in"])
-    both = entered.join(first.select("__name", F.col("__fix").alias("__out"), "ord", F.col("__last").alias("__to")), ["__name", "__out", "ord"])
-    chosen = first_n(both.where("__from <> __to"), key, ["ord"], 1).select(*key, "ord")
+    either = ends.select("*", F.explode(F.array(F.lit(True), F.lit(False))).alias("__enters")).withColumn("__fix", F.when(F.col("__enters"), F.col("__in")).otherwise(F.col("__out")))
+    met = points.join(either, ["__name", "__fix"]).groupBy(*key, "__name", "__in", "__out", "ord")
+    both = met.agg(F.min(F.when(F.col("__enters"), F.col("__at"))).alias("__from"), F.max(F.when(~F.col("__enters"), F.col("__at"))).alias("__to"))
+    chosen = both.where("__from <> __to").groupBy(*key).agg(F.min("ord").alias("ord"))
     met = asked.join(chosen, key).join(airways.select("ord", F.col("designation").alias("airway"), "waypoints"), "ord")
     met = met.withColumn("waypoints", _slice_between(F.col("waypoints"), F.col(entry), F.col(exit_)))
     return met.select(*asked.columns, "ord", "airway", "waypoints")
