@@ -472,8 +472,10 @@ def _sets(nodes: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def _confirmed(near: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) of a similarity of ALIKE or more, by the exact sets."""
-    near = common.persist(near, "close")
+    """Pairs (a, b) of a similarity of ALIKE or more, by the exact sets: of those given only what joins what the others leave apart."""
+    close = common.persist(near, "close")
+    near = common.persist(graph.forest(close), "close-forest")
+    common.discard(close)
     sets = _sets(near.select(F.col("a").alias("node")).union(near.select("b")), texts)
     both = near.join(sets.toDF("a", "shingles"), "a").join(sets.toDF("b", "others"), "b")
     found = common.persist(both.mapInArrow(_confirm_batches, "a long, b long"), "alike")
@@ -484,9 +486,9 @@ def _confirmed(near: DataFrame, texts: DataFrame) -> DataFrame:
 def copy_links(texts: DataFrame) -> DataFrame:
     """Links (a, b) that connect the nodes of `texts` (node, text) at a similarity of ALIKE or more.
 
-    The texts of a proposed group are first compared with one of them; where that leaves texts which
-    groups connect in several components, every pair across these is compared too, the shingle sets
-    of such a family in one task. So no pair of a group is left out and rows grow with the texts, but
+    The texts of a proposed group are first linked with one of them, and of these links a forest is
+    compared; where that leaves texts which groups connect in several components, every pair across
+    these is compared too, the shingle sets of such a family in one task. So no pair of a group is left out and rows grow with the texts, but
     a large family of texts that are half alike costs its task time with the square of its size.
     """
     n = common.partitions(texts.sparkSession)
