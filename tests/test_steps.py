@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from aerolake import plans
 from aerolake.operators.builders import procedures
 from aerolake.operators.steps import settled
+from aerolake.sources import text
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -63,3 +64,26 @@ def test_sections_are_rows_before_they_are_read(spark, name):
 
 def test_a_field_of_a_pilot_report_is_looked_up_once(spark):
     assert _plan(plans.QUERIES["pirep_tight"](spark, SMALL)).count("[OV]") <= 2
+
+
+def test_legs_are_read_behind_the_join_and_column_by_column(spark):
+    lines = spark.createDataFrame([(1, "x" * 132)], "ord long, value string")
+    plan = _plan(procedures.build(lines))
+    assert "regexp_extract" in plan and "regexp_extract" not in plan.split("Join LeftOuter")[1]
+    read = procedures._legs(spark.range(1).selectExpr("id as ord", "repeat(' ', 132) as value", "'SID' as type"))
+    steps = [x for x in read._jdf.queryExecution().executedPlan().toString().split("\n") if "Project" in x and "AS rnpNm" in x]
+    assert steps and not any("*(" in x for x in steps)
+
+
+def test_legs_without_fields_are_counted(spark):
+    value = "SUSAP KJFKK6DSID1  4TR1   0{}0FIX1 K6EA0"
+    lines = spark.createDataFrame([(n, value.format(n).ljust(47) + "IF".ljust(85)) for n in (1, 2)], "ord long, value string")
+    found = procedures.build(lines, fields=[]).collect()
+    assert [(r["identifier"], r["transitions"][0]["name"], len(r["transitions"][0]["legs"])) for r in found] == [("SID1", "TR1", 2)]
+
+
+def test_whole_numbers_of_blank_texts_cast_nothing(spark):
+    texts = [("   ", None), ("\t12", 12), ("+5 ", 5), ("7.9", 7), ("99999999999", None), ("--1", None), (" -08x", -8)]
+    rows = spark.createDataFrame(texts, "t string, n int")
+    assert rows.where(~text.whole(F.col("t")).eqNullSafe(F.col("n"))).count() == 0
+    assert "cast(t" not in _plan(rows.select(text.whole(F.col("t"))))
