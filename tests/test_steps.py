@@ -37,7 +37,7 @@ def test_expanded_legs_look_up_no_positions(spark):
     assert "LeftOuter" not in _plan(plans.QUERIES["procedure_expand"](spark, SMALL))
 
 
-@pytest.mark.parametrize("name", ["procedure_by_runway"])
+@pytest.mark.parametrize("name", ["procedure_by_runway", "procedure_legs"])
 def test_legs_that_are_not_returned_are_not_read(spark, name):
     plan = _plan(plans.QUERIES[name](spark, SMALL))
     assert "collect_list" in plan and "LeftOuter" not in plan and "rnpNm" not in plan
