@@ -43,3 +43,7 @@ def test_grid_join_has_no_nested_loop(spark, sf_dir):
     for name in ("navaid_nearest", "airport_min_runway", "fix_nearest"):
         plan = plans.QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
         assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_airports_have_procedures_of_every_kind(spark, sf_dir):
+    assert {r.type for r in plans.QUERIES["procedure_by_airport"](spark, sf_dir).collect()} == {"SID", "STAR", "IAP"}
